@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-from collections.abc import Iterable
+from array import array
+from collections import ChainMap
+from collections.abc import Callable, Mapping
+from functools import lru_cache
 
 import numpy as np
 
@@ -13,8 +17,40 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: A blank that ends the text or stands before white space: then pieces can't be cut at each blank.
 _UNEVEN = re.compile(r" (?=\s|$)|^ ")
 _BEFORE_WORD = re.compile(r"(?= \S)")
-#: Pieces kept in a worker's cache, and the longest piece that is kept.
-CACHE, LONGEST = 300_000, 60
+#: Entries of a worker's caches (young and old hold so many each), and the longest piece that is kept.
+CACHE, LONGEST = 250_000, 60
+#: A word of Latin letters and the ASCII signs after it: two units of the pattern that splits text before the merges.
+_WORD_SIGNS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
+
+
+class _Cache:
+    """Two generations: what was not used since the young one was last full is dropped with the old one."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.make = make
+
+    def holding(self, wanted: set[str]) -> Mapping[str, bytes]:
+        """A dictionary with all that is wanted."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = []
+        for x in wanted.difference(young):
+            got = old.get(x)
+            if got is None:
+                missing.append(x)
+            else:
+                young[x] = got
+        if not missing:
+            return young
+        made = dict(zip(missing, self.make(missing), strict=True))
+        long = {x: v for x, v in made.items() if len(x) > LONGEST + 1}
+        for x in long:
+            del made[x]
+        young.update(made)
+        return ChainMap(long, young) if long else young  # long pieces are seldom seen again
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,27 +74,35 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _fill(self, missing: Iterable[str], into: dict[str, bytes], lead: str) -> None:
-        todo = list(missing)
-        if todo:
-            for piece, e in zip(todo, self.tokenizer.encode_batch_fast([lead + x for x in todo], add_special_tokens=False), strict=True):
-                into[piece] = np.array(e.ids, self.dtype).tobytes()
-
-    def _known(self, pieces: Iterable[str], cache: dict[str, bytes], lead: str) -> dict[str, bytes]:
-        """The cache with all ``pieces`` in it."""
-        wanted = set(pieces)
-        missing = wanted.difference(cache)
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            missing = wanted
-        self._fill(missing, cache, lead)
-        return cache
+        self.units = _Cache(self._encode)
+        self.first = _Cache(lambda pieces: self._pieces(pieces, ""))
+        self.later = _Cache(lambda pieces: self._pieces(pieces, " "))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of pieces that follow ``lead``: of word and signs apart where a piece is just that."""
+        words, signs = [], []
+        for p in pieces:
+            m = _WORD_SIGNS.fullmatch(p) if len(p) <= LONGEST else None
+            words.append(lead + m[1] if m else lead + p)
+            signs.append(m[2] if m else "")
+        units = self.units.holding({*words, *signs} - {""})
+        return [units[a] + units[b] if b else units[a] for a, b in zip(words, signs, strict=True)]
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``dtype``."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of short-lived strings, no cycles
+        try:
+            return self._raw(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
         cut = []
         for t in texts:
             if _UNEVEN.search(t):
@@ -66,13 +110,16 @@ class Encoder:
                 cut.append([parts[0], *[x[1:] for x in parts[1:]]])
             else:
                 cut.append(t.split(" "))
-        first = self._known((x[0] for x in cut if x[0]), self.first, "")
-        later = self._known((p for x in cut for p in x[1:]), self.later, " ")
+        first = self.first.holding({x[0] for x in cut if x[0]})
+        later = self.later.holding({p for x in cut for p in x[1:]})
         out = []
         for x in cut:
             head = first[x[0]] if x[0] else b""
             out.append(head + b"".join([later[p] for p in x[1:]]))
-        for cache in (self.first, self.later):  # long pieces are seldom seen again
-            for p in [p for p in cache if len(p) > LONGEST]:
-                del cache[p]
         return out
+
+
+@lru_cache(2)
+def encoder(path: str | None = None) -> Encoder:
+    """One encoder for each worker process: its caches serve all tasks that run there."""
+    return Encoder(path)

@@ -23,7 +23,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm._encode import Encoder, tokenizer_path
+from feedloom.llm._encode import encoder as cached
+from feedloom.llm._encode import tokenizer_path
 from feedloom.llm._shared import exchange_parts, new_dir, range_ids, ship, text_of
 
 END = 2
@@ -136,7 +137,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
         index = None
         for batch in batches:
             if encoder is None:
-                encoder = Encoder(tokenizer)
+                encoder = cached(tokenizer)
             texts, ids, parts = batch.column(1).to_pylist(), batch.column(0), batch.column(2)
             if writer is None and len(texts):
                 part = parts[0].as_py()
