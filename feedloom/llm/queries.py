@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import chat, decontam, html, mixing, pii, quality, simhash, sketch, tokens
+from feedloom.llm import chat, decontam, html, lm, mixing, pii, quality, simhash, sketch, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_token_files, op4_personal_data, op5_quality, op6_main_text, op8_simhash, op9_decontamination, op10_sketches)
+    f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_token_files, op4_personal_data, op5_quality, op6_main_text, op7_language_model, op8_simhash, op9_decontamination, op10_sketches)
 }
 
 ORACLE_SQL: dict[str, str] = {}
