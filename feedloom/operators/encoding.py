@@ -24,7 +24,7 @@ def ordered_union(first: DataFrame, extra: DataFrame) -> DataFrame:
 def tags(col: str, trim: bool, sep: str = ",") -> Column:
     """Tags of a separated string; with ``trim`` white space around them goes; empty ones go, null gives none."""
     parts = F.split(F.coalesce(F.col(col), F.lit("")), sep)
-    return F.filter(F.transform(parts, F.trim) if trim else parts, lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)) if trim else parts, lambda x: x != "")
 
 
 def fit_standard(df: DataFrame, columns: list[str], log: bool = True, sample: bool = True) -> DataFrame:
