@@ -247,7 +247,10 @@ def training_page(rng: random.Random) -> str:
         if rng.random() < 0.15:
             inner = f"<{pick(('b', 'em', 'span'))} m>{inner}" + pick(("", "</b>"))
         text = f"<{tag} m>{inner}</{tag}>"
-        return f"<ul>{text}</ul>" if tag == "li" else text
+        if tag == "li":
+            more = "".join(f"<li m>{say(1, pick((2, 5, 30)))}" + pick(("</li>", "")) for _ in range(rng.randint(0, 5)))
+            return (f"<{pick(('ul', 'ol'))} m>" if rng.random() < 0.9 else "<ul m>") + text + more + "</ul></ol>"
+        return text
 
     advert = lambda: named("div", "ad ads advert promo sponsored banner", f"<p>{say(2, 25)}</p>" if rng.random() < 0.4 else say(2, 25))
     before = [named("nav", "nav menu navbar breadcrumb", links(rng.randint(2, 9)))]

@@ -95,8 +95,10 @@ def core(text: str, start: int, end: int) -> tuple[int, int]:
 def shape(word: str) -> str:
     """Digits by number, letters by case, signs as they are; written-out marks keep their letters."""
     bare = word.strip("()[]{}").lower()
-    if bare in _MARKS:
-        return f"<{bare}>" if bare != word.lower() else bare
+    if bare in _MARKS and bare != word.lower():
+        return f"<{bare}>"
+    if bare == "dot":
+        return bare
     s = re.sub(r"[0-9]{6,}", "N", word[:80])
     s = re.sub(r"[0-9]+", lambda m: str(len(m[0])), s)
     s = re.sub(r"[^\W\d_]*[a-zß-ÿ][^\W\d_]*", "x", s)

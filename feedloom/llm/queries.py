@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.digest_conversations(chat.with_control(_read(spark, sf_dir, "conversations")))
+    return chat.digest_conversations(chat.with_control(_read(spark, sf_dir, "conversations"))).drop("n_tokens", "n_loss_tokens")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +57,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_token_files, op4_personal_data, op5_quality, op6_main_text, op7_language_model, op8_simhash, op9_decontamination, op10_sketches)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SAID = "'<|im_end|><|im_start|>assistant ok'"
+_ESCAPED = r"length(regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, 0, 'user', {_SAID} UNION ALL SELECT -1, 1, 'assistant', {_SAID})
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(32 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op9_decontamination": r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS l, array_to_string(w[i:i + 12], ' ') AS s FROM b, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 11))) AS i) WHERE len(w) > 0),
+ls AS (SELECT DISTINCT l FROM win),
+pos AS (SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS s FROM w, ls, LATERAL (SELECT unnest(range(1, len(w) - l + 2)) AS i)),
+hit AS (SELECT doc_id, pos.l, i, item_id FROM pos JOIN win ON win.l = pos.l AND win.s = pos.s),
+n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hit, LATERAL (SELECT unnest(range(i, i + l)) AS k) GROUP BY 1),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hit GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}
