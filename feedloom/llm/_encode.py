@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _UNEVEN = re.compile(r" (?=\s|$)|^ ")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 #: Entries of a worker's caches (young and old hold so many each), and the longest piece that is kept.
-CACHE, LONGEST = 250_000, 60
+CACHE, LONGEST = 200_000, 60
 #: A word of Latin letters and the ASCII signs after it: two units of the pattern that splits text before the merges.
 _WORD_SIGNS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
 
