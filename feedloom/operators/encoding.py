@@ -57,3 +57,9 @@ def classify(name: str) -> str:
 def prior_of(smooth: Column, num: Column, imp: Column, alpha: float) -> Column:
     """The prior that a smoothed rate was made with."""
     return (smooth * (imp + alpha) - num) / alpha
+
+
+def coverage(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """One row (n, covered, coverage): how many rows have an id that is in ``ids(col)``, each id once there."""
+    known = ids.select(col, F.lit(1).alias("_known"))
+    return rows.select(col).join(known, col, "left").agg(F.count("*").alias("n"), F.count("_known").alias("covered"), F.avg(F.coalesce("_known", F.lit(0))).alias("coverage"))

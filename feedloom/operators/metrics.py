@@ -81,3 +81,34 @@ def paired_delta(runs: DataFrame, baseline: str) -> DataFrame:
 
 def frequency_band(freq: str = "train_freq") -> Column:
     return F.when(F.col(freq) < 10, "tail").when(F.col(freq) < 30, "mid").otherwise("warm")
+
+
+def lift_over_chance(per_request: DataFrame, cat: DataFrame) -> DataFrame:
+    """(k, recall, chance, lift): mean recall beside k / items, what k random items of the catalog would find."""
+    total = cat.agg(F.count("*").alias("_items"))
+    at = per_request.groupBy("k").agg(F.avg("recall").alias("recall")).crossJoin(F.broadcast(total))
+    chance = F.col("k") / F.col("_items")
+    return at.select("k", "recall", chance.alias("chance"), (F.col("recall") / chance).alias("lift"))
+
+
+def over_seeds(rows: DataFrame, by: list[str], seed: str, value: str) -> DataFrame:
+    """(by..., seeds, mean, std): mean and sample deviation over seeds of each seed's own mean."""
+    one = rows.groupBy(*by, seed).agg(F.avg(value).alias("_m"))
+    return one.groupBy(*by).agg(F.count("*").alias("seeds"), F.avg("_m").alias("mean"), F.stddev_samp("_m").alias("std"))
+
+
+def dispersion(deltas: DataFrame, a: str, b: str, bar: float = 2.0) -> DataFrame:
+    """(metric, ratio, clear_a, clear_b) of ``paired_delta``'s rows: std of a over that of b; |mean| / std reaches ``bar``."""
+    def side(model: str, s: str) -> DataFrame:
+        clear = F.abs("mean_delta") >= bar * F.col("std_delta")
+        return deltas.where(F.col("model") == model).select("metric", F.col("std_delta").alias(f"_{s}"), clear.alias(f"clear_{s}"))
+
+    return side(a, "a").join(side(b, "b"), "metric").select("metric", (F.col("_a") / F.nullif(F.col("_b"), F.lit(0.0))).alias("ratio"), "clear_a", "clear_b")
+
+
+def prediction_checks(pred: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
+    """(check, violations) from one pass: labels beside 0 and 1, and scores that are null, NaN or outside [0, 1]."""
+    p, y = F.col(score), F.col(label)
+    bad = {"label": y.isNull() | ~y.isin(0, 1), "missing_score": p.isNull() | F.isnan(p), "score_range": (p < 0) | ((p > 1) & ~F.isnan(p))}
+    one = pred.agg(*[F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(name) for name, c in bad.items()])
+    return one.unpivot([], list(bad), "check", "violations")

@@ -130,6 +130,35 @@ def exposure_negatives(rows: DataFrame, pool: DataFrame, key: str, n: int, low:
     return got.select(key, user, "slot", F.coalesce("_item", low + F.col("_draw") % (high - low + 1)).alias("negative"), F.col("_item").isNull().cast("int").alias("fallback"))
 
 
+def hybrid_negatives(rows: DataFrame, pool: DataFrame, key: str, n: int, share: float, low: int, high: int, seed: int = 42, user: str = "user_id", item: str = "video_id") -> DataFrame:
+    """(key, slot, negative, kind): random draws in the first slots, then ``round(n * share)`` from the user's own pool.
+
+    ``kind`` is ``random``, ``exposure``, or ``fallback`` for a random item in place of a pool that is empty. A share
+    that leaves no slot to one of the two is an error.
+    """
+    own = round(n * share)
+    if not 0 < own < n:
+        raise ValueError(f"{own} of {n} slots from the pool: both kinds need one")
+    drawn = random_negatives(rows, key, n - own, low, high, seed).select(key, "slot", "negative", F.lit("random").alias("kind"))
+    shown = exposure_negatives(rows, pool, key, own, low, high, seed + 1, user, item)
+    kind = F.when(F.col("fallback") == 1, "fallback").otherwise("exposure").alias("kind")
+    return drawn.unionByName(shown.select(key, (F.col("slot") + (n - own)).alias("slot"), "negative", kind))
+
+
+def log_q_stats(q: DataFrame, cat: DataFrame) -> DataFrame:
+    """One row: catalog items, those with a share, their part of all, and least, median and largest share times items."""
+    total = cat.agg(F.count("*").alias("items"))
+    at = q.crossJoin(F.broadcast(total)).withColumn("_qn", F.col("q") * F.col("items")).groupBy("items")
+    stats = at.agg(F.count("*").alias("supported"), F.min("_qn").alias("min_qn"), F.percentile("_qn", 0.5).alias("p50_qn"), F.max("_qn").alias("max_qn"))
+    return stats.withColumn("coverage", F.col("supported") / F.col("items"))
+
+
+def mean_vector(vectors: DataFrame, col: str) -> DataFrame:
+    """One row ``u``: the element-wise mean, summed by position; only as many rows as dimensions are put together."""
+    at = vectors.select(F.posexplode(col).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return at.agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_v")).select(F.transform("_v", lambda s: s["x"]).alias("u"))
+
+
 def log_q(positives: DataFrame, item: str = "video_id") -> DataFrame:
     """(item, n, q, log_q): share of trainable positives; items without any have no row, never a zero."""
     counted = positives.groupBy(item).agg(F.count("*").alias("n"))
