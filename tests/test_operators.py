@@ -76,3 +76,29 @@ def test_calibration_and_pcoc(spark):
     assert p.agg(metrics.pcoc()).first()[0] == 1.0
     assert p.select((F.col("p") * 2).alias("p"), "y").agg(metrics.pcoc()).first()[0] == 2.0
     assert [tuple(r) for r in metrics.calibration(p, 2).collect()] == [(0, 4, 0.25, 0.25)] or len(metrics.calibration(p, 2).collect()) == 1
+
+
+def test_hybrid_slots_and_fallback(spark):
+    rows = spark.createDataFrame([(1, 7), (2, 8)], "event_id int, user_id int")
+    pool = spark.createDataFrame([(7, 500), (7, 501)], "user_id int, video_id int")
+    got = {(r["event_id"], r["slot"]): r for r in retrieval.hybrid_negatives(rows, pool, "event_id", 5, 0.4, 0, 99).collect()}
+    assert set(got) == {(e, s) for e in (1, 2) for s in range(5)}
+    assert {got[1, s]["kind"] for s in (3, 4)} == {"exposure"} and {got[2, s]["kind"] for s in (3, 4)} == {"fallback"}
+    assert all(got[1, s]["negative"] in (500, 501) for s in (3, 4)) and all(0 <= got[e, s]["negative"] <= 99 for e in (1, 2) for s in range(3))
+    for share in (0.0, 1.0):
+        with pytest.raises(ValueError):
+            retrieval.hybrid_negatives(rows, pool, "event_id", 5, share, 0, 99)
+
+
+def test_prediction_checks_by_hand(spark):
+    p = spark.createDataFrame([(0.5, 1), (float("nan"), 0), (None, 2), (1.5, None), (-0.1, 0)], "p double, y int")
+    assert {r["check"]: r["violations"] for r in metrics.prediction_checks(p).collect()} == {"label": 2, "missing_score": 2, "score_range": 2}
+    assert {r["violations"] for r in metrics.prediction_checks(p.where("false")).collect()} == {0}
+
+
+def test_coverage_and_lift(spark):
+    rows, ids = spark.createDataFrame([(1,), (1,), (2,), (None,)], "v int"), spark.createDataFrame([(1,), (9,)], "v int")
+    assert tuple(encoding.coverage(rows, ids, "v").first()) == (4, 2, 0.5)
+    cat = spark.range(100)
+    at = spark.createDataFrame([(10, 0.0), (10, 1.0)], "k int, recall double")
+    assert tuple(metrics.lift_over_chance(at, cat).first()) == (10, 0.5, 0.1, 5.0)
