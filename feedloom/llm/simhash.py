@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm._shared import materialize, ship, text_of
+from feedloom.llm._shared import exchange_parts, materialize, ship, text_of
 from feedloom.llm.graph import components
 
 WIDTH = 3
@@ -116,7 +116,10 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     through their single-bit neighbours. No pair within the radius is lost from its component.
     """
     ship(fps.sparkSession)
-    placed = fps.select("fp", _table(F.col("fp")).alias("table"), F.explode(_cells(F.col("fp"))).alias("cell"))
+    # a fingerprint becomes 49 rows with its cells, so adaptive execution must not join the parts that are small before;
+    # dealt by the key they already have, the exchange would be left out
+    spread_out = fps.repartition(exchange_parts(fps.sparkSession), F.xxhash64("fp"))
+    placed = spread_out.select("fp", _table(F.col("fp")).alias("table"), F.explode(_cells(F.col("fp"))).alias("cell"))
     met = placed.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
     live = materialize(placed.join(met, "cell"), "cells")
     few = live.where(F.col("members") <= crowd)
