@@ -10,9 +10,10 @@ shared within a class, the query-key products are a table of CLASSES x CLASSES,
 before them, so windows overlap by half, each token is scored once, with STEP to 2 STEP - 1 tokens of context where the
 document has them, and a text's score does not depend on what it is batched with.
 
-*Training.* Token and word counts cover all training documents. The attention's weights are fitted in ROUNDS rounds: in
-every part, Adam runs over one in SAMPLE of the windows of its training documents (so what is learnt from grows with the
-corpus) and the parts' weights are averaged, by parameter, in Spark.
+*Training.* Token and word counts cover all training documents. The attention's weights are fitted on every window of
+every training document, each in one of ROUNDS rounds: a window's round comes from its document's key and its place in
+the document, so it does not depend on how the documents are dealt. In every part, Adam runs over the round's windows and
+the parts' weights are averaged, by parameter, in Spark; the weights still depend on the number of parts.
 
 *Base.* Words are compared by 64-bit hashes. The HEAD most frequent words are broadcast, a table of fixed size; all
 other words of the documents are joined to the full counts.
@@ -37,7 +38,6 @@ CLASSES, OWN = 64, 40
 WIDTH = 16
 STEP = 16
 ROUNDS = 2
-SAMPLE = 48
 HEAD = 200_000
 #: Windows scored, and windows of a training step, at once.
 BATCH, STEPS_OF = 512, 256
@@ -341,37 +341,41 @@ def _stream(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, n
     return x.reshape(-1, STEP), y.reshape(-1, STEP), first, real.reshape(-1, STEP), starts
 
 
-def _trained(encoded: DataFrame, weights: np.ndarray, class_of: np.ndarray, path: str, rate: float) -> np.ndarray:
-    """One round: each part's Adam from the same weights, then the mean weighted by the windows seen."""
+def _of_round(keys: np.ndarray, sizes: np.ndarray, turn: int) -> np.ndarray:
+    """The windows of round ``turn``: over ROUNDS turns, every window of the documents exactly once."""
+    starts, first, blocks = layout(sizes + 1)
+    return np.flatnonzero((np.repeat(keys % ROUNDS - starts // STEP, blocks) + np.arange(len(first))) % ROUNDS == turn)
+
+
+def _trained(encoded: DataFrame, weights: np.ndarray, class_of: np.ndarray, path: str, rate: float, turn: int) -> np.ndarray:
+    """Round ``turn``: each part's Adam from the same weights, then the mean weighted by the windows seen."""
     shared = encoded.sparkSession.sparkContext.broadcast((weights, class_of))
 
     def scan(batches):
         flat, kinds = shared.value
         end = vocabulary(path)[2]
-        trainer, waiting, count = Trainer(flat, rate), [], 0
-
-        def run(parts):
-            trainer.step(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        trainer, waiting = Trainer(flat, rate), None
 
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch.column("held_out")))
-            for _, ids, sizes in _texts(batch):
+            keys = batch.column("key").to_numpy()
+            for rows, ids, sizes in _texts(batch):
                 x, y, first, real, _ = _stream(ids, sizes, end)
-                pick = np.arange(count % SAMPLE, len(x), SAMPLE)
-                count = (count - len(x)) % SAMPLE
+                pick = _of_round(keys[rows], sizes, turn)
                 c = kinds[x]
                 before = np.concatenate([np.zeros((1, STEP), np.int64), c[:-1]])
-                waiting.append((c[pick], before[pick], kinds[y[pick]], first[pick], real[pick]))
-                while sum(len(p[0]) for p in waiting) >= STEPS_OF:
-                    whole = [np.concatenate(p) for p in zip(*waiting, strict=True)]
-                    run([tuple(p[:STEPS_OF] for p in whole)])
-                    waiting = [tuple(p[STEPS_OF:] for p in whole)]
-        if waiting and len(waiting[0][0]) + len(waiting) > 1:
-            run(waiting)
+                new = (c[pick], before[pick], kinds[y[pick]], first[pick], real[pick])
+                waiting = new if waiting is None else tuple(np.concatenate(p) for p in zip(waiting, new, strict=True))
+                done = len(waiting[0]) // STEPS_OF * STEPS_OF
+                for i in range(0, done, STEPS_OF):
+                    trainer.step(*(p[i : i + STEPS_OF] for p in waiting))
+                waiting = tuple(p[done:].copy() for p in waiting)
+        if waiting is not None and len(waiting[0]):
+            trainer.step(*waiting)
         if trainer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(trainer.seen)]), pa.array([trainer.net.flat.astype(np.float64)], pa.list_(pa.float64()))], names=["seen", "weights"])
 
-    parts = encoded.select("held_out", "ids").mapInArrow(scan, "seen double, weights array<double>")
+    parts = encoded.select("key", "held_out", "ids").mapInArrow(scan, "seen double, weights array<double>")
     mean = parts.select("seen", F.posexplode("weights")).groupBy("pos").agg((F.sum(F.col("seen") * F.col("col")) / F.sum("seen")).alias("w"))
     got = sorted((r[0], r[1]) for r in mean.collect())
     return np.array([w for _, w in got], np.float32) if got else weights
@@ -437,7 +441,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     emit = np.log((seen + 1) / (mass + members)[class_of])
     weights = start_weights((mass + 1) / (mass + 1).sum())
     for k in range(ROUNDS if total else 0):
-        weights = _trained(encoded, weights, class_of, path, 0.03 / (1 + 2 * k))
+        weights = _trained(encoded, weights, class_of, path, 0.03 / (1 + 2 * k), k)
     ladder = words.groupBy("n").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(Window.orderBy(F.desc("n"))))
     least = ladder.where(F.col("upto") <= HEAD).agg(F.min("n")).first()[0]
     top = words.where(F.col("n") >= least if least else F.lit(False)).toPandas()  # at most HEAD rows

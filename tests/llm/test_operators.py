@@ -230,6 +230,20 @@ def test_attention_is_causal_normalised_and_local():
     assert np.allclose(a[:1], b[:1]) and np.allclose(a[1, :8], b[1, :8]) and not np.allclose(a[1, 8:], b[1, 8:])
 
 
+def test_language_model_learns_from_every_window(spark):
+    keys, sizes = np.array([7, 2**40 + 2, 4, 9]), np.array([0, 15, 16, 1000])
+    got = np.sort(np.concatenate([lm._of_round(keys, sizes, k) for k in range(lm.ROUNDS)]))
+    assert got.tolist() == list(range(1 + 1 + 2 + 63))
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    kept = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    calm, mixed = "one two " * 150, "one one two two " * 75  # the same words and ids, in another order
+    scores = []
+    for tail in (calm, mixed):
+        rows = spark.createDataFrame([(kept, "a b " * 20 + tail), (held, mixed)], "doc_id long, text string").coalesce(1)
+        scores.append(next(r["score"] for r in lm.score_documents(rows).collect() if r["doc_id"] == held))
+    assert abs(scores[0] - scores[1]) > 1e-3
+
+
 def test_language_model_edges(spark):
     got = lm.score_documents(odd(spark)).collect()
     assert len(got) == len(ODD) and min(r["n_tokens"] for r in got) == 1
