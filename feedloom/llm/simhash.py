@@ -152,13 +152,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of near duplicates: that of the least doc_id, columns kept.
+    """One row of each component of near duplicates: one of the least doc_id, columns kept.
 
-    Rows that repeat this doc_id count as copies, and one of them stays. Rows with a null doc_id stay only if all ids
-    of their component are null.
+    Rows are told apart by a key written once with them, not by doc_id: of rows that repeat the least doc_id of a
+    component one stays, whatever other components the doc_id is in. Null ids come last, so a row with a null doc_id
+    stays only if all ids of its component are null, and then one of them does.
     """
-    classes = near_duplicates(docs.select(id_col, text), id_col, text)
-    gone = classes.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    return kept.dropDuplicates([id_col]) if not repeated.isEmpty() else kept
+    rows = materialize(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
+    row_id = F.col("row")[id_col]
+    order = F.struct(row_id.isNull().alias("none"), row_id.alias("id"), F.col("key").alias("key"))
+    classes = near_duplicates(rows.select(order.alias("order"), F.col("row")[text].alias("text")), "order", "text")
+    stay = classes.where(F.col("doc_id.key") == F.col("component_id.key")).select("doc_id.key")
+    return rows.join(stay, "key", "left_semi").select("row.*")

@@ -304,6 +304,19 @@ def test_links_lose_no_component(spark, crowd):
     assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
 
 
+def test_keep_first_of_null_and_repeated_ids(spark):
+    words = {c: " ".join(f"{c}{i * i}" for i in range(30)) for c in "XYUPQR"}
+
+    def kept(rows):
+        made = spark.createDataFrame([(i, words[c]) for i, c in rows], "doc_id long, text string")
+        return sorted((r["doc_id"] or 0, r["text"][0]) for r in simhash.keep_first(made).collect())
+
+    assert kept([(5, "X"), (None, "X"), (None, "U")]) == [(0, "U"), (5, "X")]
+    assert kept([(5, "X"), (5, "Y"), (3, "Y")]) == [(3, "Y"), (5, "X")]
+    assert kept([(None, "P"), (None, "P"), (None, "Q")]) == [(0, "P"), (0, "Q")]
+    assert kept([(None, "P"), (None, "Q"), (8, "R"), (8, "R")]) == [(0, "P"), (0, "Q"), (8, "R")]
+
+
 def test_simhash_edges(spark):
     got = simhash.near_duplicates(odd(spark)).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (1, 2)} == {1}
