@@ -83,7 +83,7 @@ def multitask_auc(spark, sf):
     rows, n, out = _ranking_rows(spark, sf), len(LABELS), None
     truth = rows.where("split = 'test'").select("event_id", F.explode(F.array(*[F.struct(F.lit(c).alias("task"), F.col(c).alias("y")) for c in LABELS])).alias("l")).select("event_id", "l.task", "l.y")
     for name, allowed in (("single", multitask.single(n)), ("mmoe", multitask.mmoe(n, 4)), ("cgc", multitask.cgc(n, 2))):
-        net, _ = multitask.fit(rows.where("split = 'train'"), FEATURES, list(LABELS), allowed, steps=8)
+        net, _ = multitask.fit(rows.where("split = 'train'"), FEATURES, list(LABELS), allowed)
         p = multitask.predict(rows.where("split = 'test'"), net, FEATURES, list(LABELS), ["event_id"])
         one = metrics.auc(p.join(truth, ["event_id", "task"]), ["task"]).select(F.lit(name).alias("model"), "task", "n", "pos", F.round("auc", 4).alias("auc"))
         out = one if out is None else out.unionByName(one)

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import metrics, multitask, rerank
+from feedloom.plans import extensions
 from feedloom.sources import tables
+from tests.conftest import SF
 
 
 @pytest.mark.parametrize("allowed", [multitask.single(2), multitask.mmoe(2, 3), multitask.cgc(2, 1)])
@@ -44,6 +46,18 @@ def test_learns_and_ignores_nulls(spark):
     assert none == [] and multitask.predict(rows.where("false"), empty, ["a"], ["y1"], ["id"]).count() == 0
 
 
+def test_query_trains_at_least_the_default_steps(spark, monkeypatch):
+    fit, seen = multitask.fit, []
+
+    def noted(rows, features, labels, allowed, steps=20, **more):
+        seen.append(steps)
+        return fit(rows, features, labels, allowed, steps=1, **more)
+
+    monkeypatch.setattr(multitask, "fit", noted)
+    extensions.multitask_auc(spark, SF)
+    assert len(seen) == 3 and min(seen) >= 20
+
+
 def test_diverse_by_hand(spark):
     scored = spark.createDataFrame([(1, 10, "a", 3.0), (1, 11, "a", 2.0), (1, 12, "a", 1.0), (1, 13, "b", 0.5), (1, 14, None, 0.5)], "q int, video_id int, author string, score double")
     got = [(r["video_id"], r["rank"]) for r in rerank.diverse(scored, ["q"], "author", 2, 10).orderBy("rank").collect()]
