@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 #: Rows in an Arrow batch sent to Python, unless the session sets its own: texts can be long, so batches stay short.
 ARROW_ROWS = "1000"
@@ -28,12 +29,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own checkpoint folder.
+
+    Where neither is set, a local session gets a temporary one; on a cluster that would be one machine's, so it raises.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -59,25 +64,59 @@ def _count_at_most(bounds: list, key: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
 
 
-def range_ids(df: DataFrame, key: str, n: int) -> tuple[DataFrame, list[tuple[int, object]]]:
+def _region(cuts: list, k: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most ``k``, in two levels: about twice the square root of their number."""
+    width = max(1, int(len(cuts) ** 0.5))
+    fine = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    if not fine:
+        return F.lit(0)
+    at = F.greatest(_count_at_most([x[0] for x in fine], k), F.lit(1)) - 1
+    inner = F.array(*[F.array(*map(F.lit, x)) for x in fine])
+    return (at * width + F.size(F.filter(F.element_at(inner, (at + 1).cast("int")), lambda b: b <= k))).cast("int")
+
+
+def _order_value(df: DataFrame, key: str) -> Column:
+    """A number that ascends with ``key``: itself, or of a string the seven bytes after what all strings begin with."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, NumericType):
+        return F.col(key)
+    if not isinstance(kind, StringType):
+        return F.col(key).cast("timestamp").cast("double")
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    same = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
+    tail = F.substring(F.rpad(F.hex(F.col(key).cast("binary")), 2 * same + 14, "0"), 2 * same + 1, 14)
+    return F.conv(tail, 16, 10).cast("long")
+
+
+def range_ids(df: DataFrame, key: str, n: int, tie: Column | None = None) -> tuple[DataFrame, list[tuple[int, object]]]:
     """Add ``_part``: contiguous ranges of ``key`` in ascending order, nulls in the first, about equal in rows.
 
     Only the key column is read to find the ``n - 1`` bounds. The second value lists (part, smallest key) of the
-    parts that have rows. Rows that tie on the key share a part. A part's number is found in two levels, so a row costs
-    about twice the square root of ``n`` comparisons.
+    parts that have rows. ``key`` may be numbers, strings or times. Rows that tie on the key share a part unless
+    ``tie`` is given, a long that is spread over its whole range: then a key that holds several parts' share of the
+    rows, or null, gets as many parts as its share, in ascending order of ``tie``.
     """
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 50 * n)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    width = max(1, int(len(cuts) ** 0.5))
-    fine = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    k = F.col(key)
-    if fine:
-        at = F.greatest(_count_at_most([x[0] for x in fine], k), F.lit(1)) - 1
-        inner = F.array(*[F.array(*map(F.lit, x)) for x in fine])
-        part = at * width + F.size(F.filter(F.element_at(inner, (at + 1).cast("int")), lambda b: b <= k))
+    value = _order_value(df, key)
+    cuts, nulls, rows = df.select(value.alias("v")).agg(F.percentile_approx("v", [i / n for i in range(1, n)], 50 * n) if n > 1 else F.lit(None), F.count_if(F.col("v").isNull()), F.count("*")).first()
+    cuts = sorted(cuts or [])
+    bounds = sorted(set(cuts))
+    region = _region(bounds, value)
+    if tie is None:
+        part = region
+        none = F.lit(0)
     else:
-        part = F.lit(0)
-    out = df.withColumn("_part", F.coalesce(F.when(k.isNotNull(), part), F.lit(0)).cast("int"))
+        share = (tie.cast("double") / F.lit(2.0**64) + 0.5).cast("double")
+        most = max(1, -(-nulls * n // rows)) if rows else 1
+        times = [1] + [cuts.count(b) for b in bounds]
+        sizes = [m + 1 if m > 1 else 1 for m in times]  # parts of a bound that repeats, then one of what is above it
+        first = [(most if nulls else 0) + sum(sizes[:i]) for i in range(len(sizes))]
+        at = region + 1
+        many = F.element_at(F.array(*map(F.lit, times)), at)
+        equal = value == F.element_at(F.array(*map(F.lit, [None, *bounds])), at) if bounds else F.lit(False)
+        within = F.when(many > 1, F.when(equal, F.least(F.floor(share * many), many - 1)).otherwise(many)).otherwise(0)
+        part = F.element_at(F.array(*map(F.lit, first)), at) + within
+        none = F.least(F.floor(share * most), F.lit(most - 1))
+    out = df.withColumn("_part", F.when(F.col(key).isNotNull(), part).otherwise(none).cast("int"))
     firsts = [(r[0], r[1]) for r in out.groupBy("_part").agg(F.min(key)).orderBy("_part").collect()]
     return out, firsts
 

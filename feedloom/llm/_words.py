@@ -42,6 +42,18 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+def block_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of at most BLOCK bytes of ``data``: equal bytes have equal hashes, wherever they stand."""
+    if len(data) <= BLOCK:
+        return _hash_block(data, starts, ends)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
+        out[i:j] = _hash_block(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
+        i = j
+    return out
+
+
 def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers()
     sums = np.empty(len(data) + 1, np.uint64)

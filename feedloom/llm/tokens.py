@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from feedloom.llm._encode import encoder as cached
 from feedloom.llm._encode import tokenizer_path
-from feedloom.llm._shared import exchange_parts, new_dir, range_ids, ship, text_of
+from feedloom.llm._shared import doc_chunks, exchange_parts, new_dir, range_ids, ship, text_of, utf8
 
 END = 2
 LENGTH = 2048
 #: Sequences in a record batch: what a writer or reader holds at once.
 BATCH = 64
-#: Characters of text encoded at once.
-CHUNK = 4_000_000
+#: Bytes of text encoded at once, or one longer text.
+CHUNK = 8_000_000
 
 
 def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -119,7 +119,8 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
     One exchange deals the documents into ranges of ``id_col``. A task that runs again writes a file of another name;
     only names that successful tasks returned are listed. The list, a row for each part, passes the driver, which adds
     ``start``: the ids in all parts before. Null texts are empty and so only the end id; rows with a null id come first;
-    rows that repeat an id lie in the order of their texts; an empty table makes no files.
+    rows that repeat an id lie in the order of a hash of their texts, so that one id's rows can fill many parts; an empty
+    table makes no files. Ids may be numbers, strings or times.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -128,40 +129,32 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
     fs.create_dir(at)
     kind = docs.schema[id_col].dataType.simpleString()
     n = exchange_parts(spark)
-    dealt, _ = range_ids(docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text")), "doc_id", n)
-    dealt = dealt.repartitionById(n, "_part").sortWithinPartitions("_part", "doc_id", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text"))
+    dealt, firsts = range_ids(rows, "doc_id", n, F.xxhash64("text"))
+    n = max([n, *(part + 1 for part, _ in firsts)])
+    dealt = dealt.repartitionById(n, "_part").sortWithinPartitions("_part", "doc_id", F.xxhash64("text"), "text")
 
     def write(batches):
         encoder, writer, path, part = None, None, "", -1
         offset, rows = 0, 0
-        index = None
         for batch in batches:
-            if encoder is None:
-                encoder = cached(tokenizer)
-            texts, ids, parts = batch.column(1).to_pylist(), batch.column(0), batch.column(2)
-            if writer is None and len(texts):
-                part = parts[0].as_py()
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                encoder, part = cached(tokenizer), batch.column(2)[0].as_py()
                 path = f"{folder}/part-{part:05d}-{uuid.uuid4().hex}"
                 writer = SequenceWriter(f"{path}.arrow", encoder.dtype, length, BATCH)
-                schema = pa.schema([("doc_id", ids.type), ("offset", pa.int64()), ("n_tokens", pa.int64())])
+                schema = pa.schema([("doc_id", batch.column(0).type), ("offset", pa.int64()), ("n_tokens", pa.int64())])
                 ifs, iat = open_fs(f"{path}.index.arrow")
                 sink = ifs.open_output_stream(iat)
                 index = pa.ipc.new_file(sink, schema)
-            i = 0
-            while i < len(texts):
-                j, held = i, 0
-                while j < len(texts) and (j == i or held + len(texts[j]) <= CHUNK):
-                    held += len(texts[j])
-                    j += 1
-                sizes = []
-                tail = np.array([end], encoder.dtype)
-                for raw in encoder.raw(texts[i:j]):
-                    got = np.concatenate([np.frombuffer(raw, encoder.dtype), tail])
-                    writer.add(got)
-                    sizes.append(len(got))
+            for i, j in doc_chunks(utf8(batch.column(1))[1], CHUNK):
+                ids, sizes = encoder.encode(batch.column(1).slice(i, j - i))
+                writer.add(np.insert(ids, np.cumsum(sizes), end))
+                sizes += 1
                 ends = offset + np.cumsum(sizes)
-                index.write_batch(pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(ends - sizes), pa.array(np.array(sizes, np.int64))], schema=schema))
-                offset, rows, i = int(ends[-1]), rows + j - i, j
+                index.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ends - sizes), pa.array(sizes)], schema=schema))
+                offset, rows = int(ends[-1]), rows + j - i
         if writer is not None:
             writer.close()
             index.close()
