@@ -16,6 +16,8 @@ from pyspark.sql.types import NumericType, StringType
 
 #: Rows in an Arrow batch sent to Python, unless the session sets its own: texts can be long, so batches stay short.
 ARROW_ROWS = "1000"
+#: Workers keep freed memory up to this size: numpy's temporaries would otherwise be mapped anew each time.
+_ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(128 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,6 +26,8 @@ def ship(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for name, value in _ALLOCATOR.items():
+        env.setdefault(name, value)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 

@@ -1,19 +1,22 @@
 """Language-model scores: a causal self-attention model on subword ids, and add-one unigrams of whole words.
 
-*Model.* Subword ids of the public byte-level vocabulary fall into CLASSES classes: the most frequent ids one each, the
-others by what their bytes look like. A token's probability is that of its class, given the tokens before, times that of
-the id within its class, an add-one estimate over all training documents. The class comes from one layer of causal
-self-attention over class embeddings with a bias for each distance, a query residual and a softmax. As embeddings are
-shared within a class, the query-key products are a table of CLASSES x CLASSES, looked up rather than multiplied.
+*Rows.* The OWN most frequent subword ids of the training documents have an embedding row each, all others share HASHED
+rows by a hash of the id. Rows are sorted by the leading directions of what follows them, by halves, into GROUPS groups of
+SLOTS rows that come in like contexts.
+
+*Model.* One layer of causal self-attention with HEADS heads: queries, keys and values are projections of the embeddings,
+every head has a bias for each distance, and the heads' output is added to the token's own embedding. From the sum follow
+the probability of the next token's group, and that of its row within the group, each by a softmax; the id within a
+shared row is an add-one estimate over all training documents that does not depend on the context.
 
 *Windows.* Every document is laid out from a multiple of STEP on; a window is the STEP positions scored and the STEP
 before them, so windows overlap by half, each token is scored once, with STEP to 2 STEP - 1 tokens of context where the
 document has them, and a text's score does not depend on what it is batched with.
 
-*Training.* Token and word counts cover all training documents. The attention's weights are fitted on every window of
-every training document, each in one of ROUNDS rounds: a window's round comes from its document's key and its place in
-the document, so it does not depend on how the documents are dealt. In every part, Adam runs over the round's windows and
-the parts' weights are averaged, by parameter, in Spark; the weights still depend on the number of parts.
+*Training.* Counts of ids, of rows in a row and of words cover all training documents. The embeddings and the output rows
+start from a truncated singular value decomposition of the counts of rows in a row. Then every window of every training
+document is learnt from once, in one of ROUNDS rounds, which its document's key decides. In every part, Adam runs over the
+round's windows and the parts' weights are averaged, by parameter, in Spark; the weights depend on the number of parts.
 
 *Base.* Words are compared by 64-bit hashes. The HEAD most frequent words are broadcast, a table of fixed size; all
 other words of the documents are joined to the full counts.
@@ -31,21 +34,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm._encode import encoder, tokenizer_path
-from feedloom.llm._shared import materialize, ship, text_of
-from feedloom.llm._words import LOWER, word_hashes
-
-CLASSES, OWN = 64, 40
-WIDTH = 16
+from feedloom.llm._shared import doc_chunks, materialize, ship, text_of, utf8
+from feedloom.llm._words import LOWER, mix, word_hashes
+
+OWN, HASHED = 896, 128
+GROUPS, SLOTS = 32, 32
+ROWS = GROUPS * SLOTS
+HEADS, WIDTH = 2, 32
+KEY, VALUE = 8, 16
 STEP = 16
 ROUNDS = 2
+RATE = 0.002
 HEAD = 200_000
 #: Windows scored, and windows of a training step, at once.
-BATCH, STEPS_OF = 512, 256
+BATCH, STEPS_OF = 128, 192
 #: Distinct words a task holds before it passes their counts on.
 HELD = 800_000
 #: The hash that stands for the end of a text among word hashes.
 END_WORD = np.uint64(0x5EED0F7E87E0D001)
-CHUNK = 3_000_000
+CHUNK = 8_000_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -77,29 +84,11 @@ def decode_bytes(ids: np.ndarray, path: str) -> np.ndarray:
     return table[shift + np.arange(len(shift))]
 
 
-def classes_of(counts: np.ndarray, path: str) -> np.ndarray:
-    """Class of each id: the OWN - 1 most frequent and the end alone, the others by the look of their bytes."""
-    table, offsets, end = vocabulary(path)
-    n = len(offsets) - 1
-    out = np.empty(n, np.int64)
-    for i in range(n):
-        b = bytes(table[offsets[i] : offsets[i + 1]])
-        lead, core = b[:1] == b" ", b.strip(b" ")
-        if not core or core.isspace():
-            kind = 0
-        elif core[0] >= 128:
-            kind = 1 + min(len(core), 4) // 2
-        elif core.isdigit():
-            kind = 4
-        elif not core.isalnum():
-            kind = 5
-        elif core.isupper():
-            kind = 6
-        elif core[:1].isupper():
-            kind = 7
-        else:
-            kind = 7 + min(len(core), 4)
-        out[i] = OWN + 2 * kind + lead
+def rows_of(counts: np.ndarray, path: str) -> np.ndarray:
+    """Embedding row of each id: the end and the most frequent ids alone, the others by a hash."""
+    end = vocabulary(path)[2]
+    ids = np.arange(len(counts), dtype=np.uint64)
+    out = OWN + (mix(ids + np.uint64(1)) % np.uint64(HASHED)).astype(np.int64)
     frequent = np.argsort(-counts, kind="stable")
     frequent = frequent[frequent != end][: OWN - 1]
     out[frequent] = 1 + np.arange(len(frequent))
@@ -109,10 +98,22 @@ def classes_of(counts: np.ndarray, path: str) -> np.ndarray:
 
 # ---- the model ---------------------------------------------------------------------------------------------------
 
-SHAPES = {"pair": (CLASSES, CLASSES), "place": (2 * STEP,), "value": (CLASSES, WIDTH), "query": (CLASSES, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
+_Q, _K = HEADS * KEY, 2 * HEADS * KEY
+SHAPES = {
+    "emb": (ROWS, WIDTH),
+    "project": (WIDTH, _K + HEADS * VALUE),
+    "place": (HEADS, 2 * STEP),
+    "mix": (HEADS * VALUE, WIDTH),
+    "group": (WIDTH, GROUPS),
+    "group_bias": (GROUPS,),
+    "slot": (ROWS, WIDTH),
+    "slot_bias": (ROWS,),
+}
 PARAMETERS = sum(int(np.prod(s)) for s in SHAPES.values())
-_DISTANCE = np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP)[None]
-_CAUSAL = (_DISTANCE >= 0).astype(np.float32)
+_DISTANCE = np.maximum(np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP)[None], 0)
+_CAUSAL = (np.arange(STEP)[:, None] + STEP >= np.arange(2 * STEP)[None]).astype(np.float32)
+_MOST = 60.0  # exponentials are taken of at most this, and at least its negative
+_ONES = np.ones((max(SLOTS, GROUPS), 1), np.float32)
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -124,11 +125,48 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def start_weights(class_share: np.ndarray, seed: int = 3) -> np.ndarray:
+def grouped(pairs: np.ndarray) -> np.ndarray:
+    """A permutation of the rows, position to row: halved again and again at the median of their leading direction.
+
+    ``pairs[a, b]`` counts row b after row a. Rows that follow the same rows come into the same group.
+    """
+    seen = pairs / np.sqrt((pairs.sum(1, keepdims=True) + 1) * (pairs.sum(0) + 1))
+    parts = [np.arange(len(pairs))]
+    while len(parts) < GROUPS:
+        halves = []
+        for rows in parts:
+            m = seen[:, rows]
+            m = m - m.mean(1, keepdims=True)
+            lead = np.linalg.eigh(m.T @ m)[1][:, -1]
+            order = rows[np.argsort(lead * np.sign(lead[np.abs(lead).argmax()]), kind="stable")]
+            halves += [order[: len(order) // 2], order[len(order) // 2 :]]
+        parts = halves
+    return np.concatenate(parts)
+
+
+def start_weights(pairs: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Weights whose scores are a low-rank fit of the smoothed counts ``pairs`` of rows in a row, with random attention."""
     rng = np.random.default_rng(seed)
     flat = rng.normal(0, 0.1, PARAMETERS).astype(np.float32)
-    unpack(flat)["bias"][:] = np.log(class_share)
-    unpack(flat)["place"][:] = -0.2 * np.arange(2 * STEP)
+    w = unpack(flat)
+    seen = pairs.sum(1, keepdims=True)
+    share = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * ROWS)
+    p = (pairs + 20 * share) / (seen + 20)
+    group = p.reshape(ROWS, GROUPS, SLOTS).sum(2)
+    group_share = share.reshape(GROUPS, SLOTS).sum(1)
+    within = np.log(p / np.repeat(group, SLOTS, 1)) - np.log(share / np.repeat(group_share, SLOTS))
+    target = np.concatenate([np.log(group / group_share), within], 1)
+    weight = np.sqrt(np.maximum(seen, 1) / max(1, seen.sum()))
+    across = np.concatenate([np.sqrt(group_share), np.sqrt(share)])
+    u, size, v = np.linalg.svd(weight * target * across, full_matrices=False)
+    root = np.sqrt(size[:WIDTH])
+    scale = np.sqrt(root.mean() + 1e-9)  # both sides about as large as each other
+    w["emb"][:] = u[:, :WIDTH] * root / weight / np.sqrt(ROWS) / scale
+    out = (v[:WIDTH].T * root / across[:, None]) * np.sqrt(ROWS) * scale
+    w["group"][:], w["slot"][:] = out[:GROUPS].T, out[GROUPS:]
+    w["group_bias"][:], w["slot_bias"][:] = np.log(group_share), np.log(share)
+    w["place"][:] = -0.1 * np.arange(2 * STEP)
+    w["mix"][:] *= 0.1
     return flat
 
 
@@ -141,87 +179,153 @@ def layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first_block[:-1] * STEP, first, blocks
 
 
+def _shifted(x: np.ndarray, more: int = 0) -> np.ndarray:
+    """Each block's (blocks, STEP, HEADS, n) values after those of the block before, and ``more`` ones at the end."""
+    out = np.empty((len(x), HEADS, 2 * STEP, x.shape[3] + more), x.dtype)
+    moved, n = x.swapaxes(1, 2), x.shape[3]
+    out[:, :, STEP:, :n] = moved
+    out[1:, :, :STEP, :n] = moved[:-1]
+    out[0, :, :STEP, :n] = 0
+    out[..., n:] = 1
+    return out
+
+
+def _unshifted(d: np.ndarray) -> np.ndarray:
+    """The adjoint of ``_shifted``."""
+    out = d[:, :, STEP:].copy()
+    out[:-1] += d[1:, :, :STEP]
+    return out.swapaxes(1, 2).reshape(len(d) * STEP, -1)
+
+
 class Attention:
-    """Forward and backward passes over blocks of STEP positions, each with the block before."""
+    """Forward and backward passes over consecutive blocks of STEP positions, each seeing the block before."""
 
     def __init__(self, flat: np.ndarray):
         self.flat = flat.astype(np.float32)
         self.w = unpack(self.flat)
-        self.refresh()
-
-    def refresh(self) -> None:
-        self.pair = np.exp(self.w["pair"]).ravel()
-        self.place = np.exp(self.w["place"])[np.maximum(_DISTANCE, 0)] * _CAUSAL
-        self.value = np.concatenate([self.w["value"], np.ones((CLASSES, 1), np.float32)], 1)
-
-    def forward(self, now: np.ndarray, before: np.ndarray, first: np.ndarray):
-        """Masked attention of a batch of blocks; returns what the backward pass needs, logits last."""
-        keys = np.concatenate([before, now], 1)
-        index = (now * CLASSES)[:, :, None] + keys[:, None, :]
-        a = self.pair.take(index)
-        a *= self.place
-        a[first, :, :STEP] = 0
-        mixed = a @ self.value.take(keys, 0)
-        total = mixed[..., WIDTH:]
-        h = mixed[..., :WIDTH] / total + self.w["query"].take(now, 0)
-        return keys, index, a, total, h, h.reshape(-1, WIDTH) @ self.w["out"] + self.w["bias"]
+
+    def forward(self, x: np.ndarray, first: np.ndarray):
+        """Masked attention of consecutive blocks of rows; what the backward pass needs, the last state at the end."""
+        w, n = self.w, x.size
+        e = w["emb"].take(x.ravel(), 0)
+        p = e @ w["project"]
+        q = p[:, :_Q].reshape(-1, STEP, HEADS, KEY).swapaxes(1, 2)
+        k = _shifted(p[:, _Q:_K].reshape(-1, STEP, HEADS, KEY))
+        v = _shifted(p[:, _K:].reshape(-1, STEP, HEADS, VALUE), 1)
+        a = q @ k.swapaxes(2, 3)
+        a += w["place"][:, _DISTANCE]
+        np.clip(a, -_MOST, _MOST, out=a)
+        np.exp(a, out=a)
+        a *= _CAUSAL
+        a[first, :, :, :STEP] = 0
+        o = a @ v
+        total = o[..., VALUE:].copy()  # the last value is 1
+        o /= total
+        o = o[..., :VALUE].swapaxes(1, 2).reshape(n, HEADS * VALUE)
+        return e, q, k, v, a, total, o, e + o @ w["mix"]
+
+    def _choices(self, h: np.ndarray, y: np.ndarray):
+        """Group logits, and slot logits in the order of the groups of ``y``: (group, slot, order, bounds)."""
+        group = h @ self.w["group"]
+        group += self.w["group_bias"]
+        order = np.argsort((y // SLOTS).astype(np.uint8), kind="stable")
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(y // SLOTS, minlength=GROUPS))))
+        sorted_h = h.take(order, 0)
+        slot = np.empty((len(h), SLOTS), np.float32)
+        rows = self.w["slot"].reshape(GROUPS, SLOTS, WIDTH)
+        bias = self.w["slot_bias"].reshape(GROUPS, SLOTS)
+        for g in range(GROUPS):
+            a, b = bounds[g], bounds[g + 1]
+            if b > a:
+                np.matmul(sorted_h[a:b], rows[g].T, out=slot[a:b])
+                slot[a:b] += bias[g]
+        return group, slot, order, bounds, sorted_h
 
     def log_prob(self, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural log probability of the classes ``y`` after the classes ``x``; both (blocks, STEP)."""
+        """Natural log probability of the rows ``y`` after the rows ``x``; both (blocks, STEP), the first block a first."""
         out = np.empty(x.shape, np.float32)
-        before = np.concatenate([np.zeros((1, STEP), x.dtype), x[:-1]])
         for i in range(0, len(x), BATCH):
-            at = slice(i, i + BATCH)
-            logits = self.forward(x[at], before[at], first[at])[-1]
-            hit = np.take_along_axis(logits, y[at].reshape(-1, 1), 1)[:, 0]
-            np.exp(logits, out=logits)
-            out[at] = (hit - np.log(logits.sum(1))).reshape(-1, STEP)
+            lead = 1 if i else 0  # the block before is context only
+            at = slice(i - lead, i + BATCH)
+            h = self.forward(x[at], first[at])[-1][lead * STEP :]
+            want = y[i : i + BATCH].ravel()
+            group, slot, order, *_ = self._choices(h, want)
+            line = np.arange(len(want))
+            inner = np.empty(len(want), np.float32)
+            slot_total, group_total = _log_total(slot), _log_total(group)
+            inner[order] = slot[line, want[order] % SLOTS] - slot_total
+            out[i : i + BATCH] = (group[line, want // SLOTS] - group_total + inner).reshape(-1, STEP)
         return out
 
-    def gradient(self, x, before, y, first, real) -> tuple[float, np.ndarray]:
-        keys, index, a, total, h, logits = self.forward(x, before, first)
-        n = max(1, int(real.sum()))
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(1, keepdims=True)
-        flat_y, weight = y.ravel(), real.ravel().astype(np.float32)[:, None] / n
-        loss = -float((np.log(np.maximum(p[np.arange(len(p)), flat_y], 1e-12)) * weight[:, 0]).sum())
-        p[np.arange(len(p)), flat_y] -= 1
-        d = p * weight
+    def gradient(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean loss over the ``real`` positions and its gradient."""
+        w, n = self.w, max(1, int(real.sum()))
+        e, q, k, v, a, total, o, h = self.forward(x, first)
+        want, weight = y.ravel(), real.ravel().astype(np.float32) / n
+        group, slot, order, bounds, sorted_h = self._choices(h, want)
+        line = np.arange(len(want))
+        loss = 0.0
+        for z, hit, share in ((group, want // SLOTS, weight), (slot, want[order] % SLOTS, weight[order])):
+            np.clip(z, -_MOST, _MOST, out=z)
+            np.exp(z, out=z)
+            z /= z @ _ONES
+            loss -= float((np.log(np.maximum(z[line, hit], 1e-12)) * share).sum())
+            z[line, hit] -= 1
+            z *= share[:, None]
         flat = np.zeros(PARAMETERS, np.float32)
         g = unpack(flat)
-        g["out"][:] = h.reshape(-1, WIDTH).T @ d
-        g["bias"][:] = d.sum(0)
-        dh = (d @ self.w["out"].T).reshape(h.shape)
-        share = a / total
-        for k in range(WIDTH):
-            g["query"][:, k] = np.bincount(x.ravel(), dh[..., k].ravel(), CLASSES)
-        dv = share.transpose(0, 2, 1) @ dh
-        for k in range(WIDTH):
-            g["value"][:, k] = np.bincount(keys.ravel(), dv[..., k].ravel(), CLASSES)
-        dw = dh @ self.w["value"].take(keys, 0).transpose(0, 2, 1)
-        da = share * (dw - (share * dw).sum(2, keepdims=True))
-        g["pair"][:] = np.bincount(index.ravel(), da.ravel(), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
-        g["place"][:] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), (da.sum(0) * _CAUSAL).ravel(), 2 * STEP)
+        g["group"][:] = h.T @ group
+        g["group_bias"][:] = group.sum(0)
+        dh = group @ w["group"].T
+        back = np.empty_like(sorted_h)
+        rows, g_rows, g_bias = (t.reshape(GROUPS, SLOTS, -1) for t in (w["slot"], g["slot"], g["slot_bias"]))
+        for c in range(GROUPS):
+            i, j = bounds[c], bounds[c + 1]
+            if j > i:
+                np.matmul(slot[i:j].T, sorted_h[i:j], out=g_rows[c])
+                np.matmul(slot[i:j], rows[c], out=back[i:j])
+                g_bias[c, :, 0] = slot[i:j].sum(0)
+        dh[order] += back
+        g["mix"][:] = o.T @ dh
+        do = (dh @ w["mix"].T).reshape(-1, STEP, HEADS, VALUE).swapaxes(1, 2)
+        a /= total
+        dv = a.swapaxes(2, 3) @ do
+        ds = do @ v[..., :VALUE].swapaxes(2, 3)
+        ds -= (do * o.reshape(-1, STEP, HEADS, VALUE).swapaxes(1, 2)) @ _ONES[:VALUE]
+        ds *= a
+        for t in range(HEADS):
+            g["place"][t] = np.bincount(_DISTANCE.ravel(), ds[:, t].sum(0).ravel(), 2 * STEP)
+        dq = (ds @ k).swapaxes(1, 2).reshape(x.size, -1)
+        dp = np.concatenate([dq, _unshifted(ds.swapaxes(2, 3) @ q), _unshifted(dv)], 1)
+        g["project"][:] = e.T @ dp
+        dh += dp @ w["project"].T
+        at = np.argsort(x.ravel(), kind="stable")
+        ids = x.ravel()[at]
+        edge = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g["emb"][ids[edge]] = np.add.reduceat(dh.take(at, 0), edge, 0)
         return loss, flat
 
 
+def _log_total(z: np.ndarray) -> np.ndarray:
+    np.clip(z, -_MOST, _MOST, out=z)
+    return np.log(np.exp(z) @ _ONES)[:, 0]
+
+
 class Trainer:
-    """Adam over batches of windows."""
+    """Adam over runs of consecutive windows."""
 
     def __init__(self, flat: np.ndarray, rate: float):
         self.net, self.rate, self.t = Attention(flat), rate, 0
         self.m, self.v = np.zeros(PARAMETERS, np.float32), np.zeros(PARAMETERS, np.float32)
         self.seen, self.loss = 0, 0.0
 
-    def step(self, x, before, y, first, real) -> None:
-        loss, g = self.net.gradient(x, before, y, first, real)
+    def step(self, x, y, first, real) -> None:
+        loss, g = self.net.gradient(x, y, first, real)
         self.t += 1
         self.m += 0.1 * (g - self.m)
         self.v += 0.01 * (g * g - self.v)
-        rate = self.rate * min(1, 20 / self.t) ** 0.5
-        self.net.flat -= rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
-        self.net.refresh()
+        rate = self.rate * min(1, self.t / 20, (200 / self.t) ** 0.5)
+        self.net.flat -= rate / (1 - 0.9**self.t) * self.m / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
         self.seen += int(real.sum())
         self.loss += loss * int(real.sum())
 
@@ -239,17 +343,14 @@ def _encoded(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
         enc = encoder(path)
         base, count = uuid.uuid4().int >> 96 << 31, 0
         for batch in batches:
-            texts, i, raw = batch.column(2).to_pylist(), 0, []
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
-                    size += len(texts[j])
-                    j += 1
-                raw += enc.raw(texts[i:j])
-                i = j
-            keys = pa.array(base + np.arange(count, count + len(texts)))
-            count += len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, batch.column(1), pa.array(raw, pa.binary())], names=["doc_id", "key", "held_out", "ids"])
+            for i, j in doc_chunks(utf8(batch.column(2))[1], CHUNK):
+                part = batch.slice(i, j - i)
+                ids, sizes = enc.encode(part.column(2))
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64) * 2
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(_U2))])
+                keys = pa.array(base + np.arange(count, count + len(sizes)))
+                count += len(sizes)
+                yield pa.RecordBatch.from_arrays([part.column(0), keys, part.column(1), raw.cast(pa.binary())], names=["doc_id", "key", "held_out", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text).alias("text"))
     return rows.mapInArrow(scan, f"doc_id {kind}, key long, held_out boolean, ids binary")
@@ -293,13 +394,34 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def _counted(encoded: DataFrame, path: str) -> DataFrame:
-    """(kind, item, n): partial counts of words (kind 0, by hash) and ids (kind 1) of the training documents."""
+def _id_counts(encoded: DataFrame, path: str) -> np.ndarray:
+    """How often each id, the end included, is in the training documents: a sum over as many rows as ids for each part."""
 
     def scan(batches):
-        end = vocabulary(path)[2]
-        n_ids = len(vocabulary(path)[1]) - 1
-        ids_seen, held, size = np.zeros(n_ids, np.int64), [], 0
+        end, n_ids = vocabulary(path)[2], len(vocabulary(path)[1]) - 1
+        seen = np.zeros(n_ids, np.int64)
+        for batch in batches:
+            batch = batch.filter(pa.compute.invert(batch.column("held_out")))
+            for _, ids, sizes in _texts(batch):
+                seen += np.bincount(ids, minlength=n_ids)
+                seen[end] += len(sizes)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], names=["item", "n"])
+
+    counts = encoded.select("held_out", "ids").mapInArrow(scan, "item int, n long").groupBy("item").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(vocabulary(path)[1]) - 1, np.int64)
+    for item, n in counts.collect():  # at most as many as the vocabulary has ids
+        out[item] = n
+    return out
+
+
+def _counted(encoded: DataFrame, row_of: np.ndarray, path: str) -> DataFrame:
+    """(kind, item, n): counts of words (kind 0, by hash) and of rows in a row (kind 1, first * ROWS + second)."""
+    shared = encoded.sparkSession.sparkContext.broadcast(row_of)
+
+    def scan(batches):
+        end, rows = vocabulary(path)[2], shared.value
+        pairs, held, size = np.zeros(ROWS * ROWS, np.int64), [], 0
 
         def out(keys, counts, kind):
             for i in range(0, len(keys), 50_000):
@@ -309,8 +431,8 @@ def _counted(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch.column("held_out")))
             for _, ids, sizes in _texts(batch):
-                ids_seen += np.bincount(ids, minlength=n_ids)
-                ids_seen[end] += len(sizes)
+                line = rows[np.append(np.insert(ids, np.cumsum(sizes) - sizes, end), end)]
+                pairs += np.bincount(line[:-1] * ROWS + line[1:], minlength=ROWS * ROWS)
                 h = np.sort(_words(ids, sizes, path, end)[0])
                 at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
                 held.append((h[at], np.diff(np.append(at, len(h)))))
@@ -323,8 +445,8 @@ def _counted(encoded: DataFrame, path: str) -> DataFrame:
                         held, size = [], 0
         if held:
             yield from out(*_merge(held), 0)
-        some = np.flatnonzero(ids_seen)
-        yield from out(some.astype(np.uint64), ids_seen[some], 1)
+        some = np.flatnonzero(pairs)
+        yield from out(some.astype(np.uint64), pairs[some], 1)
 
     return encoded.select("held_out", "ids").mapInArrow(scan, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
@@ -341,44 +463,41 @@ def _stream(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, n
     return x.reshape(-1, STEP), y.reshape(-1, STEP), first, real.reshape(-1, STEP), starts
 
 
-def _of_round(keys: np.ndarray, sizes: np.ndarray, turn: int) -> np.ndarray:
-    """The windows of round ``turn``: over ROUNDS turns, every window of the documents exactly once."""
-    starts, first, blocks = layout(sizes + 1)
-    return np.flatnonzero((np.repeat(keys % ROUNDS - starts // STEP, blocks) + np.arange(len(first))) % ROUNDS == turn)
+def _of_round(keys: np.ndarray, turn: int) -> np.ndarray:
+    """The documents whose windows are learnt from in round ``turn``."""
+    return np.flatnonzero(keys % ROUNDS == turn)
 
 
-def _trained(encoded: DataFrame, weights: np.ndarray, class_of: np.ndarray, path: str, rate: float, turn: int) -> np.ndarray:
-    """Round ``turn``: each part's Adam from the same weights, then the mean weighted by the windows seen."""
-    shared = encoded.sparkSession.sparkContext.broadcast((weights, class_of))
+def _trained(encoded: DataFrame, weights: np.ndarray, row_of: np.ndarray, path: str, rate: float, turn: int) -> np.ndarray:
+    """Round ``turn``: each part's Adam from the same weights, then the mean weighted by the tokens seen."""
+    shared = encoded.sparkSession.sparkContext.broadcast((weights, row_of))
 
     def scan(batches):
-        flat, kinds = shared.value
-        end = vocabulary(path)[2]
-        trainer, waiting = Trainer(flat, rate), None
-
+        flat, rows = shared.value
+        end, trainer = vocabulary(path)[2], Trainer(flat, rate)
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch.column("held_out")))
-            keys = batch.column("key").to_numpy()
-            for rows, ids, sizes in _texts(batch):
+            batch = batch.take(pa.array(_of_round(batch.column("key").to_numpy(), turn)))
+            for _, ids, sizes in _texts(batch):
                 x, y, first, real, _ = _stream(ids, sizes, end)
-                pick = _of_round(keys[rows], sizes, turn)
-                c = kinds[x]
-                before = np.concatenate([np.zeros((1, STEP), np.int64), c[:-1]])
-                new = (c[pick], before[pick], kinds[y[pick]], first[pick], real[pick])
-                waiting = new if waiting is None else tuple(np.concatenate(p) for p in zip(waiting, new, strict=True))
-                done = len(waiting[0]) // STEPS_OF * STEPS_OF
-                for i in range(0, done, STEPS_OF):
-                    trainer.step(*(p[i : i + STEPS_OF] for p in waiting))
-                waiting = tuple(p[done:].copy() for p in waiting)
-        if waiting is not None and len(waiting[0]):
-            trainer.step(*waiting)
+                x, y = rows[x], rows[y]
+                steps = max(1, round(len(x) / STEPS_OF))
+                for part in np.array_split(np.arange(len(x)), steps):
+                    at = slice(max(0, part[0] - 1), part[-1] + 1)  # the block before is context only
+                    learnt = real[at].copy()
+                    learnt[: part[0] - at.start] = False
+                    trainer.step(x[at], y[at], first[at], learnt)
         if trainer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(trainer.seen)]), pa.array([trainer.net.flat.astype(np.float64)], pa.list_(pa.float64()))], names=["seen", "weights"])
 
     parts = encoded.select("key", "held_out", "ids").mapInArrow(scan, "seen double, weights array<double>")
     mean = parts.select("seen", F.posexplode("weights")).groupBy("pos").agg((F.sum(F.col("seen") * F.col("col")) / F.sum("seen")).alias("w"))
-    got = sorted((r[0], r[1]) for r in mean.collect())
-    return np.array([w for _, w in got], np.float32) if got else weights
+    got = mean.toPandas()  # a number for each parameter
+    if not len(got):
+        return weights
+    out = np.empty(PARAMETERS, np.float32)
+    out[got["pos"].to_numpy()] = got["w"].to_numpy()
+    return out
 
 
 def _scored(encoded: DataFrame, model: tuple, head: tuple[np.ndarray, np.ndarray], path: str) -> DataFrame:
@@ -387,13 +506,13 @@ def _scored(encoded: DataFrame, model: tuple, head: tuple[np.ndarray, np.ndarray
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
-        (flat, class_of, emit), (known, logs) = shared.value
+        (flat, row_of, emit), (known, logs) = shared.value
         end, net = vocabulary(path)[2], Attention(flat)
         for batch in batches:
             outs = []
             for rows, ids, sizes in _texts(batch):
                 x, y, first, real, starts = _stream(ids, sizes, end)
-                logp = net.log_prob(class_of[x], class_of[y], first).astype(np.float64)
+                logp = net.log_prob(row_of[x], row_of[y], first).astype(np.float64)
                 logp += emit[y]
                 logp *= real
                 score = np.add.reduceat(logp.ravel(), starts) / np.log(10) if len(starts) else np.zeros(0)
@@ -422,33 +541,38 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Null and empty texts are just the end. Rows that repeat a doc_id keep a row each and learn each; a row with a null
-    id is training. With no training document at all, counts are 0 and the model is uniform over classes. An empty
+    id is training. With no training document at all, counts are 0 and the model is uniform over rows. An empty
     table gives no rows. Texts of any length are scored whole, in runs of bounded size unless one text is longer.
     """
     spark = docs.sparkSession
     ship(spark)
     path = tokenizer or tokenizer_path()
     encoded = materialize(_encoded(docs, id_col, text, path), "subwords")
-    counts = materialize(_counted(encoded, path), "counts")
+    seen = _id_counts(encoded, path)
+    row_of = rows_of(seen, path)
+    counts = materialize(_counted(encoded, row_of, path), "counts")
     words = counts.where("kind = 0").select(F.col("item").alias("word"), "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    table, offsets, end = vocabulary(path)
-    seen = np.zeros(len(offsets) - 1, np.int64)
-    for item, n in counts.where("kind = 1").select("item", "n").collect():  # as many as the vocabulary has ids
-        seen[item] = n
-    class_of = classes_of(seen, path)
-    mass, members = np.bincount(class_of, seen, CLASSES), np.bincount(class_of, minlength=CLASSES)
-    emit = np.log((seen + 1) / (mass + members)[class_of])
-    weights = start_weights((mass + 1) / (mass + 1).sum())
+    pairs = np.zeros(ROWS * ROWS)
+    some = counts.where("kind = 1").select("item", "n").toPandas()  # at most ROWS * ROWS rows, whatever the input
+    pairs[some["item"].to_numpy(np.int64)] = some["n"].to_numpy(np.float64)
+    pairs = pairs.reshape(ROWS, ROWS)
+    order = grouped(pairs)
+    place = np.empty(ROWS, np.int64)
+    place[order] = np.arange(ROWS)
+    row_of, pairs = place[row_of], pairs[np.ix_(order, order)]
+    mass, members = np.bincount(row_of, seen, ROWS), np.bincount(row_of, minlength=ROWS)
+    emit = np.log((seen + 1) / (mass + members)[row_of])
+    weights = start_weights(pairs)
     for k in range(ROUNDS if total else 0):
-        weights = _trained(encoded, weights, class_of, path, 0.03 / (1 + 2 * k), k)
+        weights = _trained(encoded, weights, row_of, path, RATE / (1 + k), k)
     ladder = words.groupBy("n").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(Window.orderBy(F.desc("n"))))
     least = ladder.where(F.col("upto") <= HEAD).agg(F.min("n")).first()[0]
     top = words.where(F.col("n") >= least if least else F.lit(False)).toPandas()  # at most HEAD rows
     keys = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     head = (keys[order], np.log10(top["n"].to_numpy(np.float64)[order] + 1))
-    rows = materialize(_scored(encoded, (weights, class_of, emit), head, path), "scores")
+    rows = materialize(_scored(encoded, (weights, row_of, emit), head, path), "scores")
     rest = rows.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     hits = rest.join(words, "word").groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("also"))
     joined = rows.drop("words", "times").join(hits, "key", "left")

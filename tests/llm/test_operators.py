@@ -217,23 +217,63 @@ def test_language_model_base_and_gain(spark):
         assert got[i]["held_out"] == (i not in train) and got[i]["score"] < 0
 
 
-def test_attention_is_causal_normalised_and_local():
+def naive_attention(flat, x, first):
+    """Natural log probabilities (blocks, STEP, ROWS) of the next row, position by position in float64."""
+    w = {k: v.astype(np.float64) for k, v in lm.unpack(flat).items()}
+    line, out = x.ravel(), np.zeros((*x.shape, lm.ROWS))
+    for i in range(x.size):
+        block, at = divmod(i, lm.STEP)
+        seen = range(i - at - (0 if first[block] else lm.STEP), i + 1)
+        e = w["emb"][line]
+        p = e @ w["project"]
+        heads = []
+        for h in range(lm.HEADS):
+            q = p[i, h * lm.KEY : (h + 1) * lm.KEY]
+            k = [p[j, lm._Q + h * lm.KEY : lm._Q + (h + 1) * lm.KEY] for j in seen]
+            z = np.array([q @ kk + w["place"][h, i - j] for kk, j in zip(k, seen)])
+            z = np.exp(z) / np.exp(z).sum()
+            heads.append(sum(a * p[j, lm._K + h * lm.VALUE : lm._K + (h + 1) * lm.VALUE] for a, j in zip(z, seen)))
+        s = e[i] + np.concatenate(heads) @ w["mix"]
+        soft = lambda z: z - np.log(np.exp(z).sum())
+        group, slot = soft(s @ w["group"] + w["group_bias"]), w["slot"] @ s + w["slot_bias"]
+        out[block, at] = np.concatenate([group[g] + soft(slot[g * lm.SLOTS : (g + 1) * lm.SLOTS]) for g in range(lm.GROUPS)])
+    return out
+
+
+def test_attention_against_naive_and_finite_differences():
     rng = np.random.default_rng(0)
+    flat = rng.normal(0, 0.3, lm.PARAMETERS).astype(np.float32)
+    x, y = rng.integers(0, lm.ROWS, (4, lm.STEP)), rng.integers(0, lm.ROWS, (4, lm.STEP))
+    x[:, ::2] %= 5
+    first, real = np.array([True, False, True, False]), rng.random(x.shape) < 0.8
+    want = naive_attention(flat, x, first)
+    assert np.allclose(np.exp(want).sum(2), 1)
+    hit = np.take_along_axis(want, y[..., None], 2)[..., 0]
+    assert np.allclose(lm.Attention(flat).log_prob(x, y, first), hit, atol=1e-3)
+    loss, g = lm.Attention(flat).gradient(x, y, first, real)
+    assert loss == pytest.approx(-hit[real].mean(), abs=1e-3)
+    at = 0
+    for name, shape in lm.SHAPES.items():
+        size = int(np.prod(shape))
+        d = np.zeros(lm.PARAMETERS, np.float32)
+        d[at : at + size] = rng.normal(0, 1, size)
+        up, down = (lm.Attention(flat + np.float32(t) * d).gradient(x, y, first, real)[0] for t in (1e-3, -1e-3))
+        assert (up - down) / 2e-3 == pytest.approx(float(g @ d), abs=2e-3, rel=1e-2), name
+        at += size
+
+
+def test_scores_do_not_depend_on_batches(monkeypatch):
+    rng = np.random.default_rng(1)
     net = lm.Attention(rng.normal(0, 0.3, lm.PARAMETERS))
-    x = rng.integers(0, lm.CLASSES, (3, lm.STEP))
-    first = np.array([True, False, False])
-    every = np.stack([net.log_prob(x, np.full_like(x, k), first) for k in range(lm.CLASSES)])
-    assert np.allclose(np.exp(every).sum(0), 1, atol=1e-4)
-    changed = x.copy()
-    changed[1, 8:] = (changed[1, 8:] + 1) % lm.CLASSES
-    a, b = net.log_prob(x, x, first), net.log_prob(changed, x, first)
-    assert np.allclose(a[:1], b[:1]) and np.allclose(a[1, :8], b[1, :8]) and not np.allclose(a[1, 8:], b[1, 8:])
-
-
-def test_language_model_learns_from_every_window(spark):
-    keys, sizes = np.array([7, 2**40 + 2, 4, 9]), np.array([0, 15, 16, 1000])
-    got = np.sort(np.concatenate([lm._of_round(keys, sizes, k) for k in range(lm.ROUNDS)]))
-    assert got.tolist() == list(range(1 + 1 + 2 + 63))
+    x, y, first = rng.integers(0, lm.ROWS, (9, lm.STEP)), rng.integers(0, lm.ROWS, (9, lm.STEP)), np.arange(9) % 4 == 0
+    whole = net.log_prob(x, y, first)
+    monkeypatch.setattr(lm, "BATCH", 2)
+    assert np.allclose(net.log_prob(x, y, first), whole, atol=1e-4)
+
+
+def test_language_model_learns_from_every_document_and_order(spark):
+    keys = np.array([7, 2**40 + 2, 4, 9])
+    assert np.sort(np.concatenate([lm._of_round(keys, k) for k in range(lm.ROUNDS)])).tolist() == [0, 1, 2, 3]
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     kept = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
     calm, mixed = "one two " * 150, "one one two two " * 75  # the same words and ids, in another order
@@ -244,6 +284,31 @@ def test_language_model_learns_from_every_window(spark):
     assert abs(scores[0] - scores[1]) > 1e-3
 
 
+def test_language_model_beats_subword_bigrams_on_held_out_documents(spark):
+    """Interpolated bigrams of subword ids, with the counts of all training documents, as an independent yardstick."""
+    from collections import Counter
+
+    d = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text")
+    enc = Encoder()
+    rows = [(r[0], np.frombuffer(x, enc.dtype).tolist()) for r, x in zip(d.collect(), enc.raw([r[1] or "" for r in d.collect()]))]
+    pairs, ones = Counter(), Counter()
+    for i, ids in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            ones.update([*ids, -1])
+            pairs.update(zip([-1, *ids], [*ids, -1]))
+    lead = Counter()
+    for (a, _), n in pairs.items():
+        lead[a] += n
+    total, kinds, want = sum(ones.values()), enc.size, 0.0
+    for i, ids in rows:
+        if zlib.crc32(str(i).encode()) % 7 == 2:
+            for a, b in zip([-1, *ids], [*ids, -1]):
+                want += np.log10(0.8 * pairs[a, b] / max(1, lead[a]) + 0.2 * (ones[b] + 1) / (total + kinds))
+    got = sum(r["score"] for r in lm.score_documents(d).where("held_out").collect())
+    print("model", got, "bigrams", want)
+    assert got > want
+
+
 def test_language_model_edges(spark):
     got = lm.score_documents(odd(spark)).collect()
     assert len(got) == len(ODD) and min(r["n_tokens"] for r in got) == 1
