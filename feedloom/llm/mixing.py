@@ -1,19 +1,23 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame functions only.
 
-Each word of the corpus starts with rate 1. The mix wants rates r that reach the target T_s of every source s,
+Each document starts with rate 1. The mix wants the rates closest to that, in relative entropy, that reach the target T_s
+of every source s in words, n_d being the words of document d:
 
-    minimise  sum_d n_d (r_d ln r_d - r_d)   subject to   sum_{d in s} n_d r_d = T_s,
+    minimise  sum_d (r_d ln r_d - r_d)   subject to   sum_{d in s} n_d r_d = T_s  and  r_d <= MOST.
 
-with n_d the words of document d: relative entropy counted by word, for the constraints count words. The dual is convex
-and its solution is an exponential tilt, r_d = exp(lambda_s(d)). Newton steps
+The dual is convex, and its solution is an exponential tilt of each document, r_d = min(MOST, exp(lambda_s n_d / m_s)),
+with m_s the mean size, for scale. Its derivative in lambda_s, the words taken less T_s, only grows, so Newton steps
 
-    lambda_s <- lambda_s - (sum_{d in s} n_d exp(lambda_s) - T_s) / sum_{d in s} n_d exp(lambda_s)
+    lambda_s <- lambda_s - (sum n_d r_d - T_s) / sum_{r_d < MOST} (n_d / m_s) n_d r_d
 
-are aggregations over the table of (source, size, documents), which stands for the documents without loss. Entropy
-counted by document instead would tilt by exp(lambda n_d); long documents then pass every cap, so it is not used.
+are kept between the nearest values known to take too few and too many; a step that leaves them goes to their middle, or
+twice as far where one is not known yet. Each is an aggregation over the table of (source, size, documents), which stands
+for the documents without loss. Where T_s is all that MOST copies give, every rate is MOST.
 
-Rates become whole copies along each source's sizes, largest first: the difference between wanted and taken words is
-carried to the next size, so what stays at the end is at most about half of the smallest document that can still move.
+Rates become whole copies by running sums over each source's sizes, from large to small, with a start that a hash of the
+source gives: a size gets as many copies as whole numbers its part of the sum crosses. As sizes only fall, the words then
+differ from the target by less than the largest document. What is missing or too much is made up by sizes that fit in it,
+the largest first, until nothing that fits can move.
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ WEIGHTS = (5, 2, 1)
 #: A source, and a document, is taken at most so many times.
 MOST = 3
 #: Newton ends when no source is further from its target than this share.
-CLOSE = 1e-9
-SALTS = 64
+CLOSE = 1e-6
+#: The documents of one source and size are told apart in so many groups by a hash.
+SALTS = 4096
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,89 +70,123 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return at.select("source", "source_size", F.when(capped, cap).otherwise(F.least(wanted, cap)).alias("target"))
 
 
-def balance(groups: DataFrame, wanted: DataFrame, most_steps: int = 40) -> DataFrame:
-    """(source, tilt): the dual solution for ``groups(source, size, docs)`` and ``wanted(source, target)``.
+def _rate(size: str, most: int) -> Column:
+    """The rate of a document of ``size`` words, given its source's tilt; what takes everything has no tilt."""
+    return F.when(F.col("every"), F.lit(float(most))).otherwise(F.least(F.exp(F.least(F.col("tilt") * F.col(size) / F.col("mean"), F.lit(50.0))), F.lit(float(most))))
 
-    Sources without words, or with target 0, get a null tilt: nothing of them is taken. Each Newton step is one
-    aggregation by source; its result is written to the shared folder. Only the largest relative error, one number,
-    reaches the driver.
+
+def balance(groups: DataFrame, wanted: DataFrame, most: int = MOST, most_steps: int = 80) -> DataFrame:
+    """(source, tilt, mean, every): the dual solution for ``groups(source, size, docs)`` and ``wanted(source, target)``.
+
+    Sources without words, or with target 0, have no row: nothing of them is taken. Each Newton step is one aggregation
+    by source; its result is written to the shared folder. Only the largest relative error, one number, reaches the driver.
     """
-    start = F.when(F.col("target") > 0, F.lit(0.0))
-    at = materialize(wanted.select("source", "target", start.alias("tilt")), "tilt")
+    means = groups.where("size > 0").groupBy(F.col("source").alias("_s")).agg((F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("mean"), F.sum(F.col("size") * F.col("docs")).alias("words"))
+    at = wanted.where("target > 0").join(means, F.col("source").eqNullSafe(F.col("_s"))).select("source", "target", "mean", (F.col("target") >= F.col("words") * most * (1 - CLOSE)).alias("every"))
+    at = materialize(at.select("*", F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")), "tilt")
     for _ in range(most_steps):
-        there = groups.join(at.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        mass = there.groupBy("source").agg(F.first("target").alias("target"), F.first("tilt").alias("tilt"), F.sum(F.col("size") * F.col("docs") * F.exp("tilt")).alias("mass"))
-        miss = (F.col("mass") - F.col("target")) / F.col("mass")
-        step = mass.select("source", "target", F.when(F.col("mass") > 0, F.col("tilt") - miss).alias("tilt"), F.abs((F.col("mass") - F.col("target")) / F.col("target")).alias("error"))
-        at = materialize(step, "tilt")
-        worst = at.agg(F.max(F.when(F.col("tilt").isNotNull(), F.col("error")))).first()[0]
+        there = groups.where("size > 0").join(at.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        words = F.col("size") * F.col("docs") * F.col("rate")
+        state = [F.first(c).alias(c) for c in ("target", "mean", "every", "tilt", "low", "high")]
+        mass = there.withColumn("rate", _rate("size", most)).groupBy("source").agg(*state, F.sum(words).alias("mass"), F.sum(F.when(F.col("rate") < most, words * F.col("size") / F.col("mean"))).alias("slope"))
+        over = F.col("mass") > F.col("target")
+        mass = mass.withColumn("error", F.when(F.col("every"), 0.0).otherwise(F.abs(F.col("mass") / F.col("target") - 1)))
+        mass = mass.withColumn("high", F.when(over, F.col("tilt")).otherwise(F.col("high"))).withColumn("low", F.when(over, F.col("low")).otherwise(F.col("tilt")))
+        newton = F.col("tilt") - (F.col("mass") - F.col("target")) / F.col("slope")
+        outward = F.when(F.col("high").isNull(), F.greatest(2 * F.col("low"), F.col("low") + 1)).when(F.col("low").isNull(), F.least(2 * F.col("high"), F.col("high") - 1))
+        middle = F.coalesce((F.col("low") + F.col("high")) / 2, outward)
+        inside = (F.col("low").isNull() | (newton > F.col("low"))) & (F.col("high").isNull() | (newton < F.col("high"))) & (F.abs(newton - F.col("tilt")) < 20)
+        step = F.when(F.col("error") <= CLOSE, F.col("tilt")).when(F.coalesce(inside, F.lit(False)), newton).otherwise(middle)
+        at = materialize(mass.select("source", "target", "mean", "every", step.alias("tilt"), "low", "high", "error"), "tilt")
+        worst = at.agg(F.max("error")).first()[0]
         if worst is None or worst <= CLOSE:
-            return at.select("source", "tilt")
+            return at.select("source", "tilt", "mean", "every")
     raise RuntimeError(f"Newton did not converge in {most_steps} steps")
 
 
-def _rounded(groups: DataFrame, rates: DataFrame, most: int) -> DataFrame:
-    """(source, size, copies): whole copies for all documents of each size, the rest carried from large to small.
-
-    What is gathered for a source is its distinct sizes, at most as many as the words of its longest document.
-    """
-    ladder = groups.where("size > 0").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "docs")), asc=False).alias("ladder"))
-    ladder = ladder.join(rates.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where("rate IS NOT NULL")
-    done = F.array().cast("array<struct<size: bigint, copies: bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        want = acc["carry"] + F.col("rate") * x["size"] * x["docs"]
-        copies = F.greatest(F.lit(0), F.least(F.round(want / x["size"]).cast("long"), most * x["docs"]))
-        return F.struct((want - copies * x["size"]).alias("carry"), F.concat(acc["done"], F.array(F.struct(x["size"].alias("size"), copies.alias("copies")))).alias("done"))
-
-    taken = F.aggregate("ladder", F.struct(F.lit(0.0).alias("carry"), done.alias("done")), step, lambda acc: acc["done"])
-    return ladder.select("source", F.explode(taken).alias("x")).select("source", "x.size", "x.copies")
-
-
-def copies(docs: DataFrame, wanted: Callable[[DataFrame], DataFrame] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies): a row for each row of ``docs``.
+def _rounded(groups: DataFrame, wanted: DataFrame, rates: DataFrame, most: int, most_rounds: int = 40) -> DataFrame:
+    """(source, size, docs, copies): whole copies for all documents of each size, together near the source's target.
 
-    ``taken`` is ``copies`` times ``size``; no document is taken more than ``most`` times. Documents of one size in one
-    source are alike to the constraints: each gets the whole share of their copies, and the first in a fixed order get
-    one more. Null texts have size 0 and are taken 0 times, as are all documents without words; null is a source of its
-    own, the last; an empty table gives no rows. Rows that repeat a doc_id count each; which of them gets the odd copy
-    is then open, the totals are not. Reruns agree.
+    The window is over the distinct sizes of a source, not its documents. Each round of making up moves one size of every
+    source, by as many copies as fit; a round is an aggregation over the sizes, written to the shared folder.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"))
-    sized = materialize(sized, "sizes")
+    rated = groups.where("size > 0").join(rates.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    share = F.least(F.col("docs") * _rate("size", most), F.col("docs") * F.lit(float(most)))
+    down = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20)
+    upto = F.floor(F.round(F.sum("share").over(down), 6) + start)
+    crossed = rated.withColumn("share", share).withColumn("upto", upto)
+    before = F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy(F.desc("size"))), F.lit(0))
+    made = crossed.select("source", "size", "docs", F.least(F.greatest(F.col("upto") - before, F.lit(0)), most * F.col("docs")).cast("long").alias("copies"))
+    made = materialize(made, "copies")
+    for _ in range(most_rounds):
+        taken = made.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
+        miss = taken.join(wanted.select("source", "target"), F.col("_s").eqNullSafe(F.col("source"))).select("_s", (F.round("target") - F.col("words")).cast("long").alias("miss"))
+        there = made.join(miss, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        room = F.when(F.col("miss") > 0, most * F.col("docs") - F.col("copies")).otherwise(F.col("copies"))
+        moved = F.least(F.floor(F.abs("miss") / F.col("size")), room)
+        fitting = F.when(moved > 0, F.col("size"))
+        picked = there.withColumn("moved", moved).withColumn("pick", fitting == F.max(fitting).over(Window.partitionBy("source")))
+        change = F.when(F.coalesce("pick", F.lit(False)), F.col("moved") * F.signum("miss")).otherwise(0).cast("long")
+        made = materialize(picked.select("source", "size", "docs", (F.col("copies") + change).alias("copies"), change.alias("change")), "copies")
+        if made.where("change <> 0").isEmpty():
+            return made.drop("change")
+        made = made.drop("change")
+    return made
+
+
+def _content(df: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a row's columns; those that Spark can't hash are left out."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    return F.xxhash64(*cols).alias("h1"), F.hash(*cols).alias("h2")
+
+
+def _planned(rows: DataFrame, wanted: Callable[[DataFrame], DataFrame] | None, most: int) -> DataFrame:
+    """Add ``source_size, target, n`` (copies) to ``rows(doc_id, source, size, h1, h2)``."""
+    sized = materialize(rows, "sizes")
     groups = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("docs")), "groups")
     sources = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     aims = materialize((wanted or targets)(sources), "targets")
-    rates = balance(groups, aims).select("source", F.least(F.exp("tilt"), F.lit(float(most))).alias("rate"))
-    shares = _rounded(groups, rates, most)
+    shares = _rounded(groups, aims, balance(groups, aims, most), most)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     shares = groups.join(shares.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "copies"), same("source", "_s") & same("size", "_z"), "left").drop("_s", "_z")
     shares = shares.join(aims.withColumnRenamed("source", "_s"), same("source", "_s")).drop("_s")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    salted = sized.withColumn("salt", salt)
+    salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(SALTS)).cast("int"))
     ahead = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("source", "size", "salt").agg(F.count("*").alias("n")).select("source", "size", "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     plan = shares.join(offsets.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "salt", "ahead"), same("source", "_s") & same("size", "_z")).drop("_s", "_z")
     plan = plan.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_t"), "docs", "ahead", "copies", "source_size", "target")
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id")))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id", "h1", "h2")))
     out = ranked.join(plan, same("source", "_s") & (F.col("size") == F.col("_z")) & (F.col("salt") == F.col("_t")))
     base = F.floor(F.coalesce("copies", F.lit(0)) / F.col("docs"))
     odd = F.coalesce("copies", F.lit(0)) - base * F.col("docs")
-    n = (base + F.when(F.col("ahead") + F.col("rank") <= odd, 1).otherwise(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"))
+    return out.withColumn("n", (base + F.when(F.col("ahead") + F.col("rank") <= odd, 1).otherwise(0)).cast("long"))
+
+
+def copies(docs: DataFrame, wanted: Callable[[DataFrame], DataFrame] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies): a row for each row of ``docs``.
+
+    ``taken`` is ``copies`` times ``size``; no document is taken more than ``most`` times. Documents of one size in one
+    source have one rate: each gets the whole share of their copies, and the first in the order of a hash get one more.
+    Null texts have size 0 and are taken 0 times, as are all documents without words; null is a source of its own, the
+    last; an empty table gives no rows. Rows that repeat a doc_id count each; they are told apart by their text, so reruns
+    agree.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64(id_col, text, source).alias("h1"), F.hash(id_col, text, source).alias("h2"))
+    return _planned(rows, wanted, most).select("doc_id", "size", "source_size", "target", (F.col("n") * F.col("size")).alias("taken"), F.col("n").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with every row as often as the mix takes it, columns kept; rows that repeat a doc_id share its copies."""
-    n = copies(docs, None, id_col, text, source).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows"))
-    there = docs.withColumn("_words", size_of(text))
-    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        rank = F.row_number().over(Window.partitionBy(id_col, "_words").orderBy(F.monotonically_increasing_id()))
-        there = there.withColumn("_rank", rank)
-    else:
-        there = there.withColumn("_rank", F.lit(1))
-    joined = there.join(n, there[id_col].eqNullSafe(n["_id"]) & (F.col("_words") == F.col("_size")))
-    extra = F.pmod(F.col("_n"), F.col("_rows"))
-    times = (F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_rank") <= extra, 1).otherwise(0)).cast("int")
-    repeated = joined.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    """``docs`` with every row as often as the mix takes it; all columns are kept, whatever their names.
+
+    Rows are told apart by two hashes of their columns (96 bits); equal rows share their copies.
+    """
+    h1, h2 = _content(docs)
+    packed = docs.select(F.struct("*").alias("row"), size_of(text).alias("size"), h1, h2)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"), h1, h2)
+    n = _planned(rows, None, MOST).groupBy("h1", "h2", "size").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 0")
+    joined = packed.join(n, ["h1", "h2", "size"])
+    rank = F.row_number().over(Window.partitionBy("h1", "h2", "size").orderBy(F.lit(0)))  # equal rows: any order will do
+    times = (F.floor(F.col("n") / F.col("rows")) + F.when(F.col("rank") <= F.pmod("n", "rows"), 1).otherwise(0)).cast("int")
+    repeated = joined.withColumn("rank", rank).where(times > 0).withColumn("copy", F.explode(F.array_repeat(F.lit(1), times)))
+    return repeated.select("row.*")

@@ -89,6 +89,49 @@ def test_mixing_meets_targets(spark):
     assert again == {(r["doc_id"], r["taken"]) for r in rows}
 
 
+def test_rates_against_a_numpy_solver(spark):
+    rng = np.random.default_rng(2)
+    sizes = {"a": rng.integers(1, 400, 60), "b": rng.integers(1, 9, 5), "c": np.array([5000, 3, 2]), "d": np.array([7, 7, 7])}
+    aims = {"a": 0.2, "b": 2.9, "c": 0.05, "d": 3.0}
+    groups = spark.createDataFrame([(s, int(n), 1) for s, x in sizes.items() for n in x], "source string, size long, docs long").groupBy("source", "size").agg(F.sum("docs").alias("docs"))
+    wanted = spark.createDataFrame([(s, float(aims[s] * x.sum())) for s, x in sizes.items()], "source string, target double")
+    solved = {r["source"]: r for r in mixing.balance(groups, wanted).collect()}
+    for s, x in sizes.items():
+        if aims[s] == 3:
+            assert solved[s]["every"]
+            continue
+        low, high = -1e4, 1e4  # bisection on the same dual
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if (x * np.minimum(3, np.exp(np.minimum(mid * x / x.mean(), 50)))).sum() > aims[s] * x.sum() else (mid, high)
+        want = np.minimum(3, np.exp(np.minimum(mid * x / x.mean(), 50)))
+        got = np.minimum(3, np.exp(np.minimum(solved[s]["tilt"] * x / solved[s]["mean"], 50)))
+        assert np.allclose(got, want, atol=1e-3), s
+    made = mixing._rounded(groups, wanted, mixing.balance(groups, wanted), 3).collect()
+    for s, x in sizes.items():
+        group = [r for r in made if r["source"] == s]
+        assert all(0 <= r["copies"] <= 3 * r["docs"] for r in group)
+        words = sum(r["size"] * r["copies"] for r in group)
+        assert words == 15 if s == "c" else abs(words - aims[s] * x.sum()) <= max(1, x.min())  # c: 250 wanted, but 15 or 5000 possible
+
+
+def test_mix_keeps_columns_and_follows_copies(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "a b d", "s"), (None, "x y", "t"), (None, "x y z", "t"), (2, None, None), (3, "p " * 50, "t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in ("_words", "_n", "_rank", "_copy", "_times", "_id", "_size", "_rows", "row", "size", "h1", "h2", "n", "rows", "rank", "copy"):
+        d = d.withColumn(name, F.lit("mine"))
+    got = mixing.mix(d)
+    assert got.columns == d.columns and all(r["_words"] == r["n"] == r["h1"] == "mine" for r in got.collect())
+    words = lambda t: len(WORD.findall(t or ""))
+    taken, made = {}, {}
+    for r in mixing.copies(d).collect():
+        taken[r["doc_id"], r["size"]] = taken.get((r["doc_id"], r["size"]), 0) + r["taken"]
+    for r in got.collect():
+        made[r["doc_id"], words(r["text"])] = made.get((r["doc_id"], words(r["text"])), 0) + words(r["text"])
+    assert made == {k: v for k, v in taken.items() if v}
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix(d).collect()))
+
+
 def test_mixing_edges(spark):
     assert mixing.copies(odd(spark)).count() == len(ODD)
     assert mixing.copies(odd(spark).limit(0)).count() == 0
