@@ -3,22 +3,25 @@
 The patterns are the runs of 13 consecutive words of every benchmark item, and whole items of fewer words. For the
 patterns of one length a table of two-word blocks says how far the search may jump from a position; where the jump is
 0, the bucket of that last block gives the patterns to compare, word by word. Documents stream through without a
-shuffle; the benchmark, a query set of stated size, is broadcast in blocks of bounded size.
+shuffle; the benchmark is broadcast a block of bounded size at a time. One block holds any usual benchmark; a larger one
+takes a pass over the documents for each block, whose hits are written beside the rows, so driver, broadcast and workers
+hold one block at once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm._shared import ship, text_of
+from feedloom.llm._shared import materialize, ship, text_of
 
 WINDOW = 13
-#: Characters of benchmark text in one broadcast block; a larger benchmark takes several passes over each batch.
+#: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 16_000_000
 
 #: Separators are all ASCII characters but letters and digits; A-Z become a-z; bytes above 0x7F belong to words.
@@ -105,33 +108,69 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     """
     spark = docs.sparkSession
     ship(spark)
-    tables = []
-    for block in benchmark_blocks(benchmark, block_chars):
-        rows = block.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), text_of()).collect()
-        tables.append(spark.sparkContext.broadcast([tuple(r) for r in rows]))
     names = [x.split()[0] for x in COLUMNS.split(", ")]
     keep = docs.drop(*[n for n in names if n != text])
     carried = [f for f in keep.schema.fields if f.name not in names and (carry is None or f.name in carry)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-
     kept = [f.name for f in carried]
+    state = "_hits"
+    while state in docs.columns:
+        state += "_"
+    rows = keep.select(*dict.fromkeys([*kept, text]))
+    *others, last = benchmark_blocks(benchmark, block_chars)
+    if others:
+        rows = rows.withColumn(state, F.lit(None).cast(_STATE))
+    for block in others:
+        table = _table(block)
+        rows = materialize(_searched(rows, table, text, state, window, rows.columns, ""), "hits")
+        table.unpersist()
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried), COLUMNS])
+    return _searched(rows, _table(last), text, state, window, kept, schema)
+
+
+_STATE = "struct<spans: array<struct<a: int, b: int>>, items: array<string>>"
+_STATE_ARROW = pa.struct([("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
+_built: dict[tuple[str, int], Patterns] = {}  # the tables of the block that a worker process searched last
+
+
+def _table(block: DataFrame):
+    items = block.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), text_of()).collect()
+    return block.sparkSession.sparkContext.broadcast([tuple(r) for r in items])
+
+
+def _searched(rows: DataFrame, table, text: str, state: str, window: int, kept: list[str], schema: str) -> DataFrame:
+    """One block's search. With ``schema``, the columns ``kept`` and the results over all blocks; else ``rows``, with the
+    hits of this block added to those in the column ``state``."""
+    key = (uuid.uuid4().hex, window)
+    given = state in rows.columns
+    names = [x.split()[0] for x in COLUMNS.split(", ")]
+    out_schema = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def scan(batches):
-        patterns = [Patterns(t.value, window) for t in tables]
+        if key not in _built:
+            _built.clear()
+            _built[key] = Patterns(table.value, window)
+        patterns = _built[key]
         for batch in batches:
-            out = defaultdict(list)
-            for t in batch.column(text):
+            states, out = [], defaultdict(list)
+            earlier = batch.column(state).to_pylist() if given else [None] * batch.num_rows
+            for t, old in zip(batch.column(text), earlier, strict=True):
                 w = words(t.as_py() or "")
-                found, items = [], set()
-                for p in patterns:
-                    a, b = p.search(w)
-                    found += a
-                    items |= b
+                found, items = patterns.search(w)
+                if old:
+                    found += [(s["a"], s["b"]) for s in old["spans"]]
+                    items = items.union(old["items"])
+                if not schema:
+                    states.append({"spans": [{"a": a, "b": b} for a, b in found], "items": sorted(items)})
+                    continue
                 hit = merge_length(found)
                 for name, value in zip(names, (len(w), hit, len(items), _digest(items), hit > 0 and 20 * hit >= len(w)), strict=True):
                     out[name].append(value)
+            if not schema:
+                columns = [batch.column(f) if f != state else pa.array(states, _STATE_ARROW) for f in kept]
+                yield pa.RecordBatch.from_arrays(columns, names=kept)
+                continue
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             arrays = [pa.array(out[name], kind) for name, kind in zip(names, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in kept), *arrays], names=[*kept, *names])
 
-    return keep.select(*dict.fromkeys([*kept, text])).mapInArrow(scan, f"{schema}, {COLUMNS}")
+    return rows.mapInArrow(scan, out_schema)

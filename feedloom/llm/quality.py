@@ -162,12 +162,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     each. None if nothing is labelled.
     """
     ship(docs.sparkSession)
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "quality").distinct()
-    there = usable.join(docs.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id")).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    there = usable.join(docs.select(F.col(id_col).cast(labels.schema["doc_id"].dataType).alias("doc_id")).distinct(), "doc_id", "left_semi")
     picked = [there.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for q in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text"))
-    got = _features(rows.join(sample, "doc_id").select("doc_id", "quality", "text"), ["doc_id", "quality"], "doc_id long, quality int, counts binary").collect()
+    rows = docs.select(F.col(id_col).cast(labels.schema["doc_id"].dataType).alias("doc_id"), text_of(text).alias("text"))
+    got = _features(rows.join(sample, "doc_id").select("doc_id", "quality", "text"), ["doc_id", "quality"], f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, quality int, counts binary").collect()
     if not got:
         return None
     got = sorted(((r[0], r[1], zlib.decompress(bytes(r[2]))) for r in got))

@@ -520,3 +520,38 @@ def test_sketch_merge_and_edges(spark):
     one = sketch.fingerprint_edits(odd(spark).where("doc_id = 4")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert sketch.fingerprint_edits(odd(spark).limit(0)).count() == 0
+
+
+# ---- pipeline
+
+def test_stages_keep_the_columns_of_their_input(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = docs(spark).limit(40).withColumn("score", F.lit("mine")).withColumn("n_words", F.lit("mine")).withColumn("_words", F.lit("mine")).withColumn("key", F.lit(7)).withColumn("contaminated", F.lit(2))
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, d, SF)
+        assert got.columns == d.columns and dict(got.dtypes) == dict(d.dtypes), name
+        rows = got.collect()
+        assert rows and all(r["score"] == r["n_words"] == r["_words"] == "mine" and r["key"] == 7 and r["contaminated"] == 2 for r in rows), name
+
+
+def test_string_ids(spark):
+    d = docs(spark).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 7, "0")))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 7, "0")))
+    plain = {f"d{r['doc_id']:07d}": r for r in tokens.token_table(docs(spark)).collect()}
+    assert {r["doc_id"]: (r["start"], r["ids_crc32"]) for r in tokens.token_table(d).collect()} == {i: (r["start"], r["ids_crc32"]) for i, r in plain.items()}
+    near = {f"d{r['doc_id']:07d}": r["near_next"] for r in sketch.fingerprint_edits(docs(spark)).collect()}
+    assert {r["doc_id"]: r["near_next"] for r in sketch.fingerprint_edits(d).collect()} == near
+    assert quality.classify(d, labels, carry=[]).count() == d.count()
+
+
+def test_ids_that_tie_fill_many_parts(spark):
+    from feedloom.llm._shared import range_ids
+
+    d = docs(spark).select(F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit(77)).otherwise(F.col("doc_id") + 100).alias("doc_id"), "text")
+    dealt, _ = range_ids(d, "doc_id", 12, F.xxhash64("text"))
+    parts = {}
+    for r in dealt.select("doc_id", "_part").collect():
+        parts.setdefault(r["_part"], []).append(r["doc_id"])
+    assert max(map(len, parts.values())) < d.count() / 5 and sum(x == [None] * len(x) for x in parts.values()) > 1
+    line = [i for p in sorted(parts) for i in sorted(parts[p], key=lambda x: -1 if x is None else x)]
+    assert [(-1 if x is None else x) for x in line] == sorted(-1 if x is None else x for x in line)
