@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _beside(docs: DataFrame, made: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work``, which adds the columns ``made``, on ``docs``: those of ``docs`` keep their values, also under such names."""
+    taken = {c.lower() for c in docs.columns}
+    names = {c: c for c in docs.columns}
+    for c in docs.columns:
+        if c.lower() in made:
+            while names[c].lower() in taken | set(made):
+                names[c] += "_"
+            taken.add(names[c].lower())
+    done = work(docs.select(*[docs[f"`{c}`"].alias(n) for c, n in names.items()]))
+    return done.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    scored = quality.classify(docs, _table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    labels = _table(spark, sf_dir, "labels")
+    return _beside(docs, ("held_out", "score", "predicted"), lambda d: quality.classify(d, labels).where("predicted = 1"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +41,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark contaminates go."""
-    found = decontam.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    benchmark = _table(spark, sf_dir, "benchmark")
+    return _beside(docs, made, lambda d: decontam.contamination(d, benchmark).where(~F.col("contaminated")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
