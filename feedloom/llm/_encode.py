@@ -16,9 +16,9 @@ from feedloom.llm._words import BLOCK, block_hashes
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces a worker's table holds before it starts anew, and the longest piece (bytes) that it keeps.
-ENTRIES, LONGEST = 3_000_000, 60
+ENTRIES, LONGEST = 1_000_000, 60
 #: Bytes of text looked at together.
-RUN = 1 << 21
+RUN = 1 << 20
 
 _LETTER, _DIGIT, _SIGN, _BLANK = 1, 2, 3, 4
 _KIND = np.zeros(256, np.uint8)
@@ -89,7 +89,7 @@ class _Table:
     """Open addressing from a piece's hash to its bytes and ids; bytes are compared, so equal hashes do no harm."""
 
     def __init__(self, dtype: np.dtype):
-        self.slots = np.full(1 << 23, -1, np.int32)
+        self.slots = np.full(1 << 22, -1, np.int32)
         self.n = self.n_bytes = self.n_ids = 0
         self.hashes = np.zeros(1 << 14, np.uint64)
         self.place = np.zeros((4, 1 << 14), np.int32)  # start and length of the bytes, start and number of the ids

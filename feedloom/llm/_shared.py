@@ -17,7 +17,7 @@ from pyspark.sql.types import NumericType, StringType
 #: Rows in an Arrow batch sent to Python, unless the session sets its own: texts can be long, so batches stay short.
 ARROW_ROWS = "1000"
 #: Workers keep freed memory up to this size: numpy's temporaries would otherwise be mapped anew each time.
-_ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(128 << 20)}
+_ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(48 << 20)}
 
 
 def ship(spark: SparkSession) -> None:

@@ -83,7 +83,7 @@ def balance(groups: DataFrame, wanted: DataFrame, most: int = MOST, most_steps:
     """
     means = groups.where("size > 0").groupBy(F.col("source").alias("_s")).agg((F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("mean"), F.sum(F.col("size") * F.col("docs")).alias("words"))
     at = wanted.where("target > 0").join(means, F.col("source").eqNullSafe(F.col("_s"))).select("source", "target", "mean", (F.col("target") >= F.col("words") * most * (1 - CLOSE)).alias("every"))
-    at = materialize(at.select("*", F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")), "tilt")
+    at = materialize(at.select("*", F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")).coalesce(1), "tilt")
     for _ in range(most_steps):
         there = groups.where("size > 0").join(at.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         words = F.col("size") * F.col("docs") * F.col("rate")
@@ -97,7 +97,7 @@ def balance(groups: DataFrame, wanted: DataFrame, most: int = MOST, most_steps:
         middle = F.coalesce((F.col("low") + F.col("high")) / 2, outward)
         inside = (F.col("low").isNull() | (newton > F.col("low"))) & (F.col("high").isNull() | (newton < F.col("high"))) & (F.abs(newton - F.col("tilt")) < 20)
         step = F.when(F.col("error") <= CLOSE, F.col("tilt")).when(F.coalesce(inside, F.lit(False)), newton).otherwise(middle)
-        at = materialize(mass.select("source", "target", "mean", "every", step.alias("tilt"), "low", "high", "error"), "tilt")
+        at = materialize(mass.select("source", "target", "mean", "every", step.alias("tilt"), "low", "high", "error").coalesce(1), "tilt")  # a row for each source
         worst = at.agg(F.max("error")).first()[0]
         if worst is None or worst <= CLOSE:
             return at.select("source", "tilt", "mean", "every")
@@ -146,7 +146,7 @@ def _planned(rows: DataFrame, wanted: Callable[[DataFrame], DataFrame] | None, m
     sized = materialize(rows, "sizes")
     groups = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("docs")), "groups")
     sources = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
-    aims = materialize((wanted or targets)(sources), "targets")
+    aims = materialize((wanted or targets)(sources).coalesce(1), "targets")  # a row for each source
     shares = _rounded(groups, aims, balance(groups, aims, most), most)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     shares = groups.join(shares.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "copies"), same("source", "_s") & same("size", "_z"), "left").drop("_s", "_z")

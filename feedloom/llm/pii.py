@@ -32,7 +32,7 @@ WINDOW, MARGIN = 64, 8
 WINDOWS = 4096
 CHUNK = 4_000_000
 #: Distinct words whose shapes a worker keeps.
-KEPT = 1_000_000
+KEPT = 300_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")

@@ -96,22 +96,26 @@ def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Damped shares times idf, unit length; an empty text is the zero vector."""
     base = CLASSES * CLASSES
     x = counts.copy()
-    words = np.maximum(x[:, base : base + 1], 1)
-    x[:, :base] = np.log1p(100 * x[:, :base] / np.maximum(x[:, :base].sum(1, keepdims=True), 1))
-    x[:, base:] = KIND_WEIGHT * x[:, base:] / words
+    pairs, words = x[:, :base], np.maximum(x[:, base : base + 1], 1)
+    pairs *= 100 / np.maximum(pairs.sum(1, keepdims=True), 1)
+    np.log1p(pairs, out=pairs)
+    x[:, base:] *= KIND_WEIGHT / words
     x[:, base] = 0
     x *= idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    return x
 
 
 class Model:
-    """The latent space and its labelled vectors."""
+    """The latent space and its labelled vectors; ``counts`` is overwritten."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 7):
         seen = (counts > 0).sum(0)
         self.idf = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 1
         self.idf[CLASSES * CLASSES :] = 1
-        x = _weigh(counts, self.idf)
+        x = counts
+        for i in range(0, len(x), 256):  # in place: the driver holds the table once
+            x[i : i + 256] = _weigh(x[i : i + 256], self.idf)
         d = min(dimensions, *x.shape)
         q = x @ np.random.default_rng(seed).standard_normal((x.shape[1], d + 8)).astype(np.float32)
         for _ in range(4):
@@ -119,7 +123,7 @@ class Model:
             q = x @ q
         left = np.linalg.qr(q)[0]
         self.axes = np.linalg.svd(left.T @ x, full_matrices=False)[2][:d].T.astype(np.float32)
-        self.vectors, self.labels = self.project(x), labels.astype(np.float32)
+        self.vectors, self.labels = self.project(x).astype(np.float32), labels.astype(np.float32)
         self.prior = float(labels.mean())
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -170,8 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     got = _features(rows.join(sample, "doc_id").select("doc_id", "quality", "text"), ["doc_id", "quality"], f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, quality int, counts binary").collect()
     if not got:
         return None
-    got = sorted(((r[0], r[1], zlib.decompress(bytes(r[2]))) for r in got))
-    return Model(np.frombuffer(b"".join(r[2] for r in got), np.float32).reshape(-1, TERMS), np.array([r[1] for r in got]))
+    got.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
+    counts = np.empty((len(got), TERMS), np.float32)
+    for i, r in enumerate(got):
+        counts[i] = np.frombuffer(zlib.decompress(bytes(r[2])), np.float32)
+    return Model(counts, np.array([r[1] for r in got]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:

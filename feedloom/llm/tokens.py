@@ -32,7 +32,7 @@ LENGTH = 2048
 #: Sequences in a record batch: what a writer or reader holds at once.
 BATCH = 64
 #: Bytes of text encoded at once, or one longer text.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 
 
 def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
