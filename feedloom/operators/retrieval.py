@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import operator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,14 +80,40 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Vectors in a block of queries and of items: what a task multiplies at once.
+QUERY_BLOCK, ITEM_BLOCK = 1024, 4096
+
+
+def _blocks(rows: DataFrame, key: str, value: str, size: int, prefix: str) -> DataFrame:
+    """One row for about ``size`` rows: their keys and vectors, dealt by a hash of the key."""
+    n = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{prefix}block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(value).alias("v"))).alias(prefix))
+
+
 def exact_top_k(queries: DataFrame, items: DataFrame, k: int, places: int = 6) -> DataFrame:
-    """(query_id, item_id, score, rank) over all items; ``queries(query_id, q)``, a stated set, is broadcast to the items.
+    """(query_id, item_id, score, rank) over all items, ties to the smaller item.
 
-    Each part of the items keeps only its own k best per query before anything is shuffled.
+    ``queries(query_id, q)``, a stated set, and ``items(item_id, v)`` are packed in blocks of bounded size. Each pair of
+    blocks is one matrix product in double precision, of which a query's k best are passed on; the rest is never a row.
+    Scores are rounded before they are ranked.
     """
     if not 1 <= k:
         raise ValueError("k must be at least 1")
-    scored = items.crossJoin(F.broadcast(queries)).select("query_id", "item_id", F.bround(dot("q", "v"), places).alias("score"))
+    kinds = [queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
+    pairs = _blocks(items, "item_id", "v", ITEM_BLOCK, "i").crossJoin(_blocks(queries, "query_id", "q", QUERY_BLOCK, "q")).select("i", "q")
+
+    def best(batches):
+        for batch in batches:
+            for i, q in zip(batch.column("i"), batch.column("q"), strict=True):
+                (item_ids, v), (query_ids, w) = ((x.values.field("id"), np.stack(x.values.field("v").to_numpy(zero_copy_only=False)).astype(np.float64)) for x in (i, q))
+                order = np.argsort(item_ids.to_numpy(zero_copy_only=False), kind="stable")
+                score = np.round(w @ v[order].T, places)
+                few = min(k, score.shape[1])
+                rows = np.argsort(-score, axis=1, kind="stable")[:, :few]  # stable: ties keep the order of the items
+                made = [query_ids.take(pa.array(np.repeat(np.arange(len(w)), few))), item_ids.take(pa.array(order[rows.ravel()])), pa.array(np.take_along_axis(score, rows, 1).ravel())]
+                yield pa.RecordBatch.from_arrays(made, names=["query_id", "item_id", "score"])
+
+    scored = pairs.mapInArrow(best, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
     return top_k(scored, ["query_id"], "score", "item_id", k)
 
 

@@ -66,11 +66,14 @@ def recall_by_band(spark, sf):
 _PAIRS = "p AS (SELECT DISTINCT user_id AS u, video_id AS i FROM lo WHERE positive = 1 AND year <= 1998)"
 
 
-def _cosine_sql(iuf: bool, k: int) -> str:
+_IN_CATALOG = " WHERE j IN (SELECT video_id FROM lo WHERE year <= 1998 GROUP BY 1 HAVING count(*) >= 20)"
+
+
+def _cosine_sql(iuf: bool, k: int, within: str = "") -> str:
     w = "1 / ln(1 + count(*) OVER (PARTITION BY u))" if iuf else "1.0"
     return f"""WITH {OR}, {_PAIRS}, w AS (SELECT u, i, {w} AS w FROM p), n AS (SELECT i, sqrt(sum(w)) AS norm FROM w GROUP BY i),
 s AS (SELECT a.i, b.i AS j, round_even(sum(a.w) / (any_value(x.norm) * any_value(y.norm)), 6) AS sim FROM w a JOIN w b ON a.u = b.u AND a.i <> b.i JOIN n x ON x.i = a.i JOIN n y ON y.i = b.i GROUP BY a.i, b.i),
-t AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM s)"""
+t AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM s{within})"""
 
 
 def _pairs(spark, sf):
@@ -91,24 +94,25 @@ def _moments(spark, sf):
     return log_orders(spark, sf).where("year = 2001 AND positive = 1").select("user_id", "ts").distinct()
 
 
-@query(_cosine_sql(False, 10) + """, m AS (SELECT DISTINCT user_id, ts FROM lo WHERE year = 2001 AND positive = 1), h AS (SELECT DISTINCT m.user_id, m.ts, lo.video_id AS i FROM m JOIN lo ON lo.user_id = m.user_id AND lo.ts < m.ts AND lo.positive = 1),
-sc AS (SELECT h.user_id, h.ts, t.j, round_even(sum(t.sim), 6) AS score FROM h JOIN t ON t.i = h.i AND t.rank <= 10 GROUP BY ALL), c AS (SELECT video_id FROM lo WHERE year <= 1998 GROUP BY 1 HAVING count(*) >= 20),
+@query(_cosine_sql(False, 100, _IN_CATALOG) + """, m AS (SELECT DISTINCT user_id, ts FROM lo WHERE year = 2001 AND positive = 1), h AS (SELECT DISTINCT m.user_id, m.ts, lo.video_id AS i FROM m JOIN lo ON lo.user_id = m.user_id AND lo.ts < m.ts AND lo.positive = 1),
+sc AS (SELECT h.user_id, h.ts, t.j, round_even(sum(t.sim), 6) AS score FROM h JOIN t ON t.i = h.i AND t.rank <= 100 GROUP BY ALL), c AS (SELECT video_id FROM lo WHERE year <= 1998 GROUP BY 1 HAVING count(*) >= 20),
 f AS (SELECT m.user_id, m.ts, c.video_id, coalesce(sc.score, 0.0) AS score, CASE WHEN sc.score > 0 THEN 0 ELSE 1 END AS padded FROM m CROSS JOIN c LEFT JOIN sc ON sc.user_id = m.user_id AND sc.ts = m.ts AND sc.j = c.video_id),
 z AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY padded, score DESC, video_id) AS rank FROM f) SELECT user_id, ts, video_id, score, padded, CAST(rank AS INT) AS rank FROM z WHERE rank <= 10""")
 def itemcf_padded_topk(spark, sf):
     """Top-k by summed similarity to the strict history, padded from the catalog."""
     log, moments = log_orders(spark, sf), _moments(spark, sf)
-    sims = retrieval.item_cosine(_pairs(spark, sf), 10, places=6)
+    cat = retrieval.catalog(log.where("year <= 1998"), 20)
+    sims = retrieval.item_cosine(_pairs(spark, sf), 100, places=6, candidates=cat)
     scores = retrieval.cosine_scores(history.all_before(moments, log.where("positive = 1"), "user_id", "ts"), sims, ["user_id", "ts"], places=6)
-    top = retrieval.padded_top_k(scores, moments, retrieval.catalog(log.where("year <= 1998"), 20), ["user_id", "ts"], 10)
+    top = retrieval.padded_top_k(scores, moments, cat, ["user_id", "ts"], 10)
     return top.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "video_id", "score", "padded", "rank")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS item_id, round_even(list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS item_id, round_even(list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM t WHERE rank <= 10""")
 def exact_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    top = retrieval.exact_top_k(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")), 10)
+    top = retrieval.exact_top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")), 10)
     return top.select("query_id", "item_id", "score", "rank")
 
 

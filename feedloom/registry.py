@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.plans import analysis, evaluation, extensions, features, preprocessing, retrieval  # noqa: F401  (they register their queries)
+from feedloom.plans import analysis, evaluation, extensions, features, guards, preprocessing, retrieval  # noqa: F401  (they register their queries)
 from feedloom.plans.common import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
