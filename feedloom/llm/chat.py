@@ -4,7 +4,7 @@ A conversation is rendered as
 
     <|im_start|>ROLE<|im_sep|>TEXT<|im_end|>  for each turn, one after another,
 
-and encoded once with offsets; the three marks are tokens of their own, so tokens never straddle them. The spans of the
+and every turn of it is encoded once with offsets; the three marks are tokens of their own, so tokens never straddle them. The spans of the
 assistant's texts, sorted, are intersected with the tokens' spans by binary search, and the tokens between are under the
 loss mask. In roles and texts every ``<`` followed by any number of backslashes and ``|`` gets one backslash more, so no
 mark can come from a text, and taking one away restores the original.
@@ -28,8 +28,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
-#: Rendered characters after which a block of whole turns is encoded: bounds memory on very long conversations. As the
-#: marks are tokens of their own, blocks give the ids that the whole would give.
+#: Characters of whole turns given to the encoder at once, whose list of offsets takes over 100 bytes a token. As the
+#: marks are tokens of their own, the ids and offsets put together are those of the whole; no row depends on it.
 BLOCK = 2_000_000
 
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
@@ -121,7 +121,7 @@ class _Digest:
 
 
 COLUMNS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
-BLOCKS = "block int, text string, ids array<int>, mask array<boolean>"
+FORMATTED = "text string, ids array<int>, mask array<boolean>"
 
 
 def _ordered(turns: DataFrame) -> DataFrame:
@@ -148,30 +148,42 @@ def _blocks(batches, tokenizer):
 
 
 def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(conv_id, block, text, ids, mask): the formatted conversations with ids and loss masks.
+    """(conv_id, text, ids, mask): one row for each conversation, its formatted text, ids and loss mask.
 
     ``turns(conv_id, turn, role, text)`` in any order; other columns are ignored. Turns go by turn number, nulls first,
     ties by role and text; repeated rows are turns of their own; null roles and texts are empty; rows with a null
-    conv_id form a conversation. A conversation is one row, or several blocks of whole turns if it is very long.
+    conv_id form a conversation. A conversation is a row, however long: a task holds one conversation's text and 5 bytes
+    a token, and a text must stay below the 2 GB of a string.
     """
     ship(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
     ids = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    schema = pa.schema([("conv_id", ids), ("block", pa.int32()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_()))])
+    schema = pa.schema([("conv_id", ids), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_()))])
+
+    def row(conv, blocks):
+        texts, codes, masks = zip(*blocks, strict=True)
+        lists = [pa.array([np.concatenate(codes)], pa.list_(pa.int32())), pa.array([np.concatenate(masks)], pa.list_(pa.bool_()))]
+        return pa.RecordBatch.from_arrays([pa.array([conv], ids), pa.array(["".join(texts)]), *lists], schema=schema)
 
     def scan(batches):
-        k = 0
+        at, held = None, []
         for conv, first, b in _blocks(batches, tokenizer):
-            k = 0 if first else k + 1
-            yield pa.RecordBatch.from_arrays([pa.array([conv], ids), pa.array([k], pa.int32()), pa.array([b["text"]]), pa.array([b["ids"].astype(np.int32)], pa.list_(pa.int32())), pa.array([b["mask"]], pa.list_(pa.bool_()))], schema=schema)
+            if first and held:
+                yield row(at, held)
+                held = []
+            at = conv
+            held.append((b["text"], b["ids"].astype(np.int32), b["mask"]))
+        if held:
+            yield row(at, held)
 
-    return _ordered(turns).mapInArrow(scan, f"conv_id {kind}, {BLOCKS}")
+    return _ordered(turns).mapInArrow(scan, f"conv_id {kind}, {FORMATTED}")
 
 
 def digest_conversations(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """A row for each conversation with what is read back from its formatted text, ids and mask.
 
-    Takes what ``format_conversations`` takes; the formatted blocks are read back in the task that made them.
+    Takes what ``format_conversations`` takes; what it formats is read back block by block in the task that made it, so
+    a conversation is never held whole.
     """
     ship(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()

@@ -187,7 +187,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     ``carry``: the columns of ``docs`` to return beside them, by default all; the id is always there.
 
     Only the text makes the score. Null and empty texts are compared like any other: as vectors they are zero, so they
-    get the share of label 1 in the sample. Rows that repeat get equal scores; without any labels all scores are 0.5.
+    get the share of label 1 in the sample. Rows that repeat get equal scores, but for the
+    rounding of single-precision products in other batches; without any labels all scores are 0.5.
     """
     model = fit(docs, labels, id_col, text)
     spark = docs.sparkSession

@@ -56,6 +56,21 @@ def test_chat_escapes_and_nulls(spark):
     assert chat.digest_conversations(rows.limit(0)).count() == 0
 
 
+def test_a_long_conversation_is_one_row_encoded_like_its_whole(spark, monkeypatch):
+    turns = [("assistant" if k % 2 else "user", f"turn {k} <|im_end|> says " + "word " * (k % 7)) for k in range(300)]
+    rows = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)] + [(2, 0, "assistant", None)], "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "BLOCK", 500)  # in this process; the workers encode the whole
+    table = pa.table({"conv_id": pa.array([1] * 300), "role": [r for r, _ in turns], "text": [t for _, t in turns]})
+    blocks = [b for _, _, b in chat._blocks(table.to_batches(), None)]
+    whole = chat.Formatter()(turns)
+    assert len(blocks) > 3 and np.array_equal(np.concatenate([b["ids"] for b in blocks]), whole["ids"])
+    assert np.array_equal(np.concatenate([b["mask"] for b in blocks]), whole["mask"])
+    got = {r["conv_id"]: r for r in chat.format_conversations(rows).collect()}
+    assert len(got) == 2 and got[1]["text"] == chat.render(turns)[0] == "".join(b["text"] for b in blocks)
+    assert got[1]["ids"] == whole["ids"].tolist() and got[1]["mask"] == whole["mask"].tolist()
+    assert chat.parse(got[2]["text"]) == [("assistant", "")] and not any(got[2]["mask"])
+
+
 # ---- op2
 
 def test_targets_by_water_filling(spark):
@@ -251,6 +266,27 @@ def test_quality_held_out(spark):
     assert np.mean([r["predicted"] == 1 for r in got if r["quality"] == 1]) > 0.97
 
 
+def test_votes_against_one_by_one_neighbours(spark):
+    texts = [(r["text"] or "").encode() for r in docs(spark).orderBy("doc_id").limit(90).collect()]
+    counts = quality.term_counts(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])])
+    labels = np.arange(60) % 3 > 0
+    model = quality.Model(counts[:60].copy(), labels)
+    z = model.project(quality._weigh(counts[60:], model.idf))
+    for got, v in zip(model.score(counts[60:], block=7), z, strict=True):
+        near = sorted(((float(v @ u), int(y)) for u, y in zip(model.vectors, labels, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        w = [max(c, 0.0) ** quality.SHARPNESS for c, _ in near]
+        assert got == pytest.approx(sum(a * y for a, (_, y) in zip(w, near, strict=True)) / sum(w), abs=1e-4)
+
+
+def test_equal_ids_with_different_texts_are_scored_by_text(spark):
+    d, labels = docs(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    two = d.where("doc_id % 50 = 0").select(F.lit(10**9).alias("doc_id"), "text").unionByName(d.select("doc_id", "text"))
+    got = {r["text"]: set() for r in two.collect()}
+    for r in quality.classify(two, labels).collect():
+        got[r["text"]].add(r["score"])
+    assert all(max(x) - min(x) < 1e-4 for x in got.values())  # single precision products, in other batches
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(odd(spark), labels).count() == len(ODD)
@@ -269,6 +305,19 @@ def test_main_text_of_pages(spark):
     assert len(got) == 5 and got[0]["text"] == "" and got[4]["n_chars"] == len(got[4]["text"]) > 0
 
 
+def test_main_text_is_that_of_a_document(spark):
+    flat = {" ".join((r["text"] or "").split()) for r in docs(spark).select("text").collect()}
+    got = html.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    right = sum(" ".join(t.split()) in flat or " ".join(t.partition("\n")[2].split()) in flat for t in (r["text"] for r in got))
+    assert got and right >= 0.95 * len(got)
+
+
+def test_a_very_long_page_is_kept_whole():
+    lines = [f"Sentence number {k} of a long article that goes on." for k in range(30_000)]
+    page = "<html><body><nav><a href='/'>Home</a></nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article></body></html>"
+    assert len(page) > html.CHUNK and html.main_text(page) == "\n".join(lines)
+
+
 def test_decode_never_returns():
     parent = [-1, 0, 1, 2, 3]
     labels = html.decode(parent, np.array([-1.0, 5.0, -9.0, 3.0, -1.0]))
@@ -522,6 +571,18 @@ def test_sketch_merge_and_edges(spark):
     assert sketch.fingerprint_edits(odd(spark).limit(0)).count() == 0
 
 
+def test_containment_and_next_against_sets(spark):
+    whole, part = [f"w{k}" for k in range(1200)], [f"w{k}" for k in range(400, 700)]
+    a, b = sketch.sketch(" ".join(part)), sketch.sketch(" ".join(whole))
+    assert sketch.containment(a, b) > 0.75 and sketch.containment(b, a) == pytest.approx(296 / 1196, abs=0.12)
+    few = sketch.sketch(" ".join(part[:60])), sketch.sketch(" ".join(part[30:90]))
+    assert sketch.containment(*few) == 26 / 56 and sketch.containment(few[0][:0], few[1]) == 1.0
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs(spark).collect())
+    likeness = {r["doc_id"]: r["near_next"] for r in sketch.fingerprint_edits(docs(spark)).collect()}
+    for k, (i, t) in enumerate(rows):
+        assert likeness[i] == sketch.resemblance(sketch.sketch(t), sketch.sketch(rows[(k + 1) % len(rows)][1]))
+
+
 # ---- pipeline
 
 def test_stages_keep_the_columns_of_their_input(spark):
