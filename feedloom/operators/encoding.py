@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.operators.order import numbered
+
 PAD, OOV = 0, 1
 
 
 def vocabulary(counts: DataFrame, first: int = 2) -> DataFrame:
     """(id, n, index) for ``counts(id, n)``: the most frequent first, ties to the smaller id; PAD and OOV are reserved."""
-    return counts.withColumn("index", (F.row_number().over(Window.orderBy(F.desc("n"), "id")) + first - 1).cast("int"))
+    return numbered(counts, [-F.col("n"), F.col("id")], "index", first)
 
 
 def ordered_union(first: DataFrame, extra: DataFrame) -> DataFrame:
     """Vocabulary of the catalog's ids by frequency, then ids of ``extra`` that it lacks, ascending; (id, n, index)."""
     a = first.select("id", "n", F.lit(0).alias("_g"))
     b = extra.select("id").distinct().join(first.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n"), F.lit(1).alias("_g"))
-    w = Window.orderBy("_g", F.desc("n"), "id")
-    return a.unionByName(b).withColumn("index", (F.row_number().over(w) + 1).cast("int")).drop("_g")
+    return numbered(a.unionByName(b), [F.col("_g"), -F.col("n"), F.col("id")], "index", 2).drop("_g")
 
 
 def tags(col: str, trim: bool, sep: str = ",") -> Column:
@@ -42,7 +43,7 @@ def apply_standard(df: DataFrame, stats: DataFrame, columns: list[str], log: boo
 
 def category_map(df: DataFrame, col: str) -> DataFrame:
     """(value, code): distinct non-null values as text in their own order from 1; unknown values get 0 when joined."""
-    return df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct().withColumn("code", F.row_number().over(Window.orderBy("value")).cast("int"))
+    return df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct().transform(numbered, [F.col("value")], "code")
 
 
 def classify(name: str) -> str:

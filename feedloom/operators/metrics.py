@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.operators.order import sums_before
+
 
 def auc(pred: DataFrame, by: list[str], score: str = "p", label: str = "y") -> DataFrame:
     """(by..., n, pos, auc): area under the ROC curve with average ties; null where a class is missing.
 
-    Rows are summed by score first; only distinct scores of a group are ordered.
+    Rows are summed by score first; only distinct scores of a group are ordered, in slices over many tasks.
     """
     at = pred.groupBy(*by, score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = at.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    below = sums_before(at, [F.col(score)], {"_below": F.col("_n")}, by)
     g = below.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_u"), F.sum("_p").alias("pos"), F.sum("_n").alias("_neg"))
     return g.select(*by, (F.col("pos") + F.col("_neg")).alias("n"), "pos", F.when((F.col("pos") > 0) & (F.col("_neg") > 0), F.col("_u") / (F.col("pos") * F.col("_neg"))).alias("auc"))
 
@@ -33,8 +34,7 @@ def pcoc(score: str = "p", label: str = "y") -> Column:
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Rank from 1 with ties averaged; distinct values are numbered from their counts."""
     counts = df.groupBy(value).agg(F.count("*").alias("_c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(value, (F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2).alias(out))
+    ranks = sums_before(counts, [F.col(value)], {"_b": F.col("_c")}).select(value, (F.col("_b") + (F.col("_c") + 1) / 2).alias(out))
     return df.join(ranks, value)
 
 

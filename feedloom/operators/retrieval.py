@@ -61,18 +61,21 @@ def cosine_scores(history: DataFrame, sims: DataFrame, moment: list[str], item:
     return h.join(sims.select("i", "j", "sim"), "i").groupBy(*moment, F.col("j").alias(item)).agg(F.bround(F.sum("sim"), places).alias("score"))
 
 
-def padded_top_k(scores: DataFrame, moments: DataFrame, cat: DataFrame, moment: list[str], k: int, item: str = "video_id") -> DataFrame:
+def padded_top_k(scores: DataFrame, moments: DataFrame, cat: DataFrame, moment: list[str], k: int, item: str = "video_id", descending: bool = False) -> DataFrame:
     """k items of the catalog for each moment: scored items first, then unscored ones in item order.
 
-    Only the first k items of the catalog in item order, and as many more as there are scored ones, can be needed for
-    padding, so a moment meets at most 2k catalog rows, not the catalog.
+    (moment..., item, score, padded, rank, n_padded). Padding needs no more than the catalog's first k items, ascending
+    or ``descending``: one array that every list of fewer than k scored items takes what it lacks from.
     """
-    real = top_k(scores.where("score > 0").join(cat.select(item), item, "left_semi"), moment, "score", item, k).select(*moment, item, "score", F.lit(0).alias("padded"))
-    first = cat.select(item).orderBy(item).limit(2 * k)
-    fill = moments.select(*moment).distinct().crossJoin(F.broadcast(first)).join(real.select(*moment, item), [*moment, item], "left_anti")
-    both = real.unionByName(fill.select(*moment, item, F.lit(0.0).alias("score"), F.lit(1).alias("padded")))
-    w = Window.partitionBy(*moment).orderBy("padded", F.desc("score"), item)
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    real = top_k(scores.where("score > 0").join(cat.select(item), item, "left_semi"), moment, "score", item, k)
+    listed = real.groupBy(*moment).agg(F.array_sort(F.collect_list(F.struct("rank", item, "score"))).alias("_real"))
+    first = cat.select(item).orderBy(F.desc(item) if descending else F.asc(item)).limit(k).agg(F.sort_array(F.collect_list(item), not descending).alias("_first"))
+    lists = moments.select(*moment).distinct().join(listed, moment, "left").crossJoin(F.broadcast(first))  # one row of k items
+    found = F.coalesce(F.transform("_real", lambda x: F.struct(x[item].alias(item), x["score"].alias("score"), F.lit(0).alias("padded"))), F.array())
+    lists = lists.withColumn("_found", found).withColumn("_lack", F.slice(F.array_except("_first", F.transform("_found", lambda x: x[item])), F.lit(1), F.lit(k) - F.size("_found")))
+    pads = F.transform("_lack", lambda x: F.struct(x.alias(item), F.lit(0.0).alias("score"), F.lit(1).alias("padded")))
+    out = lists.select(*moment, F.size("_lack").alias("n_padded"), F.posexplode(F.concat("_found", pads)).alias("_at", "_x"))
+    return out.select(*moment, F.col(f"_x.{item}").alias(item), "_x.score", "_x.padded", (F.col("_at") + 1).alias("rank"), "n_padded")
 
 
 def dot(a: str, b: str) -> Column:

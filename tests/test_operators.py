@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators import encoding, history, metrics, retrieval, windows
+from feedloom.operators import encoding, history, metrics, order, retrieval, samples, windows
 
 
 def test_ranking_at_by_hand(spark):
@@ -102,3 +102,38 @@ def test_coverage_and_lift(spark):
     cat = spark.range(100)
     at = spark.createDataFrame([(10, 0.0), (10, 1.0)], "k int, recall double")
     assert tuple(metrics.lift_over_chance(at, cat).first()) == (10, 0.5, 0.1, 5.0)
+
+
+@pytest.mark.parametrize("slices", [1, 5, 64])
+def test_sums_before_are_those_of_one_window(spark, slices):
+    rows = spark.range(3000).selectExpr("id % 3 AS g", "IF(id = 7, NULL, (id * 7919) % 3001) AS k", "CAST(id % 5 AS INT) AS v")
+    got = order.sums_before(rows, [F.col("k")], {"s": F.col("v"), "n": F.lit(1)}, ["g"], slices).toPandas().sort_values(["g", "k"], na_position="first")
+    for _, one in got.groupby("g"):
+        assert one["s"].tolist() == [0, *one["v"].cumsum()[:-1]] and one["n"].tolist() == list(range(1000))
+    ids = order.numbered(rows, [-F.col("v"), F.col("k")], "i", 2).toPandas().sort_values("i")
+    assert ids["i"].tolist() == list(range(2, 3002)) and ids["v"].is_monotonic_decreasing
+    assert order.sums_before(rows.limit(0), [F.col("k")], {"s": F.col("v")}, ["g"], slices).count() == 0
+
+
+def test_assembly_keeps_every_sample_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "id int, k string")
+    part = spark.createDataFrame([("a", 5.0), ("a", 5.0), (None, 9.0)], "k string, x double")
+    got = samples.assemble(rows, [(part, ["k"], {"x": F.lit(-1.0)})]).orderBy("id").collect()
+    assert [(r["id"], r["x"]) for r in got] == [(1, 5.0), (2, -1.0), (3, -1.0), (4, 5.0)]
+    z = samples.standardised(spark.createDataFrame([(True, 1.0, 7.0), (True, 3.0, 7.0), (False, 9.0, 1.0)], "t boolean, a double, b double"), F.col("t"), {"a": F.col("a"), "b": F.col("b")}).collect()
+    assert [(r["a"], r["b"]) for r in z] == [(-1.0, 0.0), (1.0, 0.0), (7.0, 0.0)]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_padding_takes_what_is_lacking(spark, descending):
+    cat = spark.createDataFrame([(i, 1) for i in range(1, 9)], "video_id int, train_freq int")
+    scores = spark.createDataFrame([(1, 1, 0.5), (1, 8, 0.9), (1, 99, 5.0), (2, 3, 0.0), *[(3, i, 1.0) for i in range(1, 7)]], "m int, video_id int, score double")
+    moments = spark.createDataFrame([(1,), (2,), (2,), (3,)], "m int")
+    got = {}
+    for r in retrieval.padded_top_k(scores, moments, cat, ["m"], 4, descending=descending).orderBy("m", "rank").collect():
+        got.setdefault(r["m"], []).append((r["video_id"], r["padded"], r["n_padded"]))
+    pads = [8, 7, 6, 5] if descending else [1, 2, 3, 4]
+    fill = [7, 6] if descending else [2, 3]
+    assert got[1] == [(8, 0, 2), (1, 0, 2), *[(i, 1, 2) for i in fill]]
+    assert got[2] == [(i, 1, 4) for i in pads] and got[3] == [(i, 0, 0) for i in (1, 2, 3, 4)]
+    assert retrieval.padded_top_k(scores, moments.limit(0), cat, ["m"], 4).count() == 0
