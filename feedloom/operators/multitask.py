@@ -2,11 +2,15 @@
 
 Which experts a task may use says which model it is: its own only (single-task), all (MMoE), shared and its own (CGC).
 Rows stay where they are: in every step each part returns the sum of its gradients, Spark adds them by parameter, and the
-driver, which holds as many numbers as there are parameters, takes one step of Adam.
+driver, which holds as many numbers as there are parameters, takes one step of Adam. ``Stacked`` puts several such layers
+on each other (PLE), ``Selective`` lets each task take its share of one common layer through a sigmoid gate.
 """
 
 from __future__ import annotations
 
+import copy
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,17 +30,28 @@ def cgc(tasks: int, shared: int, own: int = 1) -> np.ndarray:
     return np.concatenate([np.ones((tasks, shared), bool), np.repeat(single(tasks), own, 1)], 1)
 
 
-class Mixture:
-    """Weights of the model and its passes over a block of rows."""
+class Net:
+    """A model's weights as one vector, named by ``shapes``; what a model adds is ``forward`` and ``gradient``."""
 
-    def __init__(self, features: int, allowed: np.ndarray, width: int = 8, seed: int = 42, flat: np.ndarray | None = None):
-        tasks, experts = allowed.shape
-        self.shapes = {"expert": (features, experts, width), "offset": (experts, width), "gate": (features, tasks, experts), "tower": (tasks, width), "bias": (tasks,)}
-        self.allowed, self.size = allowed, sum(int(np.prod(s)) for s in self.shapes.values())
-        rng = np.random.default_rng(seed)
-        self.flat = rng.normal(0, 0.3, self.size) if flat is None else flat
+    def __init__(self, shapes: dict[str, tuple[int, ...]], seed: int, flat: np.ndarray | None):
+        self.shapes, self.size = shapes, sum(int(np.prod(s)) for s in shapes.values())
+        self.flat = np.random.default_rng(seed).normal(0, 0.3, self.size) if flat is None else flat
         self.w = self.views(self.flat)
 
+    def at(self, flat: np.ndarray) -> Net:
+        """The same model with other weights."""
+        other = copy.copy(self)
+        other.flat, other.w = flat, self.views(flat)
+        return other
+
+    def parameters(self) -> dict[str, int]:
+        """Number of weights by kind: what comes before the first underscore of a name."""
+        out: dict[str, int] = {}
+        for name, shape in self.shapes.items():
+            kind = name.partition("_")[0]
+            out[kind] = out.get(kind, 0) + int(np.prod(shape))
+        return out
+
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
         for name, shape in self.shapes.items():
@@ -44,22 +59,38 @@ class Mixture:
             out[name], at = flat[at : at + n].reshape(shape), at + n
         return out
 
+
+def _logistic(rep: np.ndarray, tower: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip((rep * tower).sum(2) + bias, -50, 50)))
+
+
+def _loss(p: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Sum over rows of the mean loss over tasks, and its slope in the logits; a missing label (NaN) adds nothing."""
+    known = ~np.isnan(y)
+    hit = np.clip(np.where(y == 1, p, 1 - p), 1e-12, 1)
+    return -float(np.log(hit[known]).sum()) / y.shape[1], np.where(known, p - np.nan_to_num(y), 0) / y.shape[1]
+
+
+class Mixture(Net):
+    """One layer of experts: single-task, MMoE or CGC by ``allowed``."""
+
+    def __init__(self, features: int, allowed: np.ndarray, width: int = 8, seed: int = 42, flat: np.ndarray | None = None):
+        tasks, experts = allowed.shape
+        self.allowed = allowed
+        super().__init__({"expert": (features, experts, width), "offset": (experts, width), "gate": (features, tasks, experts), "tower": (tasks, width), "bias": (tasks,)}, seed, flat)
+
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         h = np.maximum(np.tensordot(x, self.w["expert"], 1) + self.w["offset"], 0)
         a = np.where(self.allowed, np.tensordot(x, self.w["gate"], 1), -np.inf)
         g = np.exp(a - a.max(2, keepdims=True))
         g /= g.sum(2, keepdims=True)
         mixed = np.einsum("btk,bke->bte", g, h)
-        logit = (mixed * self.w["tower"]).sum(2) + self.w["bias"]
-        return h, g, mixed, 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+        return h, g, mixed, _logistic(mixed, self.w["tower"], self.w["bias"])
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """Sum over rows of the mean loss over tasks, and its gradient; a missing label (NaN) adds nothing."""
+        """Loss of the rows and its gradient."""
         h, g, mixed, p = self.forward(x)
-        known = ~np.isnan(y)
-        hit = np.clip(np.where(y == 1, p, 1 - p), 1e-12, 1)
-        loss = -float(np.log(hit[known]).sum()) / y.shape[1]
-        d = np.where(known, p - np.nan_to_num(y), 0) / y.shape[1]
+        loss, d = _loss(p, y)
         flat = np.zeros(self.size)
         out = self.views(flat)
         out["bias"][:], out["tower"][:] = d.sum(0), np.einsum("bt,bte->te", d, mixed)
@@ -71,6 +102,94 @@ class Mixture:
         return loss, flat
 
 
+class Stacked(Net):
+    """Levels of shared and own experts. A task's gate mixes its own and the shared ones, a gate of the shared line mixes
+    all, and the mixtures are what the next level's experts and gates see; the last level has no shared line."""
+
+    def __init__(self, features: int, tasks: int, shared: int = 1, own: int = 1, levels: int = 2, width: int = 8, seed: int = 42, flat: np.ndarray | None = None):
+        self.tasks, self.levels = tasks, levels
+        self.owner = np.r_[np.full(shared, tasks), np.repeat(np.arange(tasks), own)]
+        self.allowed = np.concatenate([(self.owner == np.arange(tasks)[:, None]) | (self.owner == tasks), np.ones((1, len(self.owner)), bool)])
+        n, shapes = len(self.owner), {}
+        for k in range(levels):
+            wide, lines = (width if k else features), tasks + (k + 1 < levels)
+            shapes |= {f"expert_{k}": (n, wide, width), f"offset_{k}": (n, width), f"gate_{k}": (lines, wide, n)}
+        super().__init__(shapes | {"tower": (tasks, width), "bias": (tasks,)}, seed, flat)
+
+    def _up(self, x: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+        at, seen = np.repeat(x[:, None, :], self.tasks + 1, 1), []
+        for k in range(self.levels):
+            gate = self.w[f"gate_{k}"]
+            lines = len(gate)
+            h = np.maximum(np.einsum("bed,edw->bew", at[:, self.owner], self.w[f"expert_{k}"]) + self.w[f"offset_{k}"], 0)
+            a = np.where(self.allowed[:lines], np.einsum("bgd,gde->bge", at[:, :lines], gate), -np.inf)
+            g = np.exp(a - a.max(2, keepdims=True))
+            g /= g.sum(2, keepdims=True)
+            seen.append((at, h, g))
+            at = np.einsum("bge,bew->bgw", g, h)
+        return seen, at
+
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        mixed = self._up(x)[1]
+        return mixed, _logistic(mixed, self.w["tower"], self.w["bias"])
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Loss of the rows and its gradient."""
+        seen, mixed = self._up(x)
+        loss, d = _loss(_logistic(mixed, self.w["tower"], self.w["bias"]), y)
+        flat = np.zeros(self.size)
+        out = self.views(flat)
+        out["bias"][:], out["tower"][:] = d.sum(0), np.einsum("bt,bte->te", d, mixed)
+        down = d[:, :, None] * self.w["tower"]
+        for k in reversed(range(self.levels)):
+            at, h, g = seen[k]
+            lines = g.shape[1]
+            dg = np.einsum("bgw,bew->bge", down, h)
+            da = g * (dg - (g * dg).sum(2, keepdims=True))
+            dh = np.einsum("bge,bgw->bew", g, down) * (h > 0)
+            out[f"gate_{k}"][:] = np.einsum("bgd,bge->gde", at[:, :lines], da)
+            out[f"offset_{k}"][:], out[f"expert_{k}"][:] = dh.sum(0), np.einsum("bed,bew->edw", at[:, self.owner], dh)
+            back = np.zeros_like(at)
+            back[:, :lines] = np.einsum("bge,gde->bgd", da, self.w[f"gate_{k}"])
+            np.add.at(back, (slice(None), self.owner), np.einsum("bew,edw->bed", dh, self.w[f"expert_{k}"]))
+            down = back
+        return loss, flat
+
+
+class Selective(Net):
+    """A layer common to all tasks, of which each takes a sigmoid-gated part beside a private layer of its own."""
+
+    def __init__(self, features: int, tasks: int, common: int = 12, private: int = 4, seed: int = 42, flat: np.ndarray | None = None):
+        self.common = common
+        super().__init__({"expert_common": (features, common), "expert_private": (features, tasks, private), "gate": (features, tasks, common), "tower": (tasks, common + private), "bias": (tasks,)}, seed, flat)
+
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        s, own = np.maximum(x @ self.w["expert_common"], 0), np.maximum(np.tensordot(x, self.w["expert_private"], 1), 0)
+        g = 1 / (1 + np.exp(-np.clip(np.tensordot(x, self.w["gate"], 1), -50, 50)))
+        rep = np.concatenate([g * s[:, None, :], own], 2)
+        return s, own, g, rep, _logistic(rep, self.w["tower"], self.w["bias"])
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Loss of the rows and its gradient."""
+        s, own, g, rep, p = self.forward(x)
+        loss, d = _loss(p, y)
+        flat = np.zeros(self.size)
+        out = self.views(flat)
+        out["bias"][:], out["tower"][:] = d.sum(0), np.einsum("bt,bte->te", d, rep)
+        down = d[:, :, None] * self.w["tower"]
+        taken, kept = down[:, :, : self.common], down[:, :, self.common :]
+        out["gate"][:] = np.tensordot(x, taken * s[:, None, :] * g * (1 - g), ([0], [0]))
+        out["expert_common"][:] = x.T @ ((taken * g).sum(1) * (s > 0))
+        out["expert_private"][:] = np.tensordot(x, kept * (own > 0), ([0], [0]))
+        return loss, flat
+
+
+def comparable(nets: dict[str, Net], reference: str, within: float = 0.2) -> dict[str, bool]:
+    """Which models have as many weights as the reference, give or take the share ``within``."""
+    size = nets[reference].size
+    return {name: abs(net.size - size) <= within * size for name, net in nets.items()}
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
@@ -79,35 +198,48 @@ def _packed(columns: list[str], missing: float):
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(missing)) for c in columns])
 
 
-def fit(rows: DataFrame, features: list[str], labels: list[str], allowed: np.ndarray, steps: int = 20, rate: float = 0.1, width: int = 8, seed: int = 42) -> tuple[Mixture, list[float]]:
-    """A trained model and its mean loss before each step. Null features are 0, null labels unknown; without rows the start stays."""
-    net = Mixture(len(features), allowed, width, seed)
-    packed = rows.select(_packed(features, 0.0).alias("x"), _packed(labels, float("nan")).alias("y")).persist()
-    m, v, losses = np.zeros(net.size), np.zeros(net.size), []
+def descend(packed: DataFrame, net: Net, gradient: Callable[[Net, pa.RecordBatch], tuple[float, np.ndarray]], steps: int, rate: float) -> tuple[Net, list[float]]:
+    """The net after ``steps`` of Adam over all rows of ``packed``, and its mean loss before each of them.
+
+    Every part sums its gradient, Spark adds the sums by weight; what comes to the driver is as long as ``net.flat``.
+    """
+    packed = packed.persist()
+    m, v, losses, size = np.zeros(net.size), np.zeros(net.size), [], net.size
     for t in range(1, steps + 1):
-        flat = net.flat
 
-        def scan(batches, flat=flat):
-            here, n, loss, total = Mixture(len(features), allowed, width, flat=flat), 0, 0.0, np.zeros(len(flat))
+        def scan(batches, here=net):
+            n, loss, total = 0, 0.0, np.zeros(size)
             for batch in batches:
-                one, g = here.gradient(_matrix(batch.column(0), len(features)), _matrix(batch.column(1), len(labels)))
-                n, loss, total = n + batch.num_rows, loss + one, total + g
+                if batch.num_rows:
+                    one, g = gradient(here, batch)
+                    n, loss, total = n + batch.num_rows, loss + one, total + g
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n, loss], total])], pa.list_(pa.float64()))], names=["g"])
 
         summed = packed.mapInArrow(scan, "g array<double>").select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("s"))
-        got = dict(summed.toLocalIterator())  # as many rows as the model has parameters
+        got = dict(summed.toLocalIterator())
         if not got:
             break
         losses.append(got[1] / got[0])
-        g = np.array([got[i + 2] for i in range(net.size)]) / got[0]
+        g = np.array([got[i + 2] for i in range(size)]) / got[0]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        net = Mixture(len(features), allowed, width, flat=flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8))
+        net = net.at(net.flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8))
     packed.unpersist()
     return net, losses
 
 
-def predict(rows: DataFrame, net: Mixture, features: list[str], tasks: list[str], carry: list[str]) -> DataFrame:
+def fit(rows: DataFrame, features: list[str], labels: list[str], model: np.ndarray | Net, steps: int = 20, rate: float = 0.1, width: int = 8, seed: int = 42) -> tuple[Net, list[float]]:
+    """A trained model and its mean loss before each step; ``model`` is a start, or which experts a task of one layer may use.
+
+    Null features are 0, null labels unknown; without rows the start stays.
+    """
+    net = model if isinstance(model, Net) else Mixture(len(features), model, width, seed)
+    packed = rows.select(_packed(features, 0.0).alias("x"), _packed(labels, float("nan")).alias("y"))
+    nx, ny = len(features), len(labels)
+    return descend(packed, net, lambda here, batch: here.gradient(_matrix(batch.column(0), nx), _matrix(batch.column(1), ny)), steps, rate)
+
+
+def predict(rows: DataFrame, net: Net, features: list[str], tasks: list[str], carry: list[str]) -> DataFrame:
     """(carry..., task, p): each task's probability for every row."""
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
 

@@ -27,6 +27,43 @@ def test_gradient_is_that_of_differences(allowed):
         assert g[i] == pytest.approx(d, abs=1e-5)
 
 
+@pytest.mark.parametrize("net", [multitask.Stacked(4, 2, 2, 1, 2, 3), multitask.Stacked(4, 3, 1, 2, 3, 3), multitask.Selective(4, 2, 5, 3)])
+def test_gradient_of_other_models_is_that_of_differences(net):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(9, 4)), rng.integers(0, 2, (9, len(net.w["bias"]))).astype(float)
+    y[0, 1] = np.nan
+    _, g = net.gradient(x, y)
+    step = np.eye(net.size) * 1e-6
+    for i in rng.choice(net.size, 60, replace=False):
+        d = (net.at(net.flat + step[i]).gradient(x, y)[0] - net.at(net.flat - step[i]).gradient(x, y)[0]) / 2e-6
+        assert g[i] == pytest.approx(d, abs=1e-5)
+
+
+def test_one_level_is_the_single_layer_model():
+    allowed = multitask.cgc(2, 1)
+    one, x = multitask.Mixture(3, allowed, 4), np.random.default_rng(3).normal(size=(6, 3))
+    level = multitask.Stacked(3, 2, 1, 1, 1, 4)
+    level.w["expert_0"][:], level.w["offset_0"][:] = one.w["expert"].transpose(1, 0, 2), one.w["offset"]
+    level.w["gate_0"][:], level.w["tower"][:], level.w["bias"][:] = one.w["gate"].transpose(1, 0, 2), one.w["tower"], one.w["bias"]
+    assert np.allclose(one.forward(x)[-1], level.forward(x)[-1])
+
+
+def test_weights_are_counted_by_kind():
+    net = multitask.Stacked(4, 2, 1, 1, 2, 3)
+    assert net.parameters() == {"expert": 3 * 4 * 3 + 3 * 3 * 3, "offset": 18, "gate": 3 * 4 * 3 + 2 * 3 * 3, "tower": 6, "bias": 2}
+    assert sum(net.parameters().values()) == net.size
+    assert multitask.comparable({"a": net, "b": multitask.Selective(4, 2, 60)}, "a") == {"a": True, "b": False}
+
+
+def test_own_experts_of_a_level_do_not_reach_other_tasks():
+    net = multitask.Stacked(3, 2, 1, 1, 1, 4)
+    x = np.random.default_rng(1).normal(size=(50, 3))
+    before = net.forward(x)[-1].copy()
+    net.w["expert_0"][2] += 1.0  # the second task's own
+    moved = np.abs(net.forward(x)[-1] - before).max(0)
+    assert moved[0] == 0 and moved[1] > 0
+
+
 def test_an_expert_moves_only_tasks_that_may_use_it():
     net = multitask.Mixture(3, multitask.cgc(2, 1), 4)
     x = np.random.default_rng(1).normal(size=(50, 3))
@@ -55,7 +92,7 @@ def test_query_trains_at_least_the_default_steps(spark, monkeypatch):
 
     monkeypatch.setattr(multitask, "fit", noted)
     extensions.multitask_auc(spark, SF)
-    assert len(seen) == 3 and min(seen) >= 20
+    assert len(seen) == 5 and min(seen) >= 20  # single, MMoE, CGC, PLE, selective
 
 
 def test_diverse_by_hand(spark):
