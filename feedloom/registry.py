@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.plans import analysis, encoders, evaluation, extensions, features, guards, preprocessing, retrieval, samples  # noqa: F401  (they register their queries)
+from feedloom.plans import analysis, encoders, evaluation, extensions, features, guards, preprocessing, retrieval, samples, towers  # noqa: F401  (they register their queries)
 from feedloom.plans.common import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
