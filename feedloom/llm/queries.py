@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import chat, decontam, html, lm, mixing, pii, quality, simhash, sketch, tokens
+from feedloom.llm import chat, decontam, html, jaccard, lm, mixing, pii, quality, simhash, sketch, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_edits(_read(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_token_files, op4_personal_data, op5_quality, op6_main_text, op7_language_model, op8_simhash, op9_decontamination, op10_sketches)
+    f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_token_files, op4_personal_data, op5_quality, op6_main_text, op7_language_model, op8_simhash, op9_decontamination, op10_sketches, op11_jaccard_join)
 }
 
 _SAID = "'<|im_end|><|im_start|>assistant ok'"
@@ -76,4 +80,11 @@ n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hit, LATERAL (SELECT unnest
 it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hit GROUP BY 1)
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 2))) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (min(x.n) + min(y.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)""",
 }
