@@ -153,7 +153,14 @@ class Encoder:
             made = json.load(f)
         split = made.get("pre_tokenizer") or {}
         self.pieces = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer")
-        self.table = _Table(self.dtype)
+        self.table = self.new_table()
+
+    def new_table(self) -> _Table:
+        return _Table(self.dtype)
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces start: the ids of pieces, one after another, are those of the text."""
+        return cuts(data, offsets)
 
     def _library(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, their numbers) of the pieces, straight from the library."""
@@ -164,12 +171,12 @@ class Encoder:
         return np.fromiter(chain.from_iterable(got), self.dtype, sizes.sum()), sizes
 
     def _run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = cuts(data, offsets) if self.pieces else offsets[:-1][np.diff(offsets) > 0]
+        starts = self.cuts(data, offsets) if self.pieces else offsets[:-1][np.diff(offsets) > 0]
         ends = np.append(starts[1:], len(data))[: len(starts)]
         sizes = ends - starts
         short = np.flatnonzero(sizes <= LONGEST) if self.pieces else np.zeros(0, np.int64)
         if self.table.n > ENTRIES:
-            self.table = _Table(self.dtype)
+            self.table = self.new_table()
         h = block_hashes(data, starts[short], ends[short])
         entry = np.full(len(starts), -1, np.int32)
         entry[short] = self.table.find(h)
@@ -220,7 +227,7 @@ class Encoder:
         """One text longer than a block, in runs that end where a piece does."""
         if not self.pieces:
             return self._run(data, np.array([0, len(data)]))
-        starts = cuts(data, np.array([0, len(data)]))
+        starts = self.cuts(data, np.array([0, len(data)]))
         out, at = [], 0
         while at < len(data):
             k = int(np.searchsorted(starts, at + RUN, side="right")) - 1
