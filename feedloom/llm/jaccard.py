@@ -48,7 +48,7 @@ ORDERS = (1, 2, 3)
 BUCKETS = 128
 #: Classes of a list whose pairs are all taken at once; members of a longer list compared as one block.
 FEW, BLOCK = 8, 1024
-WAVES = 3
+WAVES = 1
 #: Bytes of text hashed at once, or one longer text.
 CHUNK = 2_000_000
 
@@ -301,12 +301,6 @@ def _block_pairs(lists: DataFrame, classes: DataFrame, percent: int, nearest: bo
     return met.select("i", "j", "a", F.when(F.col("i") < F.col("j"), F.col("b")).alias("b")).mapInArrow(meet, "a long, b long").distinct()
 
 
-def _spread(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, component) of all classes; one without links is its own."""
-    joined = components(links)
-    return classes.join(joined, F.col("cls") == F.col("id"), "left").select("cls", F.coalesce("component", "cls").alias("component"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, slots: int = SLOTS, watch: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id): the class of every row of ``docs``.
 
@@ -347,11 +341,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         tried.append(materialize(_block_pairs(rest, figures, percent, nearest=wave < WAVES), "pairs"))
         if tried[-1].isEmpty():
             break
+        so_far = None
         links = materialize(links.unionByName(_verify(tried[-1], sets, percent)), "links")
     if watch:
         for name, df in (("lists", lists), ("few", all_pairs), ("star", star), ("sifted", sifted), ("sets", sets), ("links", first), *((f"wave {k}", x) for k, x in enumerate(tried)), ("all links", links)):
             watch(name, df)
-    final = _spread(links, ids)
+    joined = components(links) if so_far is None else so_far
+    final = ids.join(joined, F.col("cls") == F.col("id"), "left").select("cls", F.coalesce("component", "cls").alias("component"))
     labels = classes.join(final, "cls").join(final.join(classes, "cls").groupBy("component").agg(F.min("least_id").alias("component_id")), "component")
     matched = cards.join(labels.select(*same, "component_id"), same, "left")
     return matched.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
