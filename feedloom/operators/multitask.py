@@ -1,8 +1,8 @@
 """Multi-task ranking: a layer of experts, a softmax gate for each task over the experts it may use, a tower for each.
 
 Which experts a task may use says which model it is: its own only (single-task), all (MMoE), shared and its own (CGC).
-Rows stay where they are: in every step each part returns the sum of its gradients, Spark adds them by parameter, and the
-driver, which holds as many numbers as there are parameters, takes one step of Adam. ``Stacked`` puts several such layers
+Rows stay where they are: in every step each part returns the sum of its gradients, Spark adds those vectors in two levels,
+and the driver, which holds as many numbers as there are parameters, takes one step of Adam. ``Stacked`` puts several such layers
 on each other (PLE), ``Selective`` lets each task take its share of one common layer through a sigmoid gate.
 """
 
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.operators.vectors import vector_sum
+
 
 def single(tasks: int) -> np.ndarray:
     return np.eye(tasks, dtype=bool)
@@ -31,7 +33,7 @@ def cgc(tasks: int, shared: int, own: int = 1) -> np.ndarray:
 
 
 class Net:
-    """A model's weights as one vector, named by ``shapes``; what a model adds is ``forward`` and ``gradient``."""
+    """A model's weights as one vector, named by ``shapes``; what a model adds is ``forward`` and ``slopes``."""
 
     def __init__(self, shapes: dict[str, tuple[int, ...]], seed: int, flat: np.ndarray | None):
         self.shapes, self.size = shapes, sum(int(np.prod(s)) for s in shapes.values())
@@ -44,6 +46,10 @@ class Net:
         other.flat, other.w = flat, self.views(flat)
         return other
 
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Loss of the rows and its gradient."""
+        return self.slopes(x, y)[:2]
+
     def parameters(self) -> dict[str, int]:
         """Number of weights by kind: what comes before the first underscore of a name."""
         out: dict[str, int] = {}
@@ -87,8 +93,8 @@ class Mixture(Net):
         mixed = np.einsum("btk,bke->bte", g, h)
         return h, g, mixed, _logistic(mixed, self.w["tower"], self.w["bias"])
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """Loss of the rows and its gradient."""
+    def slopes(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss of the rows, its gradient in the weights and in ``x``."""
         h, g, mixed, p = self.forward(x)
         loss, d = _loss(p, y)
         flat = np.zeros(self.size)
@@ -96,10 +102,11 @@ class Mixture(Net):
         out["bias"][:], out["tower"][:] = d.sum(0), np.einsum("bt,bte->te", d, mixed)
         dm = d[:, :, None] * self.w["tower"]
         dg = np.einsum("bte,bke->btk", dm, h)
-        out["gate"][:] = np.tensordot(x, g * (dg - (g * dg).sum(2, keepdims=True)), ([0], [0]))
+        da = g * (dg - (g * dg).sum(2, keepdims=True))
+        out["gate"][:] = np.tensordot(x, da, ([0], [0]))
         dh = np.einsum("btk,bte->bke", g, dm) * (h > 0)
         out["offset"][:], out["expert"][:] = dh.sum(0), np.tensordot(x, dh, ([0], [0]))
-        return loss, flat
+        return loss, flat, np.tensordot(da, self.w["gate"], ([1, 2], [1, 2])) + np.tensordot(dh, self.w["expert"], ([1, 2], [1, 2]))
 
 
 class Stacked(Net):
@@ -133,8 +140,8 @@ class Stacked(Net):
         mixed = self._up(x)[1]
         return mixed, _logistic(mixed, self.w["tower"], self.w["bias"])
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """Loss of the rows and its gradient."""
+    def slopes(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss of the rows, its gradient in the weights and in ``x``."""
         seen, mixed = self._up(x)
         loss, d = _loss(_logistic(mixed, self.w["tower"], self.w["bias"]), y)
         flat = np.zeros(self.size)
@@ -153,7 +160,7 @@ class Stacked(Net):
             back[:, :lines] = np.einsum("bge,gde->bgd", da, self.w[f"gate_{k}"])
             np.add.at(back, (slice(None), self.owner), np.einsum("bew,edw->bed", dh, self.w[f"expert_{k}"]))
             down = back
-        return loss, flat
+        return loss, flat, down.sum(1)
 
 
 class Selective(Net):
@@ -169,8 +176,8 @@ class Selective(Net):
         rep = np.concatenate([g * s[:, None, :], own], 2)
         return s, own, g, rep, _logistic(rep, self.w["tower"], self.w["bias"])
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """Loss of the rows and its gradient."""
+    def slopes(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss of the rows, its gradient in the weights and in ``x``."""
         s, own, g, rep, p = self.forward(x)
         loss, d = _loss(p, y)
         flat = np.zeros(self.size)
@@ -178,10 +185,12 @@ class Selective(Net):
         out["bias"][:], out["tower"][:] = d.sum(0), np.einsum("bt,bte->te", d, rep)
         down = d[:, :, None] * self.w["tower"]
         taken, kept = down[:, :, : self.common], down[:, :, self.common :]
-        out["gate"][:] = np.tensordot(x, taken * s[:, None, :] * g * (1 - g), ([0], [0]))
-        out["expert_common"][:] = x.T @ ((taken * g).sum(1) * (s > 0))
-        out["expert_private"][:] = np.tensordot(x, kept * (own > 0), ([0], [0]))
-        return loss, flat
+        da, ds, dp = taken * s[:, None, :] * g * (1 - g), (taken * g).sum(1) * (s > 0), kept * (own > 0)
+        out["gate"][:] = np.tensordot(x, da, ([0], [0]))
+        out["expert_common"][:] = x.T @ ds
+        out["expert_private"][:] = np.tensordot(x, dp, ([0], [0]))
+        dx = ds @ self.w["expert_common"].T + np.tensordot(da, self.w["gate"], ([1, 2], [1, 2])) + np.tensordot(dp, self.w["expert_private"], ([1, 2], [1, 2]))
+        return loss, flat, dx
 
 
 def comparable(nets: dict[str, Net], reference: str, within: float = 0.2) -> dict[str, bool]:
@@ -198,12 +207,18 @@ def _packed(columns: list[str], missing: float):
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(missing)) for c in columns])
 
 
+def adam(net: Net, g: np.ndarray, m: np.ndarray, v: np.ndarray, t: int, rate: float) -> tuple[Net, np.ndarray, np.ndarray]:
+    """The net after step ``t`` (from 1) of Adam, and the means of slopes and squared slopes."""
+    m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+    return net.at(net.flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)), m, v
+
+
 def descend(packed: DataFrame, net: Net, gradient: Callable[[Net, pa.RecordBatch], tuple[float, np.ndarray]], steps: int, rate: float) -> tuple[Net, list[float]]:
     """The net after ``steps`` of Adam over all rows of ``packed``, and its mean loss before each of them.
 
-    Every part sums its gradient, Spark adds the sums by weight; what comes to the driver is as long as ``net.flat``.
+    Every part sums its gradient, Spark adds those vectors; what comes to the driver is as long as ``net.flat``.
     """
-    packed = packed.persist()
+    packed, parts = packed.persist(), packed.rdd.getNumPartitions()
     m, v, losses, size = np.zeros(net.size), np.zeros(net.size), [], net.size
     for t in range(1, steps + 1):
 
@@ -214,16 +229,13 @@ def descend(packed: DataFrame, net: Net, gradient: Callable[[Net, pa.RecordBatch
                     one, g = gradient(here, batch)
                     n, loss, total = n + batch.num_rows, loss + one, total + g
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n, loss], total])], pa.list_(pa.float64()))], names=["g"])
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n, loss], total])], pa.list_(pa.float64()))], names=["v"])
 
-        summed = packed.mapInArrow(scan, "g array<double>").select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("s"))
-        got = dict(summed.toLocalIterator())
-        if not got:
+        got = vector_sum(packed.mapInArrow(scan, "v array<double>"), parts)
+        if got is None:
             break
         losses.append(got[1] / got[0])
-        g = np.array([got[i + 2] for i in range(size)]) / got[0]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        net = net.at(net.flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8))
+        net, m, v = adam(net, got[2:] / got[0], m, v, t, rate)
     packed.unpersist()
     return net, losses
 

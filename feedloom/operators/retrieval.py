@@ -87,32 +87,55 @@ def dot(a: str, b: str) -> Column:
 QUERY_BLOCK, ITEM_BLOCK = 1024, 4096
 
 
-def _blocks(rows: DataFrame, key: str, value: str, size: int, prefix: str) -> DataFrame:
-    """One row for about ``size`` rows: their keys and vectors, dealt by a hash of the key."""
-    n = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{prefix}block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(value).alias("v"))).alias(prefix))
+def _blocks(rows: DataFrame, key: str, value: str, size: int, prefix: str, by: list[str]) -> DataFrame:
+    """One row for about ``size`` rows of a version: their keys and vectors, dealt by a hash of the key.
+
+    The number of blocks comes from one count of rows by version, joined in the plan; null vectors are left out.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    n = known.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("_n"))
+    counted = known.join(n, by) if by else known.crossJoin(n)  # without versions one row
+    return counted.groupBy(*by, F.pmod(F.xxhash64(key), "_n").alias(f"{prefix}block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(value).alias("v"))).alias(prefix))
 
 
-def exact_top_k(queries: DataFrame, items: DataFrame, k: int, places: int = 6) -> DataFrame:
+def exact_top_k(queries: DataFrame, items: DataFrame, k: int, places: int = 6, version: str | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) over all items, ties to the smaller item.
 
     ``queries(query_id, q)``, a stated set, and ``items(item_id, v)`` are packed in blocks of bounded size. Each pair of
     blocks is one matrix product in double precision, of which a query's k best are passed on; the rest is never a row.
-    Scores are rounded before they are ranked.
+    Scores are rounded before they are ranked. With ``version``, a column of both, a query meets only the items of its
+    own version, such as their vectors as of its day: blocks hold one version each and are joined on it. Null vectors are
+    left out on either side; vectors of different lengths are an error.
     """
     if not 1 <= k:
         raise ValueError("k must be at least 1")
     kinds = [queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
-    pairs = _blocks(items, "item_id", "v", ITEM_BLOCK, "i").crossJoin(_blocks(queries, "query_id", "q", QUERY_BLOCK, "q")).select("i", "q")
+    by = [version] if version else []
+    left, right = _blocks(items, "item_id", "v", ITEM_BLOCK, "i", by), _blocks(queries, "query_id", "q", QUERY_BLOCK, "q", by)
+    pairs = (left.join(right, by) if by else left.crossJoin(right)).select("i", "q")
+
+    def matrix(rows: pa.Array) -> np.ndarray:
+        lists = rows.field("v")
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        if len(set(sizes.tolist())) > 1:
+            raise ValueError(f"vectors differ in length: {sorted(set(sizes.tolist()))[:5]}")
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
 
     def best(batches):
         for batch in batches:
             for i, q in zip(batch.column("i"), batch.column("q"), strict=True):
-                (item_ids, v), (query_ids, w) = ((x.values.field("id"), np.stack(x.values.field("v").to_numpy(zero_copy_only=False)).astype(np.float64)) for x in (i, q))
+                (item_ids, v), (query_ids, w) = ((x.values.field("id"), matrix(x.values)) for x in (i, q))
+                if v.shape[1] != w.shape[1]:
+                    raise ValueError(f"vectors of queries and items differ in length: {w.shape[1]} and {v.shape[1]}")
                 order = np.argsort(item_ids.to_numpy(zero_copy_only=False), kind="stable")
                 score = np.round(w @ v[order].T, places)
                 few = min(k, score.shape[1])
-                rows = np.argsort(-score, axis=1, kind="stable")[:, :few]  # stable: ties keep the order of the items
+                if few < score.shape[1]:  # only what can be among the k best is sorted: ties at the edge included
+                    edge = -np.partition(-score, few - 1, axis=1)[:, few - 1 : few]
+                    at = [np.flatnonzero(s >= e) for s, e in zip(score, edge, strict=True)]
+                    rows = np.stack([a[np.argsort(-s[a], kind="stable")[:few]] for s, a in zip(score, at, strict=True)])
+                else:
+                    rows = np.argsort(-score, axis=1, kind="stable")  # stable: ties keep the order of the items
                 made = [query_ids.take(pa.array(np.repeat(np.arange(len(w)), few))), item_ids.take(pa.array(order[rows.ravel()])), pa.array(np.take_along_axis(score, rows, 1).ravel())]
                 yield pa.RecordBatch.from_arrays(made, names=["query_id", "item_id", "score"])
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.encoding import category_map
 from feedloom.operators.guards import drop_constants
+from feedloom.operators.selection import medians
+
+#: Kinds whose values are damped by log1p and brought to mean 0 and deviation 1.
+SCALED = ("count", "numeric")
 
 
 @dataclass
@@ -21,46 +25,49 @@ class Spec:
     dropped: list[str] = field(default_factory=list)
 
 
-def _base(kind: str, c: str, fill: Column) -> Column:
-    """A column's value before it is standardised: nulls filled as its kind has it, counts damped."""
-    x = F.coalesce(F.col(c).cast("double"), fill)
-    return F.log1p(x) if kind == "count" else x
-
+def fit(rows: DataFrame, kinds: dict[str, str], priors: dict[str, float] | None = None, samples: DataFrame | None = None) -> Spec:
+    """``kinds`` names the class of each column:
 
-def fit(rows: DataFrame, kinds: dict[str, str], priors: dict[str, float] | None = None) -> Spec:
-    """``kinds``: column to ``count`` (null 0, log1p, standardised), ``median`` (null the median, standardised), ``smooth``
-    (null the prior in ``priors``), ``zero`` (null 0) or ``category`` (1 to n in order of the values, unknown and null 0).
+    - ``count``: null is 0; log1p, standardised by all rows, filled ones included;
+    - ``numeric``: null is the exact median; log1p, standardised by the rows that are known, filled ones not included;
+    - ``smooth``: null is the column's prior in ``priors``, nothing else is done; ``zero``: null is 0;
+    - ``category``: 1 to n in the order of the values, unknown and null 0; of one value, null being a value, it is dropped.
 
-    Columns of one value, null being a value, are dropped. Medians are approximate beyond 10,000 distinct values.
+    Counts are standardised by ``samples`` if given: training rows with the features joined, in which what a row has no
+    feature for is null; so they weigh by how often training sees them and cold rows count as 0. Deviations are those of
+    a sample; of a column that has nearly none, or one known value, it counts as 1.
     """
-    used, dropped = drop_constants(rows.select(*kinds))
-    live = {c: k for c, k in kinds.items() if c in used.columns}
-    medians = [c for c, k in live.items() if k == "median"]
-    middle = used.agg(*[F.percentile_approx(c, 0.5, 10_000).cast("double").alias(c) for c in medians]).first() if medians else {}
-    numbers = {f"{c}_fill": float(middle[c] or 0) for c in medians} | {f"{c}_fill": float((priors or {})[c]) for c, k in live.items() if k == "smooth"}
-    scaled = [c for c, k in live.items() if k in ("count", "median")]
-    if scaled:
-        value = {c: _base(live[c], c, F.lit(numbers.get(f"{c}_fill", 0.0))) for c in scaled}
-        got = used.agg(*[F.avg(v).alias(f"{c}_mean") for c, v in value.items()], *[F.stddev_samp(v).alias(f"{c}_std") for c, v in value.items()]).first()
-        for c in scaled:
-            dev = got[f"{c}_std"] or 0.0
-            numbers |= {f"{c}_mean": got[f"{c}_mean"] or 0.0, f"{c}_std": dev if dev > 1e-12 else 1.0}
-    return Spec(live, numbers, {c: category_map(used, c) for c, k in live.items() if k == "category"}, dropped)
-
-
-def apply(rows: DataFrame, spec: Spec, key: str) -> DataFrame:
-    """(key, encoded columns): every row of ``rows``; a column that is all null gives the cold values."""
-    out = rows.select(key, *spec.kinds)
+    categories = [c for c, k in kinds.items() if k == "category"]
+    dropped = drop_constants(rows.select(*categories))[1] if categories else []
+    live = {c: k for c, k in kinds.items() if c not in dropped}
+    fills = {c: 0.0 for c, k in live.items() if k in ("count", "zero")} | {c: float((priors or {})[c]) for c, k in live.items() if k == "smooth"}
+    fills |= {c: float(m or 0.0) for c, m in medians(rows, [c for c, k in live.items() if k == "numeric"]).items()}
+    numbers = {f"{c}_fill": v for c, v in fills.items()}
+    for source, kind in ((rows if samples is None else samples, "count"), (rows, "numeric")):
+        value = {c: F.log1p(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if kind == "count" else F.col(c).cast("double")) for c, k in live.items() if k == kind}
+        if value:
+            got = source.agg(*[f(v).alias(f"{c}_{name}") for c, v in value.items() for name, f in (("mean", F.avg), ("std", F.stddev_samp))]).first()
+            for c in value:
+                dev = got[f"{c}_std"] or 0.0
+                numbers |= {f"{c}_mean": got[f"{c}_mean"] or 0.0, f"{c}_std": dev if dev > 1e-12 else 1.0}
+    return Spec(live, numbers, {c: category_map(rows, c) for c in categories if c not in dropped}, dropped)
+
+
+def expression(spec: Spec, c: str) -> Column:
+    """The encoded value of a column that is no category: filled first, then damped, then standardised."""
+    filled = F.coalesce(F.col(c).cast("double"), F.lit(spec.numbers[f"{c}_fill"]))
+    return (F.log1p(filled) - spec.numbers[f"{c}_mean"]) / spec.numbers[f"{c}_std"] if spec.kinds[c] in SCALED else filled
+
+
+def apply(rows: DataFrame, spec: Spec, *keys: str) -> DataFrame:
+    """(keys, encoded columns) of every row; a column that is all null gives the cold values. Columns that ``rows`` lacks
+    are skipped."""
+    there = [c for c in spec.kinds if c in rows.columns]
+    out = rows.select(*keys, *there)
     for c, table in spec.categories.items():
-        out = out.join(table.select(F.col("value").alias(c), F.col("code").alias(f"{c}__code")), c, "left")
-
-    def encoded(c: str, kind: str) -> Column:
-        if kind == "category":
-            return F.coalesce(f"{c}__code", F.lit(0))
-        x = _base(kind, c, F.lit(spec.numbers.get(f"{c}_fill", 0.0)))
-        return (x - spec.numbers[f"{c}_mean"]) / spec.numbers[f"{c}_std"] if kind in ("count", "median") else x
-
-    return out.select(key, *[encoded(c, k).alias(c) for c, k in spec.kinds.items()])
+        if c in there:
+            out = out.join(table.select(F.col("value").alias(c), F.col("code").alias(f"{c}__code")), c, "left")
+    return out.select(*keys, *[(F.coalesce(f"{c}__code", F.lit(0)) if spec.kinds[c] == "category" else expression(spec, c)).alias(c) for c in there])
 
 
 def with_cold_row(rows: DataFrame, key: str, cold: int = 0) -> DataFrame:

@@ -134,14 +134,25 @@ def user_vectors(rows: DataFrame, net: Towers, features: list[str], key: str = "
     return rows.select(key, _dense(features).alias("x"), history.alias("h")).mapInArrow(scan, f"query_id {kind}, q array<double>")
 
 
-def item_vectors(items: DataFrame, net: Towers, side: list[str], item: str = "video_id") -> DataFrame:
-    """(item_id, v): the item tower's vector of every row of ``items(item, side...)``."""
+def item_vectors(items: DataFrame, net: Towers, side: list[str], item: str = "video_id", carry: list[str] | None = None) -> DataFrame:
+    """(item_id, carry..., v): the item tower's vector of every row of ``items(item, carry..., side...)``."""
+    carry = carry or []
     kind, n = items.schema[item].dataType.simpleString(), net.rows
+    fields = ", ".join([f"item_id {kind}", *[f"`{c}` {items.schema[c].dataType.simpleString()}" for c in carry]])
 
     def scan(batches):
         for batch in batches:
             if batch.num_rows:
                 v = net.items(batch.column("row").to_numpy(zero_copy_only=False), _floats(batch.column("side"), net.side))[2]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(v), pa.list_(pa.float64()))], names=["item_id", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(c) for c in carry), pa.array(list(v), pa.list_(pa.float64()))], names=["item_id", *carry, "v"])
 
-    return items.select(item, hashed(F.col(item), n).alias("row"), _dense(side).alias("side")).mapInArrow(scan, f"item_id {kind}, v array<double>")
+    return items.select(F.col(item).alias("item_id"), *carry, hashed(F.col(item), n).alias("row"), _dense(side).alias("side")).mapInArrow(scan, f"{fields}, v array<double>")
+
+
+def as_of(items: DataFrame, days: DataFrame, day: str, dated: dict[str, Column]) -> DataFrame:
+    """``items`` once for each row of ``days(day)``, the distinct days of the requests, with ``dated`` columns as of then.
+
+    A calendar is short, and the days come to each item as one array, so items are not joined with them row by row.
+    """
+    listed = days.select(day).distinct().agg(F.sort_array(F.collect_list(day)).alias("_days"))
+    return items.crossJoin(F.broadcast(listed)).withColumn(day, F.explode("_days")).drop("_days").withColumns(dated)  # one row: a calendar

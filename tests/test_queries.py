@@ -31,7 +31,7 @@ def compare(spark, duck, name, queries, sqls, sf=SF):
 
 
 #: Queries that train a model, which no SQL can say; their operators have tests of their own.
-TRAINED = {"multitask_auc", "prerank_boosted", "two_tower_metrics"}
+TRAINED = {"multitask_auc", "prerank_boosted", "ranking_embedded_auc", "towers_by_day", "two_tower_metrics"}
 
 
 def test_only_training_has_no_definition():
