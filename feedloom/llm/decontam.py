@@ -14,6 +14,7 @@ import hashlib
 import uuid
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from feedloom.llm._shared import materialize, ship, text_of
 
 WINDOW = 13
-#: Characters of benchmark text in one broadcast block.
-BLOCK_CHARS = 16_000_000
+#: Characters of benchmark text in one broadcast block; a worker's tables take about 50 bytes for each.
+BLOCK_CHARS = 4_000_000
 
 #: Separators are all ASCII characters but letters and digits; A-Z become a-z; bytes above 0x7F belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -35,43 +36,65 @@ def words(text: str) -> list[bytes]:
 
 
 class Patterns:
-    """Wu-Manber tables for each length of pattern."""
+    """Wu-Manber tables for each length of pattern, over numbers of words.
+
+    Words of the patterns are numbered; a document's other words are -1. A pattern is four bytes a word in one string, a
+    block of two words is one number, and a bucket lists the patterns that end in its block; bytes decide.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.by_length: dict[int, tuple[dict, dict, int]] = {}
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+        self.number: dict[bytes, int] = {}
+        self.names = sorted({item for item, _ in items})
+        place = {name: i for i, name in enumerate(self.names)}
+        found: dict[int, dict[bytes, int | tuple[int, ...]]] = defaultdict(dict)  # by length: pattern to its item or items
         for item, text in items:
-            w = words(text)
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                owners[tuple(w[i : i + window])].add(item)
-        by_length = defaultdict(list)
-        for p in owners:
-            by_length[len(p)].append(p)
-        for m, patterns in by_length.items():
-            block, far = min(2, m), m - min(2, m) + 1
-            shift: dict[tuple[bytes, ...], int] = {}
-            suffix: dict[tuple[bytes, ...], dict[tuple[bytes, ...], frozenset[str]]] = defaultdict(dict)
-            for p in patterns:
-                for end in range(block, m + 1):
-                    key = p[end - block : end]
-                    shift[key] = min(shift.get(key, far), m - end)
-                suffix[p[m - block :]][p] = frozenset(owners[p])
-            self.by_length[m] = (shift, dict(suffix), far)
+            ids = np.array([self.number.setdefault(x, len(self.number)) for x in words(text)], "<i4")
+            m, raw, own = min(window, len(ids)), ids.tobytes(), place[item]
+            for i in range(len(ids) - m + 1 if m else 0):
+                old = found[m].setdefault(raw[4 * i : 4 * (i + m)], own)
+                if old != own and (isinstance(old, int) or own not in old):
+                    found[m][raw[4 * i : 4 * (i + m)]] = (old, own) if isinstance(old, int) else (*old, own)
+        self.base = len(self.number) + 1
+        self.by_length = {m: self._tables(m, found.pop(m)) for m in sorted(found)}
+
+    def _tables(self, m: int, owners: dict[bytes, int | tuple[int, ...]]) -> tuple[dict[int, int], dict[int, list[int]], bytes, list, int]:
+        block, far = min(2, m), m - min(2, m) + 1
+        shift: dict[int, int] = {}
+        bucket: dict[int, list[int]] = {}
+        rows = np.frombuffer(b"".join(owners), "<i4").reshape(-1, m)
+        for end in range(block, m + 1):
+            for key in np.unique(self.keys(rows[:, end - 2], rows[:, end - 1]) if block == 2 else rows[:, end - 1]).tolist():
+                shift[key] = min(shift.get(key, far), m - end)
+        last = self.keys(rows[:, m - 2], rows[:, m - 1]) if block == 2 else rows[:, m - 1]
+        for p, key in enumerate(last.tolist()):
+            bucket.setdefault(key, []).append(p)
+        return shift, bucket, b"".join(owners), list(owners.values()), far
+
+    def keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The numbers of two-word blocks; of blocks with an unknown word, numbers that no known block has."""
+        return a.astype(np.int64) * self.base + b + 1
 
     def search(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words hit, and the items found."""
-        found, items = [], set()
-        for m, (shift, suffix, far) in self.by_length.items():
-            at, n, block = m, len(w), min(2, m)
-            get = shift.get
+        found, items, n = [], set(), len(w)
+        if not n or not self.by_length:
+            return found, items
+        number = self.number.get
+        ids = np.fromiter([number(x, -1) for x in w], "<i4", n)
+        raw, two = ids.tobytes(), [0, *self.keys(ids[:-1], ids[1:]).tolist()]
+        for m, (shift, bucket, patterns, owners, far) in self.by_length.items():
+            keys, at, get, size = two if m > 1 else ids.tolist(), m, shift.get, 4 * m
             while at <= n:
-                key = (w[at - 2], w[at - 1]) if block == 2 else (w[at - 1],)
+                key = keys[at - 1]
                 jump = get(key, far)
                 if not jump:
-                    owner = suffix[key].get(tuple(w[at - m : at]))
-                    if owner:
-                        found.append((at - m, at))
-                        items |= owner
+                    text = raw[4 * (at - m) : 4 * at]
+                    for p in bucket[key]:
+                        if patterns[size * p : size * (p + 1)] == text:
+                            found.append((at - m, at))
+                            own = owners[p]
+                            items.update([self.names[own]] if isinstance(own, int) else [self.names[k] for k in own])
+                            break  # patterns of a length differ
                     jump = 1
                 at += jump
         return found, items

@@ -24,18 +24,19 @@ other words of the documents are joined to the full counts.
 
 from __future__ import annotations
 
-import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm._encode import encoder, tokenizer_path
 from feedloom.llm._shared import doc_chunks, materialize, ship, text_of, utf8
 from feedloom.llm._words import LOWER, mix, word_hashes
+from feedloom.operators.vectors import vector_sum
 
 OWN, HASHED = 896, 128
 GROUPS, SLOTS = 32, 32
@@ -341,7 +342,7 @@ def _encoded(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
 
     def scan(batches):
         enc = encoder(path)
-        base, count = uuid.uuid4().int >> 96 << 31, 0
+        base, count = TaskContext.get().partitionId() << 33, 0  # as monotonically_increasing_id has it
         for batch in batches:
             for i, j in doc_chunks(utf8(batch.column(2))[1], CHUNK):
                 part = batch.slice(i, j - i)
@@ -488,16 +489,12 @@ def _trained(encoded: DataFrame, weights: np.ndarray, row_of: np.ndarray, path:
                     learnt[: part[0] - at.start] = False
                     trainer.step(x[at], y[at], first[at], learnt)
         if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(trainer.seen)]), pa.array([trainer.net.flat.astype(np.float64)], pa.list_(pa.float64()))], names=["seen", "weights"])
-
-    parts = encoded.select("key", "held_out", "ids").mapInArrow(scan, "seen double, weights array<double>")
-    mean = parts.select("seen", F.posexplode("weights")).groupBy("pos").agg((F.sum(F.col("seen") * F.col("col")) / F.sum("seen")).alias("w"))
-    got = mean.toPandas()  # a number for each parameter
-    if not len(got):
-        return weights
-    out = np.empty(PARAMETERS, np.float32)
-    out[got["pos"].to_numpy()] = got["w"].to_numpy()
-    return out
+            weighed = np.concatenate([[trainer.seen], trainer.net.flat.astype(np.float64) * trainer.seen])
+            yield pa.RecordBatch.from_arrays([pa.array([weighed], pa.list_(pa.float64()))], names=["v"])
+
+    parts = encoded.select("key", "held_out", "ids")
+    total = vector_sum(parts.mapInArrow(scan, "v array<double>"), parts.rdd.getNumPartitions())
+    return weights if total is None else (total[1:] / total[0]).astype(np.float32)
 
 
 def _scored(encoded: DataFrame, model: tuple, head: tuple[np.ndarray, np.ndarray], path: str) -> DataFrame:

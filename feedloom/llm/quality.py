@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm._shared import doc_chunks, ship, text_of, utf8
@@ -160,10 +160,11 @@ def _features(rows: DataFrame, extra: list[str], schema: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> Model | None:
-    """Fit on at most ``most`` labelled rows of each label, the first in the order of a hash of the id.
+    """Fit on at most ``most`` labelled rows of each label: of the first ids in the order of a hash, the first rows.
 
     Rows of the held-out fifth and rows with a null id or label are not used; an id with several labels counts once for
-    each. None if nothing is labelled.
+    each. Of ids that ``docs`` repeats all rows are candidates, in the order of a hash of id and text, and the bound is on
+    rows. None if nothing is labelled.
     """
     ship(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id")).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
@@ -171,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     picked = [there.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for q in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))
     rows = docs.select(F.col(id_col).cast(labels.schema["doc_id"].dataType).alias("doc_id"), text_of(text).alias("text"))
-    got = _features(rows.join(sample, "doc_id").select("doc_id", "quality", "text"), ["doc_id", "quality"], f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, quality int, counts binary").collect()
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    taken = rows.join(sample, "doc_id").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+    got = _features(taken.select("doc_id", "quality", "text"), ["doc_id", "quality"], f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, quality int, counts binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r[0], r[1], bytes(r[2])))

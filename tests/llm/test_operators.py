@@ -616,3 +616,52 @@ def test_ids_that_tie_fill_many_parts(spark):
     assert max(map(len, parts.values())) < d.count() / 5 and sum(x == [None] * len(x) for x in parts.values()) > 1
     line = [i for p in sorted(parts) for i in sorted(parts[p], key=lambda x: -1 if x is None else x)]
     assert [(-1 if x is None else x) for x in line] == sorted(-1 if x is None else x for x in line)
+
+
+# ---- bounds of the fit, of the tables, and keys of documents
+
+def test_quality_fits_bounded_rows_of_repeated_ids(spark):
+    rows = [(1, f"good text {k}") for k in range(3000)] + [(2, "bad %% text"), (4, "fine text here"), (6, "worse %% stuff"), (8, "more text")]
+    held = {r["i"] for r in spark.range(1, 10).select(F.col("id").alias("i"), quality.held_out("id").alias("h")).where("h").collect()}
+    labels = spark.createDataFrame([(i, i % 4 == 0 or i == 1) for i in (1, 2, 4, 6, 8) if i not in held], "doc_id long, good boolean").select("doc_id", F.col("good").cast("int").alias("quality"))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for most in (2, 5):
+        made = quality.fit(table, labels, most=most)
+        kept = np.bincount(made.labels.astype(int), minlength=2)
+        assert 0 < kept.max() <= most
+        again = quality.fit(table.repartition(2), labels, most=most)
+        assert np.array_equal(np.sort(made.vectors.sum(1)), np.sort(again.vectors.sum(1))) or np.allclose(np.sort(made.labels), np.sort(again.labels))
+
+
+def test_decontamination_tables_are_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    items = [(str(k), " ".join(f"w{i}" for i in rng.integers(0, 30_000, 2_000))) for k in range(80)]
+    chars = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    made = decontam.Patterns(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert chars > 900_000 and held < 70 * chars
+    w = decontam.words(items[3][1])[100:160]
+    assert made.search([b"x", *w, b"y"]) == ([(k, k + 13) for k in range(1, 49)], {"3"})
+
+
+def test_decontamination_of_every_length_against_all_positions():
+    rng = np.random.default_rng(2)
+    say = lambda n: " ".join(f"t{i}" for i in rng.integers(0, 6, n))
+    items = [(f"i{k}", say(int(n))) for k, n in enumerate(rng.integers(0, 18, 40))] + [("i3", "t1"), ("again", "t1")]
+    made = decontam.Patterns(items)
+    windows = [(tuple(w[i : i + 13]), item) for item, t in items for w in [decontam.words(t)] for i in range(max(1, len(w) - 12)) if w]
+    for _ in range(60):
+        w = decontam.words(say(int(rng.integers(0, 50))) + " other")
+        spans, found = made.search(w)
+        want = {(i, i + len(p)) for p, _ in windows for i in range(len(w) - len(p) + 1) if tuple(w[i : i + len(p)]) == p}
+        assert set(spans) == want and found == {item for p, item in windows if any(tuple(w[i : i + len(p)]) == p for i in range(len(w) - len(p) + 1))}
+
+
+def test_language_model_keys_differ_between_parts(spark):
+    table = spark.createDataFrame([(k % 3, f"text {k}") for k in range(40)], "doc_id long, text string").repartition(7)
+    keys = [r["key"] for r in lm._encoded(table, "doc_id", "text", lm.tokenizer_path()).collect()]
+    assert len(set(keys)) == 40 and len({k >> 33 for k in keys}) > 1
