@@ -14,27 +14,42 @@ from pyspark.sql import functions as F
 SLICES, SAMPLED = 64, 2048
 
 
-def _slice(df: DataFrame, key: list[Column], slices: int) -> Column:
-    """Number of the sampled bounds that are at most the key; nulls sort first."""
-    sample = df.select(*[c.alias(f"_{i}") for i, c in enumerate(key)]).distinct()
-    least = sample.orderBy(F.xxhash64(*sample.columns)).limit(SAMPLED).orderBy(*sample.columns).collect()
-    cuts = [least[len(least) * i // slices] for i in range(1, slices)] if len(least) > slices else []
-    if not cuts:
-        return F.lit(0)
-    kinds = [f.dataType for f in sample.schema.fields]
-    bounds = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(f"_{i}") for i, (v, kind) in enumerate(zip(row, kinds, strict=True))]) for row in dict.fromkeys(cuts)])
+def _bounds(df: DataFrame, key: list[Column], by: list[str], slices: int) -> list[tuple]:
+    """Bounds of the slices, from the keys of least hash; none if the rows are fewer than the sample would hold.
+
+    One small job: every part passes on SAMPLED keys at most, and nothing is shuffled but those.
+    """
+    names = [f"_{i}" for i in range(len(key))]
+    keys = df.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], *[c.alias(n) for c, n in zip(key, names, strict=True)])
+    least = [tuple(r[n] for n in names) for r in keys.orderBy(F.xxhash64(*keys.columns)).limit(SAMPLED).collect()]
+    if len(least) < SAMPLED:
+        return []
+    rank = lambda row: tuple((v is not None, v) if v is not None else (False,) for v in row)
+    least = sorted(least, key=rank)
+    return list(dict.fromkeys(least[len(least) * i // slices] for i in range(1, slices)))
+
+
+def _slice(df: DataFrame, key: list[Column], bounds: list[tuple]) -> Column:
+    """Number of the bounds that are at most the key; nulls sort first."""
+    kinds = [f.dataType for f in df.select(*key).schema.fields]
+    listed = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(f"_{i}") for i, (v, kind) in enumerate(zip(row, kinds, strict=True))]) for row in bounds])
     own = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(key)])
-    return F.size(F.filter(bounds, lambda b: b <= own))
+    return F.size(F.filter(listed, lambda b: b <= own))
 
 
 def sums_before(df: DataFrame, key: list[Column], sums: dict[str, Column], by: list[str] | None = None, slices: int = SLICES) -> DataFrame:
     """``df`` with, for each name in ``sums``, the sum of its expression over the rows before in ascending ``key``.
 
     ``by`` keeps separate orders. Keys should be distinct within one; rows that tie come in some order. An empty table
-    stays empty. A group's rows are spread over its slices, so one large group fills many tasks.
+    stays empty. A group's rows are spread over its slices, so one large group fills many tasks; fewer rows than the
+    sample holds are summed as they are.
     """
     by = by or []
-    cut = df.withColumn("_slice", _slice(df, key, slices))
+    bounds = _bounds(df, key, by, slices)
+    if not bounds:
+        whole = Window.partitionBy(*by).orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*df.columns, *[F.coalesce(F.sum(value).over(whole), F.lit(0)).alias(name) for name, value in sums.items()])
+    cut = df.withColumn("_slice", _slice(df, key, bounds))
     for name, value in sums.items():
         cut = cut.withColumn(f"_v_{name}", value)
     total = cut.groupBy(*by, "_slice").agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
