@@ -158,7 +158,7 @@ def slopes(batch: DataFrame, tables: DataFrame, net: Net, layout: Layout, stage:
 
     filled = embedded_input(batch, tables, layout).select(F.col("number").cast("long").alias("number"), "e", "x", "y")
     out = stage.write(filled.mapInArrow(scan, "number long, v array<double>"), "slopes")
-    got = vector_sum(out.where("number = -1").select("v"), out.rdd.getNumPartitions())
+    got = vector_sum(out.where("number = -1").select("v"), int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if got is None:
         return None
     look = batch.select("number", F.explode("look").alias("l")).select("number", "l.*")
