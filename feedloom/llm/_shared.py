@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,8 +17,9 @@ from pyspark.sql.types import NumericType, StringType
 
 #: Rows in an Arrow batch sent to Python, unless the session sets its own: texts can be long, so batches stay short.
 ARROW_ROWS = "1000"
-#: Workers keep freed memory up to this size: numpy's temporaries would otherwise be mapped anew each time.
-_ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(48 << 20)}
+#: Workers keep freed memory up to this size: numpy's temporaries would otherwise be mapped anew each time. Arrow uses the
+#: same allocator, so that what it frees is not kept in a pool of its own.
+_ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(48 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,6 +34,14 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def release() -> None:
+    """Give a worker's freed memory back to the machine, at the end of a task: workers stay between tasks and stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own checkpoint folder.
 

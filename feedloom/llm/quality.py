@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm._shared import doc_chunks, ship, text_of, utf8
+from feedloom.llm._shared import doc_chunks, release, ship, text_of, utf8
 from feedloom.llm._words import LOWER, word_hashes
 
 #: Labelled rows taken for each label at most: the bound of the fit and of the broadcast.
@@ -155,6 +155,7 @@ def _features(rows: DataFrame, extra: list[str], schema: str) -> DataFrame:
             if batch.num_rows:
                 counts = term_counts(*utf8(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pa.array([zlib.compress(c.tobytes(), 1) for c in counts], pa.binary())], names=[*extra, "counts"])
+        release()
 
     return rows.mapInArrow(scan, schema)
 
@@ -209,6 +210,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
             score = model.score(term_counts(*utf8(texts))) if model is not None else np.full(batch.num_rows, 0.5)
             predicted = (score >= THRESHOLD).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(score), pa.array(predicted)], names=[*names, "score", "predicted"])
+        release()
 
     out = docs.select(*dict.fromkeys([*names, text])).mapInArrow(scan, f"{schema}, score double, predicted int")
     return out.withColumn("held_out", held_out(id_col))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm._shared import exchange_parts, materialize, ship, text_of
+from feedloom.llm._shared import exchange_parts, materialize, release, ship, text_of
 from feedloom.llm.graph import components
 
 WIDTH = 3
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         for batch in batches:
             fp = [fingerprint(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        release()
 
     return docs.select(F.col(id_col), text_of(text)).mapInArrow(scan, f"doc_id {kind}, fp long")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm._encode import encoder as cached
 from feedloom.llm._encode import tokenizer_path
-from feedloom.llm._shared import doc_chunks, exchange_parts, new_dir, range_ids, ship, text_of, utf8
+from feedloom.llm._shared import doc_chunks, exchange_parts, new_dir, range_ids, release, ship, text_of, utf8
 
 END = 2
 LENGTH = 2048
@@ -159,6 +159,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
             writer.close()
             index.close()
             sink.close()
+            release()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "docs": rows, "tokens": offset}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     made = sorted(tuple(r) for r in dealt.mapInArrow(write, "part int, path string, docs long, tokens long").collect())
