@@ -141,7 +141,8 @@ def test_search_ties_masks_and_odd_rows(spark, monkeypatch):
     assert search.search(table.limit(0), wanted).count() == 0 and search.search(table, wanted.limit(0)).count() == 0
 
 
-def test_search_leaves_masks_unread_when_safe():
+def test_search_leaves_masks_unread_when_safe(monkeypatch):
+    monkeypatch.setattr(search, "FIRST", 16)
     terms = [b"a", b"b"]
     queries = search.Queries([1], [np.array([0, 1])], terms)
     n = 4000
