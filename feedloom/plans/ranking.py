@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators import encoding, epochs, history, metrics, multitask, order, ranking, retrieval, spec, windows
+from feedloom.operators import encoding, epochs, guards, history, metrics, multitask, order, ranking, retrieval, spec, windows
 from feedloom.operators.stage import Stage
 from feedloom.plans.common import EV, query
 from feedloom.sources import weights
@@ -110,7 +110,7 @@ def _channel_rows(log: DataFrame, items: DataFrame, v: Vocabs) -> DataFrame:
     hist_idx = F.coalesce("hist_idx", empty)
     return j.select(
         *kept.columns, F.coalesce("video", one).alias("video"), F.coalesce("author", one).alias("author"), F.coalesce("tags", empty).alias("tags"), hist_idx.alias("hist_idx"),
-        F.hour(F.timestamp_seconds(F.col("time_ms") / 1000 + 8 * 3600)).alias("hour"), "duration_ms", age.alias("age"), F.log1p(F.size(F.filter(hist_idx, lambda i: i > encoding.OOV)).cast("double")).alias("hist_len"), F.size(F.coalesce("tags", empty)).cast("double").alias("tag_len"),
+        guards.hour_of(F.col("hourmin")).alias("hour"), "duration_ms", age.alias("age"), F.log1p(F.size(F.filter(hist_idx, lambda i: i > encoding.OOV)).cast("double")).alias("hist_len"), F.size(F.coalesce("tags", empty)).cast("double").alias("tag_len"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in _FLAGS],
     )
 
