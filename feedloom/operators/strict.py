@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from feedloom.operators import metrics
 from feedloom.operators.metrics import ranking_at
 
 
@@ -108,3 +109,21 @@ def same_rows(samples: DataFrame, features: DataFrame, key: str) -> DataFrame:
 def samples_kind(rows: DataFrame) -> str:
     """The rows' type as a struct, for a cast of the error."""
     return rows.schema.simpleString()
+
+
+def evaluate_ranking(pred: DataFrame, user: str, score: str = "p", label: str = "y", buckets: int = 10) -> DataFrame:
+    """(metric, bucket, value) of predictions: n, pos_rate, auc, gauc by impressions with the users used and skipped, pcoc,
+    and for each calibration bucket its rows, mean prediction and mean outcome; ``bucket`` is null but for those.
+
+    Scores must be finite and within [0, 1], labels 0 or 1 and no value null: the first row that isn't stops the query, in
+    the pass that the metrics make. What is undefined, as the AUC of one class, is null.
+    """
+    p, y = F.col(score), F.col(label)
+    sound = only(pred, {"label": y.isin(0, 1), "score": ~F.isnan(p) & (p >= 0) & (p <= 1), "user": F.col(user).isNotNull()})
+    one = F.lit("all").alias("_all")
+    overall = sound.agg(F.count("*").cast("double").alias("n"), F.avg(y.cast("double")).alias("pos_rate"), metrics.pcoc(score, label).alias("pcoc")).unpivot([], ["n", "pos_rate", "pcoc"], "metric", "value")
+    area = metrics.auc(sound.select("*", one), ["_all"], score, label).select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
+    by_user = metrics.gauc(sound, user, score, label).select("gauc", F.col("used").cast("double").alias("gauc_users"), F.col("skipped").cast("double").alias("gauc_skipped")).unpivot([], ["gauc", "gauc_users", "gauc_skipped"], "metric", "value")
+    scalars = overall.unionByName(area).unionByName(by_user).select("metric", F.lit(None).cast("int").alias("bucket"), "value")
+    cal = metrics.calibration(sound, buckets, score, label).select("bucket", F.col("n").cast("double").alias("calibration_n"), F.col("mean_pred").alias("calibration_pred"), F.col("mean_label").alias("calibration_label"))
+    return scalars.unionByName(cal.unpivot(["bucket"], ["calibration_n", "calibration_pred", "calibration_label"], "metric", "value").select("metric", "bucket", "value"))

@@ -77,7 +77,8 @@ def topk_by_day(spark, sf):
 # ---- towers
 
 NEGATIVES = 8
-FEATURES = ["hour", "log_hist_len"]
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+FEATURES = ["hour", "log_hist_len", "t1_imp", "t1_rate", "balance", *[f"segment{k}" for k in range(len(SEGMENTS))]]
 SIDE = ["log_freq", "age"]
 GROUPS = 5
 
@@ -89,16 +90,25 @@ def structured(log: DataFrame) -> DataFrame:
 
 @query()
 def towers_by_day(spark, sf):
-    """Recall of towers on data with structure, item vectors as of each request's day, beside chance (no SQL: training)."""
+    """Recall of towers on data with structure, item vectors as of each request's day, beside chance (no SQL: training).
+
+    The user tower sees the history, the hour, features of the days before, and static numbers and categories; the item
+    tower the item, its frequency and its age on the day.
+    """
     log = structured(_log(spark, sf)).where("video_id IS NOT NULL")
     start = F.lit("2023-12-01").cast("date")
     items = retrieval.catalog(log.where("split IN ('warmup', 'train')"), 1).withColumn("log_freq", F.log1p("train_freq") / 5).withColumn("upload", F.date_add(start, (F.col("video_id") % 30).cast("int")))
     states = log.select("user_id", "time_ms", "video_id").distinct()
+    prior = windows.priors(log, ["is_click"])
+    rolled = windows.rolling(log, ["user_id"], "video_id", ["is_click"], ["is_click"], [7], prior, "u").select("user_id", "date", "u_imp_7d", "u_is_click_smooth_7d")
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") / 10_000).alias("balance"), *[(F.col("c_mktsegment") == s).cast("double").alias(f"segment{k}") for k, s in enumerate(SEGMENTS)])
 
     def ready(rows: DataFrame) -> DataFrame:
         kept = rows.join(items.select("video_id"), "video_id", "left_semi")
         with_hist = kept.join(history.strict_history(kept, states, n=20), ["user_id", "time_ms"])
-        return with_hist.select(F.col("event_id").alias("row_id"), "user_id", "time_ms", "date", "video_id", "hist", (F.floor(F.col("hourmin") / 100) / 24).alias("hour"), (F.log1p("hist_len") / 3).alias("log_hist_len"))
+        whole = with_hist.join(rolled, ["user_id", "date"], "left").join(users, "user_id", "left").crossJoin(F.broadcast(prior))
+        t1 = [(F.log1p(F.coalesce("u_imp_7d", F.lit(0))) / 3).alias("t1_imp"), F.coalesce("u_is_click_smooth_7d", "g_is_click").alias("t1_rate")]
+        return whole.select(F.col("event_id").alias("row_id"), "user_id", "time_ms", "date", "video_id", "hist", (F.floor(F.col("hourmin") / 100) / 24).alias("hour"), (F.log1p("hist_len") / 3).alias("log_hist_len"), *t1, "balance", *FEATURES[5:])
 
     train, test = ready(log.where("split = 'train'")), ready(log.where("split = 'test'"))
     aged = {"age": F.log1p(F.greatest(F.datediff(windows.as_date("date"), "upload"), F.lit(0)).cast("double")) / 4}

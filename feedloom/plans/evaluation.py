@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from feedloom.operators import metrics
+from feedloom.operators import metrics, rerank, strict
 from feedloom.plans.common import EV, OR, query
 from feedloom.views import log_events, log_orders, with_split
 
@@ -76,6 +75,14 @@ def author_diversity(spark, sf):
     """Extension: fused scores, re-ranked with at most two items of an author in a list."""
     fused = F.max(0.7 * F.col("is_click") + 0.3 * F.col("long_view") + F.col("value") / 1e6).alias("score")
     s = with_split(log_events(spark, sf)).groupBy("user_id", "author_id", "video_id").agg(fused)
-    few = s.withColumn("k", F.row_number().over(Window.partitionBy("user_id", "author_id").orderBy(F.desc("score"), "video_id"))).where("k <= 2")
-    top = few.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "video_id"))).where("rank <= 10")
-    return top.select("user_id", "author_id", "video_id", F.round("score", 9).alias("score"), "rank")
+    return rerank.diverse(s, ["user_id"], "author_id", 2, 10).select("user_id", "author_id", "video_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query(_USER + f""", r AS (SELECT p, y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r, count(*) OVER () AS n FROM pr), c AS (SELECT CAST(least(floor((r - 1) * 10 / n), 9) AS INT) AS bucket, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM r GROUP BY 1),
+m AS (SELECT 'n' AS metric, CAST(NULL AS INT) AS bucket, CAST(count(*) AS DOUBLE) AS value FROM pr UNION ALL SELECT 'pos_rate', NULL, avg(y) FROM pr UNION ALL SELECT 'pcoc', NULL, avg(p) / nullif(avg(y), 0) FROM pr
+UNION ALL SELECT 'auc', NULL, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) FROM r UNION ALL SELECT 'gauc', NULL, sum(auc * u.n) / sum(u.n) FILTER (auc IS NOT NULL) FROM u LEFT JOIN x USING (user_id)
+UNION ALL SELECT 'gauc_users', NULL, count(auc) FROM u LEFT JOIN x USING (user_id) UNION ALL SELECT 'gauc_skipped', NULL, count(*) FILTER (auc IS NULL) FROM u LEFT JOIN x USING (user_id)
+UNION ALL SELECT 'calibration_n', bucket, n FROM c UNION ALL SELECT 'calibration_pred', bucket, mp FROM c UNION ALL SELECT 'calibration_label', bucket, my FROM c) SELECT metric, bucket, round(value, 9) AS value FROM m""")
+def ranking_bundle(spark, sf):
+    """All ranking metrics of one set of predictions, which are checked on the way."""
+    return strict.evaluate_ranking(_pred(spark, sf), "user_id").select("metric", "bucket", F.round("value", 9).alias("value"))

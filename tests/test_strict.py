@@ -174,3 +174,14 @@ def test_top_k_meets_only_the_own_version(spark):
     assert {tuple(r)[1] for r in retrieval.exact_top_k(a.where("query_id = 0"), b.where("day = 1"), 3).select("query_id", "item_id").collect()} != set()
     with pytest.raises(Exception, match="differ in length"):
         retrieval.exact_top_k(a.where("query_id = 0"), b.where("item_id < 3").withColumn("v", F.when(F.col("item_id") == 0, F.array(F.lit(1.0))).otherwise(F.col("v"))), 3).collect()
+
+
+def test_ranking_bundle_stops_at_unsound_predictions(spark):
+    rows = [(1, 0.1, 0), (1, 0.9, 1), (2, 0.5, 1), (2, 0.5, 0), (3, 0.2, 0)]
+    kind = "u long, p double, y int"
+    got = {(r["metric"], r["bucket"]): r["value"] for r in strict.evaluate_ranking(spark.createDataFrame(rows, kind), "u", buckets=2).collect()}
+    assert got["n", None] == 5 and got["auc", None] == 5.5 / 6 and got["gauc", None] == 0.75 and (got["gauc_users", None], got["gauc_skipped", None]) == (2, 1)
+    assert abs(got["pcoc", None] - 0.44 / 0.4) < 1e-12 and got["calibration_n", 0] + got["calibration_n", 1] == 5
+    for bad, said in (((1, 0.5, 2), "label"), ((1, 1.5, 1), "score"), ((1, float("nan"), 1), "score"), ((1, None, 1), "score"), ((None, 0.5, 1), "user"), ((1, 0.5, None), "label")):
+        with pytest.raises(Exception, match=f"guard {said} fails"):
+            strict.evaluate_ranking(spark.createDataFrame([*rows, bad], kind), "u").collect()
