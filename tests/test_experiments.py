@@ -59,3 +59,14 @@ def test_banned_sources_and_ledger(spark):
     found = {r["model"]: (r["clear"], r["outcome"]) for r in experiments.ledger(said, got).collect()}
     assert found == {"a": (True, "hit"), "b": (True, "miss"), "c": (False, "hit"), "d": (False, "miss"), "e": (False, "open")}
     assert experiments.ledger(said, got).where(F.col("outcome") == "open").count() == 1
+
+
+def test_forbidden_columns_go_and_cold_pairs_get_defaults(spark):
+    from feedloom.operators import encoding, ingest, windows
+
+    rows = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert ingest.drop_present(rows, ["b", "missing"]).columns == ["a", "c"]
+    cold = spark.createDataFrame([(1, None, None, None), (2, 4, 0.5, 1)], "user_id long, p_imp_7d long, p_is_click_smooth_7d double, p_has_history int")
+    got = [tuple(r) for r in windows.pair_defaults(cold, {"is_click": 0.25}, "p", ["is_click"]).orderBy("user_id").collect()]
+    assert got == [(1, 0, 0.25, 0), (2, 4, 0.5, 1)]
+    assert [encoding.classify(c) for c in ("u_imp_7d", "u_is_click_rate_7d", "u_is_click_smooth_7d", "u_trend", "u_has_history")] == ["count", "naive", "smooth", "trend", "flag"]
