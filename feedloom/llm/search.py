@@ -198,7 +198,7 @@ class _Best:
 
     def add(self, scores: list[int], ids: list) -> None:
         self.rows += [(-s, i is None, i) for s, i in zip(scores, ids, strict=True) if s > 0]
-        if len(self.rows) > self.k:
+        if len(self.rows) >= self.k:  # sorted at k rows too: the last one is the bar from then on
             self.rows.sort(key=lambda r: (r[0], r[1], 0 if r[2] is None else r[2]))
             del self.rows[self.k :]
         self.least = -self.rows[-1][0] if len(self.rows) == self.k else 0

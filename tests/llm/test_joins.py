@@ -153,6 +153,17 @@ def test_search_leaves_masks_unread_when_safe(monkeypatch):
     assert seen < n and sorted(r[2] for r in best[0].rows) == list(range(50))
 
 
+def test_search_bar_of_exactly_k_rows_is_the_least_of_them():
+    """The first block has k rows, the best of them last; a row of the next block that beats all but that one must rank."""
+    k = 3
+    queries, best = search.Queries([1], [np.array([0])], [b"a"]), [search._Best(k)]
+    for ids, counts in (([1, 2, 3], [1, 1, 9]), ([4, 5], [3, 1])):
+        n = len(ids)
+        search.rank_block(queries, np.array([1000]), 5, 50, (pa.array(ids), np.full(n, 10), np.zeros(n, int), np.arange(n), np.array(counts)), best)
+    best[0].add([], [])
+    assert [r[2] for r in best[0].rows] == [3, 4, 1]
+
+
 def test_term_lookup_compares_bytes(monkeypatch):
     words = [b"ab", b"ba", b"abc", b"zz"]
     monkeypatch.setattr(search, "_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
