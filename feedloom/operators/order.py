@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.operators.stage import Stage
+
 #: Slices of an order, and sampled keys from which their bounds are taken.
 SLICES, SAMPLED = 64, 2048
 
@@ -42,9 +44,9 @@ def sums_before(df: DataFrame, key: list[Column], sums: dict[str, Column], by: l
 
     ``by`` keeps separate orders. Keys should be distinct within one; rows that tie come in some order. An empty table
     stays empty. A group's rows are spread over its slices, so one large group fills many tasks; fewer rows than the
-    sample holds are summed as they are.
+    sample holds are summed as they are. ``df`` is written first, as it is read for the bounds, the totals and the sums.
     """
-    by = by or []
+    by, df = by or [], Stage(df.sparkSession).write(df, "ordered")
     bounds = _bounds(df, key, by, slices)
     if not bounds:
         whole = Window.partitionBy(*by).orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+
+from feedloom.operators.stage import Stage
+
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -29,3 +33,8 @@ def query(sql: str | None = None, name: str | None = None):
         return f
 
     return put
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` written and read back, for plans that read it several times: its joins run once."""
+    return Stage(df.sparkSession).write(df, "once")

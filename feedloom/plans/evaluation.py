@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.operators import metrics, rerank, strict
-from feedloom.plans.common import EV, OR, query
+from feedloom.plans.common import EV, OR, once, query
 from feedloom.views import log_events, log_orders, with_split
 
 _PRED = "pr AS (SELECT event_id, user_id, least(greatest(floor(value / 10) / 60, 0), 1) AS p, is_click AS y FROM lg)"
@@ -57,7 +57,7 @@ def calibration(spark, sf):
 @query(f"""WITH {OR}, i AS (SELECT video_id, count(*) AS n, sum(positive) AS pos FROM lo GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS a, rank() OVER (ORDER BY pos) + (count(*) OVER (PARTITION BY pos) - 1) / 2.0 AS b FROM i) SELECT round(corr(a, b), 9) AS rho FROM r""")
 def spearman(spark, sf):
     i = log_orders(spark, sf).groupBy("video_id").agg(F.count("*").alias("n"), F.sum("positive").alias("pos"))
-    return metrics.spearman(i, "n", "pos").select(F.round("rho", 9).alias("rho"))
+    return metrics.spearman(once(i), "n", "pos").select(F.round("rho", 9).alias("rho"))
 
 
 @query(f"""WITH {EV}, v AS (SELECT 'm' || tab AS model, CAST(user_id % 3 AS INT) AS seed, unnest(['click', 'view']) AS metric, unnest([is_click, long_view]) AS x FROM lg), r AS (SELECT model, seed, metric, avg(x) AS value FROM v GROUP BY ALL),
