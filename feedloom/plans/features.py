@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedloom.operators import encoding, history, retrieval, windows
@@ -124,9 +125,9 @@ def vocab_video(spark, sf):
 @query(f"""WITH {OR}, c AS (SELECT DISTINCT video_id FROM lo WHERE year <= 1998), x AS (SELECT author_id AS id, count(DISTINCT video_id) AS n FROM lo SEMI JOIN c USING (video_id) GROUP BY 1 HAVING count(DISTINCT video_id) >= 2)
 SELECT id, n, CAST(row_number() OVER (ORDER BY n DESC, id) + 1 AS INT) AS "index" FROM x""")
 def vocab_author(spark, sf):
-    log = log_orders(spark, sf)
-    cat = log.where("year <= 1998").select("video_id").distinct()
-    n = log.join(cat, "video_id", "left_semi").groupBy(F.col("author_id").alias("id")).agg(F.countDistinct("video_id").alias("n")).where("n >= 2")
+    shown = log_orders(spark, sf).where("video_id IS NOT NULL").repartition("video_id").groupBy("author_id", "video_id").agg(F.min("year").alias("year"))
+    early = shown.withColumn("year", F.min("year").over(Window.partitionBy("video_id"))).where("year <= 1998")  # a row for each author and video
+    n = early.groupBy(F.col("author_id").alias("id")).agg(F.count("*").alias("n")).where("n >= 2")
     return encoding.vocabulary(n)
 
 
