@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.operators import encoding, metrics, retrieval
-from feedloom.plans.common import EV, OR, ORACLE_SQL, query
+from feedloom.plans.common import EV, OR, ORACLE_SQL, once, query
 from feedloom.plans.evaluation import _PRED, _pred
-from feedloom.plans.retrieval import _BASE, _POS, _TRAIN, _draw, _log, _popular_hits, itemcf_padded_topk
-from feedloom.views import log_orders, table
+from feedloom.plans.retrieval import _BASE, _POS, _TRAIN, _draw, _log, _popular_hits, order_log, padded_answers
+from feedloom.views import table
 
 
 @query(f"""WITH {EV}, pool AS (SELECT user_id, video_id FROM lg WHERE {_TRAIN} GROUP BY 1, 2 HAVING max(is_click) = 0), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY video_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS size FROM pool), z AS (SELECT user_id, any_value(size) AS size FROM n GROUP BY 1),
@@ -98,10 +98,10 @@ SELECT CAST(k AS INT) AS k, 'per_request' AS scheme, round(avg(recall), 9) AS re
 UNION ALL SELECT k, 'per_user', round(avg(recall), 9), round(avg(hitrate), 9), round(avg(ndcg), 9) FROM (SELECT k, user_id, avg(recall) AS recall, avg(hitrate) AS hitrate, avg(ndcg) AS ndcg FROM e GROUP BY 1, 2) GROUP BY k""")
 def itemcf_metrics(spark, sf):
     """Recall, hit rate and NDCG of item-to-item answers for moments with several targets each."""
-    log = log_orders(spark, sf)
+    log = order_log(spark, sf)
     cat = retrieval.catalog(log.where("year <= 1998"), 20)
-    asked = log.where("year = 2001 AND positive = 1").join(cat, "video_id", "left_semi").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "video_id").distinct()
+    asked = once(log.where("year = 2001 AND positive = 1").join(cat, "video_id", "left_semi").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "video_id").distinct())
     hits = asked.join(asked.groupBy("user_id", "ts").agg(F.count("*").alias("n_targets")), ["user_id", "ts"])
-    hits = hits.join(itemcf_padded_topk(spark, sf).select("user_id", "ts", "video_id", "rank"), ["user_id", "ts", "video_id"], "left")
+    hits = hits.join(padded_answers(log).select("user_id", "ts", "video_id", "rank"), ["user_id", "ts", "video_id"], "left")
     m = metrics.two_averages(metrics.ranking_at(hits, ["user_id", "ts"], [5, 10]), "user_id")
     return m.select("k", "scheme", *[F.round(c, 9).alias(c) for c in ("recall", "hitrate", "ndcg")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.operators import history, metrics, retrieval
-from feedloom.plans.common import EV, OR, query
+from feedloom.plans.common import EV, OR, once, query
 from feedloom.views import log_events, log_orders, table, with_split
 
 _TRAIN = "split IN ('warmup', 'train')"
@@ -76,22 +76,36 @@ s AS (SELECT a.i, b.i AS j, round_even(sum(a.w) / (any_value(x.norm) * any_value
 t AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM s{within})"""
 
 
-def _pairs(spark, sf):
-    return log_orders(spark, sf).where("positive = 1 AND year <= 1998").select("user_id", "video_id").distinct()
+def _pairs(log):
+    return log.where("positive = 1 AND year <= 1998").select("user_id", "video_id").distinct()
 
 
 @query(_cosine_sql(False, 10) + " SELECT i, j, sim, CAST(rank AS INT) AS rank FROM t WHERE rank <= 10")
 def itemcf_cosine(spark, sf):
-    return retrieval.item_cosine(_pairs(spark, sf), 10, places=6).select("i", "j", "sim", "rank")
+    return retrieval.item_cosine(_pairs(log_orders(spark, sf)), 10, places=6).select("i", "j", "sim", "rank")
 
 
 @query(_cosine_sql(True, 5) + " SELECT i, j, sim, CAST(rank AS INT) AS rank FROM t WHERE rank <= 5")
 def itemcf_iuf(spark, sf):
-    return retrieval.item_cosine(_pairs(spark, sf), 5, iuf=True, places=6).select("i", "j", "sim", "rank")
+    return retrieval.item_cosine(_pairs(log_orders(spark, sf)), 5, iuf=True, places=6).select("i", "j", "sim", "rank")
 
 
-def _moments(spark, sf):
-    return log_orders(spark, sf).where("year = 2001 AND positive = 1").select("user_id", "ts").distinct()
+def _moments(log):
+    return log.where("year = 2001 AND positive = 1").select("user_id", "ts").distinct()
+
+
+def order_log(spark, sf):
+    """The order log's columns that item neighbours need, joined once."""
+    return once(log_orders(spark, sf).select("user_id", "video_id", "ts", "positive", "year"))
+
+
+def padded_answers(log):
+    """Ten items for each moment of ``log`` by summed similarity to the strict history, padded from the catalog."""
+    moments, cat = _moments(log), once(retrieval.catalog(log.where("year <= 1998"), 20))
+    sims = retrieval.item_cosine(_pairs(log), 100, places=6, candidates=cat)
+    scores = retrieval.cosine_scores(history.all_before(moments, log.where("positive = 1"), "user_id", "ts"), sims, ["user_id", "ts"], places=6)
+    top = retrieval.padded_top_k(scores, moments, cat, ["user_id", "ts"], 10, within=True)
+    return top.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "video_id", "score", "padded", "rank")
 
 
 @query(_cosine_sql(False, 100, _IN_CATALOG) + """, m AS (SELECT DISTINCT user_id, ts FROM lo WHERE year = 2001 AND positive = 1), h AS (SELECT DISTINCT m.user_id, m.ts, lo.video_id AS i FROM m JOIN lo ON lo.user_id = m.user_id AND lo.ts < m.ts AND lo.positive = 1),
@@ -100,12 +114,7 @@ f AS (SELECT m.user_id, m.ts, c.video_id, coalesce(sc.score, 0.0) AS score, CASE
 z AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY padded, score DESC, video_id) AS rank FROM f) SELECT user_id, ts, video_id, score, padded, CAST(rank AS INT) AS rank FROM z WHERE rank <= 10""")
 def itemcf_padded_topk(spark, sf):
     """Top-k by summed similarity to the strict history, padded from the catalog."""
-    log, moments = log_orders(spark, sf), _moments(spark, sf)
-    cat = retrieval.catalog(log.where("year <= 1998"), 20)
-    sims = retrieval.item_cosine(_pairs(spark, sf), 100, places=6, candidates=cat)
-    scores = retrieval.cosine_scores(history.all_before(moments, log.where("positive = 1"), "user_id", "ts"), sims, ["user_id", "ts"], places=6)
-    top = retrieval.padded_top_k(scores, moments, cat, ["user_id", "ts"], 10)
-    return top.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "video_id", "score", "padded", "rank")
+    return padded_answers(order_log(spark, sf))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS item_id, round_even(list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings),

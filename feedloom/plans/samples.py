@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.operators import encoding, history, retrieval, samples, windows
-from feedloom.plans.common import EV, OR, query
-from feedloom.plans.retrieval import _IN_CATALOG, _cosine_sql, _moments, _pairs
-from feedloom.views import log_events, log_orders, with_split
+from feedloom.plans.common import EV, OR, once, query
+from feedloom.plans.retrieval import _IN_CATALOG, _cosine_sql, _moments, _pairs, order_log
+from feedloom.views import log_events, with_split
 
 _KEPT = "split IN ('train', 'valid', 'test')"
 _PRIOR = "g AS (SELECT avg(is_click) AS g FROM lg WHERE split = 'warmup')"
@@ -69,8 +69,8 @@ _RECENT = """m AS (SELECT DISTINCT user_id, ts FROM lo WHERE year = 2001 AND pos
 r AS (SELECT m.user_id, m.ts, list(d.video_id ORDER BY d.ts DESC, d.video_id DESC)[1:20] AS hist FROM m JOIN d ON d.user_id = m.user_id AND d.ts < m.ts GROUP BY ALL), h AS (SELECT DISTINCT user_id, ts, unnest(hist) AS i FROM r)"""
 
 
-def _recent_items(spark, sf):
-    moments, positives = _moments(spark, sf), log_orders(spark, sf).where("positive = 1").select("user_id", "ts", "video_id").distinct()
+def _recent_items(log):
+    moments, positives = _moments(log), log.where("positive = 1").select("user_id", "ts", "video_id").distinct()
     recent = history.strict_history(moments, positives, "user_id", "ts", "video_id", 20)
     return moments, recent.select("user_id", "ts", F.explode("hist").alias("video_id")).distinct()
 
@@ -81,15 +81,17 @@ z AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY padded, sco
 SELECT user_id, ts, video_id, score, padded, CAST(rank AS INT) AS rank, CAST(sum(padded) OVER (PARTITION BY user_id, ts) AS INT) AS n_padded FROM z WHERE rank <= 10""")
 def itemcf_recent_topk(spark, sf):
     """Top-k by similarity to the 20 latest items before the moment; pads descend by item, and their number is told."""
-    cat = retrieval.catalog(log_orders(spark, sf).where("year <= 1998"), 20)
-    sims = retrieval.item_cosine(_pairs(spark, sf), 100, places=6, candidates=cat)
-    moments, recent = _recent_items(spark, sf)
-    top = retrieval.padded_top_k(retrieval.cosine_scores(recent, sims, ["user_id", "ts"], places=6), moments, cat, ["user_id", "ts"], 10, descending=True)
+    log = order_log(spark, sf)
+    cat = once(retrieval.catalog(log.where("year <= 1998"), 20))
+    sims = retrieval.item_cosine(_pairs(log), 100, places=6, candidates=cat)
+    moments, recent = _recent_items(log)
+    top = retrieval.padded_top_k(retrieval.cosine_scores(recent, sims, ["user_id", "ts"], places=6), moments, cat, ["user_id", "ts"], 10, descending=True, within=True)
     return top.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "video_id", "score", "padded", "rank", "n_padded")
 
 
 @query(f"""WITH {OR}, p AS (SELECT DISTINCT user_id AS u, video_id AS i FROM lo WHERE positive = 1 AND year <= 1998), {_RECENT} SELECT i AS video_id, count(*) AS moments FROM h WHERE i IN (SELECT i FROM p) GROUP BY 1""")
 def itemcf_row_universe(spark, sf):
     """Items of the asked histories that the similarity table has rows for, and how many moments ask for each."""
-    known = _pairs(spark, sf).select("video_id").distinct()
-    return _recent_items(spark, sf)[1].join(known, "video_id", "left_semi").groupBy("video_id").agg(F.count("*").alias("moments"))
+    log = order_log(spark, sf)
+    known = _pairs(log).select("video_id").distinct()
+    return _recent_items(log)[1].join(known, "video_id", "left_semi").groupBy("video_id").agg(F.count("*").alias("moments"))

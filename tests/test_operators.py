@@ -1,6 +1,7 @@
 """Hand-computed cases, and twins that must differ when a rule is relaxed."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,28 @@ def test_padding_takes_what_is_lacking(spark, descending):
     assert got[1] == [(8, 0, 2), (1, 0, 2), *[(i, 1, 2) for i in fill]]
     assert got[2] == [(i, 1, 4) for i in pads] and got[3] == [(i, 0, 0) for i in (1, 2, 3, 4)]
     assert retrieval.padded_top_k(scores, moments.limit(0), cat, ["m"], 4).count() == 0
+
+
+def _counted(df, acc):
+    """``df`` through a task that counts the rows that it hands on."""
+
+    def scan(batches):
+        for b in batches:
+            acc.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(scan, df.schema)
+
+
+def test_an_order_reads_its_rows_once(spark):
+    acc = spark.sparkContext.accumulator(0)
+    got = order.numbered(_counted(spark.range(5000), acc), [F.col("id")], "n").collect()
+    assert acc.value == 5000 and all(r["n"] == r["id"] + 1 for r in got)
+
+
+def test_neighbours_shuffle_no_pairs(spark):
+    acc = spark.sparkContext.accumulator(0)
+    pairs = _counted(spark.range(600).select((F.col("id") % 40).alias("user_id"), (F.col("id") * 7 % 90).alias("video_id")).distinct(), acc)
+    sims = retrieval.item_cosine(pairs, 5)
+    assert sims.count() == 450 and acc.value == 360  # read once
+    assert not re.search(r"hashpartitioning\(i#\d+L?, j#|hashpartitioning\(j#", sims._jdf.queryExecution().executedPlan().toString())
