@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHA = 20.0
@@ -35,22 +35,44 @@ def priors(log: DataFrame, labels: list[str]) -> DataFrame:
 def rolling(log: DataFrame, keys: list[str], other: str, labels: list[str], rates: list[str], windows: list[int], prior: DataFrame, prefix: str, need: DataFrame | None = None, last: int | None = None, alpha: float = ALPHA) -> DataFrame:
     """Windowed counts, distinct partners, plain and smoothed rates, trend and a history flag for key and target day.
 
-    A row stands for every target day within reach of any activity, on quiet days too. ``need(keys, date)`` keeps only
-    the wanted rows before anything is aggregated; ``last`` clips target days. A plain rate without impressions is null;
+    A row stands for every target day within reach of any activity, on quiet days too. ``need(keys, date)`` names the
+    wanted ones; ``last`` clips target days. A key's days, as many as the calendar has, lie in one line with its targets
+    and are summed by ranges of it, so no day is copied to the days that see it. A plain rate without impressions is null;
     a smoothed one falls back to the prior; the trend compares the last day with the daily mean of the widest window.
     """
     widest = max(windows)
-    per_day = project(daily(log, keys, labels), widest)
-    pairs = project(log.select(*keys, other, "date").distinct(), widest)
+    of = {f"_k{i}": F.col(k) for i, k in enumerate(keys)}
+    day = F.unix_date(as_date("date"))
+    rows = log.where("date IS NOT NULL").select(*[c.alias(n) for n, c in of.items()], day.alias("_day"), *[F.col(c).alias(f"_s{i}") for i, c in enumerate(labels)], F.col(other).alias("_other"))
+    zero = {f"_s{i}": F.lit(None).cast("long") for i in range(len(labels))}
+
+    def line(df: DataFrame, **given: Column) -> DataFrame:
+        made = {"_imp": F.lit(None).cast("long"), **zero, "_more": F.lit(None).cast("long"), "_asked": F.lit(None).cast("int"), **given}
+        return df.select(*of, "_day", *[v.alias(n) for n, v in made.items()])
+
+    # a partner counts from the day after until it is seen again or leaves the widest window: one up, one down
+    seen = rows.where("_other IS NOT NULL").select(*of, "_other", "_day").distinct()
+    again = F.lead("_day").over(Window.partitionBy(*of, "_other").orderBy("_day"))
+    ends = seen.withColumn("_end", F.least(F.coalesce(again, F.col("_day") + widest), F.col("_day") + widest) + 1)
+    steps = ends.select(*of, F.explode(F.array(F.struct((F.col("_day") + 1).alias("_day"), F.lit(1).cast("long").alias("_by")), F.struct(F.col("_end").alias("_day"), F.lit(-1).cast("long").alias("_by")))).alias("_x")).select(*of, "_x.*")
+    if need is None:
+        asked = rows.select(*of, "_day").distinct().select(*of, F.explode(F.sequence(F.col("_day") + 1, F.col("_day") + widest)).alias("_day"))
+    else:
+        asked = need.select(*[c.alias(n) for n, c in of.items()], day.alias("_day")).dropna().distinct()
+    shown = line(rows, _imp=F.lit(1).cast("long"), **{f"_s{i}": F.col(f"_s{i}").cast("long") for i in range(len(labels))})
+    every = shown.unionByName(line(steps, _more=F.col("_by"))).unionByName(line(asked, _asked=F.lit(1)))
+    values = ["_imp", *zero]
+    days = every.groupBy(*of, "_day").agg(*[F.sum(c).alias(c) for c in (*values, "_more")], F.max("_asked").alias("_asked"))
+    back = Window.partitionBy(*of).orderBy("_day")
+    names = dict(zip(values, ("imp", *labels), strict=True))
+    sums = {f"{prefix}_{names[c]}_{w}d": F.coalesce(F.sum(c).over(back.rangeBetween(-w, -1)), F.lit(0)) for w in windows for c in values}
+    active = F.coalesce(F.sum((F.col("_imp") > 0).cast("long")).over(back.rangeBetween(-widest, -1)), F.lit(0))
+    known = F.coalesce(F.sum("_more").over(back.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    found = days.select(*of, "_day", "_asked", *[v.alias(n) for n, v in sums.items()], active.alias(f"{prefix}_active_days_{widest}d"), known.alias(f"{prefix}_distinct_{widest}d"))
+    found = found.where((F.col("_asked") == 1) & (F.col(f"{prefix}_active_days_{widest}d") > 0)).withColumn("target", as_int(F.date_from_unix_date("_day")))
     if last is not None:
-        per_day, pairs = per_day.where(F.col("target") <= last), pairs.where(F.col("target") <= last)
-    if need is not None:
-        wanted = need.select(*keys, F.col("date").alias("target")).distinct()
-        per_day, pairs = per_day.join(wanted, [*keys, "target"], "left_semi"), pairs.join(wanted, [*keys, "target"], "left_semi")
-    sums = [F.coalesce(F.sum(F.when(F.col("offset") <= w, F.col(c))), F.lit(0)).cast("long").alias(f"{prefix}_{c}_{w}d") for w in windows for c in ("imp", *labels)]
-    counted = per_day.groupBy(*keys, "target").agg(*sums, F.sum((F.col("imp") > 0).cast("int")).cast("long").alias(f"{prefix}_active_days_{widest}d"))
-    partners = pairs.groupBy(*keys, "target").agg(F.countDistinct(other).alias(f"{prefix}_distinct_{widest}d"))
-    out = counted.join(partners, [*keys, "target"], "left").crossJoin(F.broadcast(prior))
+        found = found.where(F.col("target") <= last)
+    out = found.select(*[F.col(n).alias(k) for n, k in zip(of, keys, strict=True)], "target", *sums, f"{prefix}_active_days_{widest}d", f"{prefix}_distinct_{widest}d").crossJoin(F.broadcast(prior))
     for w in windows:
         imp = F.col(f"{prefix}_imp_{w}d")
         for c in rates:

@@ -163,3 +163,15 @@ def test_neighbours_shuffle_no_pairs(spark):
     sims = retrieval.item_cosine(pairs, 5)
     assert sims.count() == 450 and acc.value == 360  # read once
     assert not re.search(r"hashpartitioning\(i#\d+L?, j#|hashpartitioning\(j#", sims._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("asked", [True, False])
+def test_windows_copy_no_day_to_those_that_see_it(spark, asked):
+    rows = [(1, 10, 20240101, 1), (1, 10, 20240102, 0), (1, 11, 20240102, 1), (1, None, 20240105, 1), (2, 10, 20240101, None)]
+    log = spark.createDataFrame(rows, "u long, v long, date int, y int").withColumn("split", F.lit("warmup"))
+    need = spark.createDataFrame([(1, 20240103), (1, 20240110), (2, 20240101), (2, 20240109), (2, 20240102)], "u long, date int")
+    out = windows.rolling(log, ["u"], "v", ["y"], [], [1, 7], windows.priors(log, ["y"]), "p", need=need if asked else None)
+    got = {(r["u"], r["date"]): (r["p_imp_1d"], r["p_y_7d"], r["p_imp_7d"], r["p_active_days_7d"], r["p_distinct_7d"]) for r in out.collect()}
+    some = {(1, 20240103): (2, 2, 3, 2, 2), (1, 20240110): (0, 1, 1, 1, 0), (2, 20240102): (1, 0, 1, 1, 1)}
+    assert got == some if asked else (some.items() <= got.items() and len(got) == 18)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
