@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from feedloom.operators.vectors import vector_sum
 
 
+#: Rows of one pass through a net: what it makes of them stays in a core's cache.
+FEW = 2048
+
+
 def single(tasks: int) -> np.ndarray:
     return np.eye(tasks, dtype=bool)
 
@@ -90,7 +94,7 @@ class Mixture(Net):
         a = np.where(self.allowed, np.tensordot(x, self.w["gate"], 1), -np.inf)
         g = np.exp(a - a.max(2, keepdims=True))
         g /= g.sum(2, keepdims=True)
-        mixed = np.einsum("btk,bke->bte", g, h)
+        mixed = g @ h
         return h, g, mixed, _logistic(mixed, self.w["tower"], self.w["bias"])
 
     def slopes(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -101,14 +105,19 @@ class Mixture(Net):
         out = self.views(flat)
         out["bias"][:], out["tower"][:] = d.sum(0), np.einsum("bt,bte->te", d, mixed)
         dm = d[:, :, None] * self.w["tower"]
-        dg = np.einsum("bte,bke->btk", dm, h)
+        dg = dm @ h.transpose(0, 2, 1)
         da = g * (dg - (g * dg).sum(2, keepdims=True))
         out["gate"][:] = np.tensordot(x, da, ([0], [0]))
-        dh = np.einsum("btk,bte->bke", g, dm) * (h > 0)
+        dh = (g.transpose(0, 2, 1) @ dm) * (h > 0)
         out["offset"][:], out["expert"][:] = dh.sum(0), np.tensordot(x, dh, ([0], [0]))
         return loss, flat, np.tensordot(da, self.w["gate"], ([1, 2], [1, 2])) + np.tensordot(dh, self.w["expert"], ([1, 2], [1, 2]))
 
 
+def _each(at: np.ndarray, lines, weights: np.ndarray) -> np.ndarray:
+    """Each of ``weights`` applied to its own line of ``at``: (rows, weights, width)."""
+    return np.stack([at[:, line] @ w for line, w in zip(lines, weights, strict=True)], 1)
+
+
 class Stacked(Net):
     """Levels of shared and own experts. A task's gate mixes its own and the shared ones, a gate of the shared line mixes
     all, and the mixtures are what the next level's experts and gates see; the last level has no shared line."""
@@ -128,12 +137,12 @@ class Stacked(Net):
         for k in range(self.levels):
             gate = self.w[f"gate_{k}"]
             lines = len(gate)
-            h = np.maximum(np.einsum("bed,edw->bew", at[:, self.owner], self.w[f"expert_{k}"]) + self.w[f"offset_{k}"], 0)
-            a = np.where(self.allowed[:lines], np.einsum("bgd,gde->bge", at[:, :lines], gate), -np.inf)
+            h = np.maximum(_each(at, self.owner, self.w[f"expert_{k}"]) + self.w[f"offset_{k}"], 0)
+            a = np.where(self.allowed[:lines], _each(at, range(lines), gate), -np.inf)
             g = np.exp(a - a.max(2, keepdims=True))
             g /= g.sum(2, keepdims=True)
             seen.append((at, h, g))
-            at = np.einsum("bge,bew->bgw", g, h)
+            at = g @ h
         return seen, at
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -151,14 +160,17 @@ class Stacked(Net):
         for k in reversed(range(self.levels)):
             at, h, g = seen[k]
             lines = g.shape[1]
-            dg = np.einsum("bgw,bew->bge", down, h)
+            dg = down @ h.transpose(0, 2, 1)
             da = g * (dg - (g * dg).sum(2, keepdims=True))
-            dh = np.einsum("bge,bgw->bew", g, down) * (h > 0)
-            out[f"gate_{k}"][:] = np.einsum("bgd,bge->gde", at[:, :lines], da)
-            out[f"offset_{k}"][:], out[f"expert_{k}"][:] = dh.sum(0), np.einsum("bed,bew->edw", at[:, self.owner], dh)
+            dh = (g.transpose(0, 2, 1) @ down) * (h > 0)
+            out[f"offset_{k}"][:] = dh.sum(0)
             back = np.zeros_like(at)
-            back[:, :lines] = np.einsum("bge,gde->bgd", da, self.w[f"gate_{k}"])
-            np.add.at(back, (slice(None), self.owner), np.einsum("bew,edw->bed", dh, self.w[f"expert_{k}"]))
+            for line in range(lines):
+                out[f"gate_{k}"][line] = at[:, line].T @ da[:, line]
+                back[:, line] = da[:, line] @ self.w[f"gate_{k}"][line].T
+            for e, line in enumerate(self.owner):
+                out[f"expert_{k}"][e] = at[:, line].T @ dh[:, e]
+                back[:, line] += dh[:, e] @ self.w[f"expert_{k}"][e].T
             down = back
         return loss, flat, down.sum(1)
 
@@ -248,7 +260,13 @@ def fit(rows: DataFrame, features: list[str], labels: list[str], model: np.ndarr
     net = model if isinstance(model, Net) else Mixture(len(features), model, width, seed)
     packed = rows.select(_packed(features, 0.0).alias("x"), _packed(labels, float("nan")).alias("y"))
     nx, ny = len(features), len(labels)
-    return descend(packed, net, lambda here, batch: here.gradient(_matrix(batch.column(0), nx), _matrix(batch.column(1), ny)), steps, rate)
+
+    def gradient(here: Net, batch: pa.RecordBatch) -> tuple[float, np.ndarray]:
+        x, y = _matrix(batch.column(0), nx), _matrix(batch.column(1), ny)
+        parts = [here.gradient(x[i : i + FEW], y[i : i + FEW]) for i in range(0, len(x), FEW)]
+        return sum(loss for loss, _ in parts), sum(g for _, g in parts)
+
+    return descend(packed, net, gradient, steps, rate)
 
 
 def predict(rows: DataFrame, net: Net, features: list[str], tasks: list[str], carry: list[str]) -> DataFrame:

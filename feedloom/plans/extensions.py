@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.operators import encoding, metrics, multitask, rerank, windows
-from feedloom.plans.common import EV, OR, query
+from feedloom.plans.common import EV, OR, once, query
 from feedloom.views import LABELS, log_events, log_orders, table, with_split
 
 
@@ -80,15 +80,15 @@ def _ranking_rows(spark, sf):
 @query()
 def multitask_auc(spark, sf):
     """AUC on test of every task for models trained on the training split, single-task to PLE and selective sharing (no SQL: training)."""
-    rows, n, out = _ranking_rows(spark, sf), len(LABELS), None
-    truth = rows.where("split = 'test'").select("event_id", F.explode(F.array(*[F.struct(F.lit(c).alias("task"), F.col(c).alias("y")) for c in LABELS])).alias("l")).select("event_id", "l.task", "l.y")
+    rows, n, out = once(_ranking_rows(spark, sf)), len(LABELS), None
+    truth = F.coalesce(*[F.when(F.col("task") == c, F.col(c)) for c in LABELS])
     stacked, selective = multitask.Stacked(len(FEATURES), n), multitask.Selective(len(FEATURES), n)
     for name, model in (("single", multitask.single(n)), ("mmoe", multitask.mmoe(n, 4)), ("cgc", multitask.cgc(n, 2)), ("ple", stacked), ("selective", selective)):
         net, _ = multitask.fit(rows.where("split = 'train'"), FEATURES, list(LABELS), model)
-        p = multitask.predict(rows.where("split = 'test'"), net, FEATURES, list(LABELS), ["event_id"])
-        one = metrics.auc(p.join(truth, ["event_id", "task"]), ["task"]).select(F.lit(name).alias("model"), "task", "n", "pos", F.round("auc", 4).alias("auc"))
+        p = multitask.predict(rows.where("split = 'test'"), net, FEATURES, list(LABELS), list(LABELS))
+        one = p.select(F.lit(name).alias("model"), "task", "p", truth.alias("y"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return metrics.auc(out, ["model", "task"]).select("model", "task", "n", "pos", F.round("auc", 4).alias("auc"))
 
 
 @query()

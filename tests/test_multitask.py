@@ -123,3 +123,10 @@ def test_manifest_and_runs(spark, tmp_path):
     assert {(r["run"], r["n_neg"]) for r in tables.load_runs(spark, f"{tmp_path}/*.json").collect()} == {("t_neg5", 5), ("t", None)}
     assert tables.load_runs(spark, f"{tmp_path}/*.json", "aux").count() == 1
     assert tables.write_table(spark.range(7), f"{tmp_path}/out") == 7
+
+
+def test_passes_of_few_rows_sum_to_the_whole(monkeypatch, spark):
+    rows = spark.range(500).selectExpr("id % 7 / 7.0 AS a", "1.0 AS one", "CAST(id % 3 = 0 AS INT) AS y").repartition(1)
+    whole = multitask.fit(rows, ["a", "one"], ["y"], multitask.single(1), steps=3)[0].flat
+    monkeypatch.setattr(multitask, "FEW", 64)
+    assert np.allclose(multitask.fit(rows, ["a", "one"], ["y"], multitask.single(1), steps=3)[0].flat, whole)
