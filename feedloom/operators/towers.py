@@ -21,6 +21,18 @@ def _unit(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return z / n, n
 
 
+def _members(history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all histories end to end, padding left out: the row, the embedding row and its share in the row's mean."""
+    flat = np.concatenate([np.zeros(0, np.int64), *history]).astype(np.int64)
+    whose = np.repeat(np.arange(len(history)), [len(h) for h in history])[flat > 0]
+    return whose, flat[flat > 0], 1 / np.bincount(whose, minlength=len(history))[whose]
+
+
+def _rows_summed(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of ``values`` by the row that each belongs to."""
+    return np.stack([np.bincount(at, values[:, c], rows) for c in range(values.shape[1])], 1)
+
+
 class Towers(Net):
     """Weights of both towers over ``rows`` embedding rows; row 0 is padding and unknown items share what they hash to."""
 
@@ -35,7 +47,8 @@ class Towers(Net):
 
     def users(self, dense: np.ndarray, history: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """Passes of the user tower; a history's padding counts for nothing, an empty one is the zero vector."""
-        pooled = np.stack([self.w["embedding"][h[h > 0]].mean(0) if (h > 0).any() else np.zeros(self.w["embedding"].shape[1]) for h in history])
+        whose, real, share = _members(history)
+        pooled = _rows_summed(whose, self.w["embedding"][real] * share[:, None], len(history))
         return self._tower("user", np.concatenate([dense, pooled], 1))
 
     def items(self, ids: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -70,12 +83,10 @@ class Towers(Net):
         flat = np.zeros(self.size)
         out = self.views(flat)
         dx = self._back("user", user, np.einsum("bc,bco->bo", d, item[2]), out)[:, self.dense :]
-        for row, h in zip(dx, history, strict=True):
-            real = h[h > 0]
-            if len(real):
-                np.add.at(out["embedding"], real, row / len(real))
-        de = self._back("item", item, d[:, :, None] * user[2][:, None, :], out)
-        np.add.at(out["embedding"], ids, de[..., : out["embedding"].shape[1]])
+        whose, real, share = _members(history)
+        out["embedding"] += _rows_summed(real, dx[whose] * share[:, None], self.rows)
+        de = self._back("item", item, d[:, :, None] * user[2][:, None, :], out)[..., : out["embedding"].shape[1]]
+        out["embedding"] += _rows_summed(ids.ravel(), de.reshape(-1, de.shape[-1]), self.rows)
         return loss, flat
 
 

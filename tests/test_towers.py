@@ -67,3 +67,12 @@ def test_edges(spark):
     same, none = towers.fit(rows.limit(0), negatives, items, net, ["a"], [], steps=2)
     assert none == [] and np.array_equal(same.flat, net.flat)
     assert towers.user_vectors(rows.limit(0), net, ["a"]).count() == 0 and towers.item_vectors(items.limit(0), net, []).count() == 0
+
+
+def test_history_means_by_rows_are_those_of_a_loop():
+    history = [np.array([3, 0, 3, 1]), np.zeros(0, int), np.array([0, 0]), np.array([2])]
+    net = towers.Towers(1, rows=5)
+    whose, real, share = towers._members(history)
+    got = towers._rows_summed(whose, net.w["embedding"][real] * share[:, None], len(history))
+    want = [net.w["embedding"][h[h > 0]].mean(0) if (h > 0).any() else np.zeros(8) for h in history]
+    assert np.allclose(got, want) and net.users(np.ones((4, 1)), history)[2].shape == (4, 8)
