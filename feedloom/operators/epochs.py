@@ -53,8 +53,9 @@ def permuted(number: Column, n: int, seed: int, epoch: int) -> Column:
         start = F.struct(F.floor(x / a).cast("long").alias("l"), (x % a).alias("r"))
         return F.aggregate(ks, start, lambda s, k: F.struct(s["r"].alias("l"), ((s["l"] + _round(s["r"], k)) % a).alias("r")), lambda s: s["l"] * a + s["r"])
 
-    # the state is one long, so each walk is computed once and not copied into the next
-    walked = F.aggregate(F.sequence(F.lit(2), F.lit(WALKS)), once(number.cast("long")), lambda at, _: F.when(at < n, at).otherwise(once(at)))
+    # the state is one long, so each walk is computed once and not copied into the next; few rows need a second
+    more = lambda at: F.aggregate(F.sequence(F.lit(2), F.lit(WALKS)), at, lambda z, _: F.when(z < n, z).otherwise(once(z)))
+    walked = _let(once(number.cast("long")), lambda at: F.when(at < n, at).otherwise(more(at)))
     valid = (number >= 0) & (number < n)
     return F.when(number.isNotNull(), _let(F.when(valid, walked), lambda at: F.when(at < n, at).otherwise(F.raise_error(F.lit("a row number outside the epoch")).cast("long"))))
 

@@ -7,6 +7,8 @@ the slices are, never a result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,23 @@ def _bounds(df: DataFrame, key: list[Column], by: list[str], slices: int) -> lis
 
 
 def _slice(df: DataFrame, key: list[Column], bounds: list[tuple]) -> Column:
-    """Number of the bounds that are at most the key; nulls sort first."""
+    """Number of the bounds that are at most the key, in two levels: about twice the square root of their number compared.
+
+    Nulls sort first, so a single key needs no bound at null.
+    """
     kinds = [f.dataType for f in df.select(*key).schema.fields]
-    listed = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(f"_{i}") for i, (v, kind) in enumerate(zip(row, kinds, strict=True))]) for row in bounds])
-    own = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(key)])
-    return F.size(F.filter(listed, lambda b: b <= own))
+    if len(key) == 1:
+        own, made = key[0], [F.lit(row[0]).cast(kinds[0]) for row in bounds if row[0] is not None]
+    else:
+        own = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(key)])
+        made = [F.struct(*[F.lit(v).cast(kind).alias(f"_{i}") for i, (v, kind) in enumerate(zip(row, kinds, strict=True))]) for row in bounds]
+    if not made:
+        return F.lit(0)
+    width = math.isqrt(len(made))
+    lines = [made[i : i + width] for i in range(0, len(made), width)]
+    below = lambda listed: F.size(F.filter(listed, lambda b: b <= own))
+    fine, line = F.array(*[F.array(*x) for x in lines]), F.array(below(F.array(*[x[0] for x in lines])))
+    return F.element_at(F.transform(line, lambda at: F.when(at > 0, (at - 1) * width + below(F.element_at(fine, at))).otherwise(0)), 1)
 
 
 def sums_before(df: DataFrame, key: list[Column], sums: dict[str, Column], by: list[str] | None = None, slices: int = SLICES) -> DataFrame:

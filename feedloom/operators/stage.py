@@ -32,10 +32,10 @@ class Stage:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}", {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written and read back: lineage ends here, and lost executors cost nothing."""
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` written and read back: lineage ends here, and lost executors cost nothing. ``by``: a folder for each value."""
         path, before = f"{self.root}/{name}-{uuid.uuid4().hex}", self.paths.get(name)
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         self.paths[name] = path
         if before:
             remove(self.spark, before)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators import epochs, multitask, ranking, selection, spec
+from feedloom.operators import epochs, multitask, order, ranking, selection, spec
 from feedloom.operators.stage import Stage
 from feedloom.operators.vectors import vector_sum
 from feedloom.sources import weights
@@ -214,3 +214,41 @@ def test_training_learns_is_repeatable_and_leaves_what_it_never_saw(spark):
     bad = packed.withColumn("x", F.array(F.lit(float("inf")), F.lit(1.0)))
     with pytest.raises(Exception, match="not finite"):
         ranking.train(bad, tables, net, layout, 300, 300)
+
+
+def test_a_large_batch_is_dealt_to_many_parts_and_read_alone(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ranking, "DEALT", 50)
+    rows = spark.range(1000).select(F.col("id").alias("number"))
+    got = ranking.dealt(rows, 1000, 500, 1, 1)
+    parts = got.groupBy(F.spark_partition_id().alias("p"), "batch").count().collect()
+    assert len(parts) > 2 and max(r["count"] for r in parts) <= 300 and sum(r["count"] for r in parts) == 1000
+    read = Stage(spark).write(got, "epoch", by="batch").where("batch = 1")
+    assert read.count() == 500 and all("batch=1" in f for f in read.select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
+    assert [r["n"] for r in ranking.dealt(rows, 1000, 3, 1, 1).groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()] == [3] * 333 + [1]
+
+
+def test_slopes_are_summed_by_id_within_a_task(spark, monkeypatch):
+    layout, rows, tables = _small(spark)
+    net, stage = multitask.Mixture(layout.size, multitask.single(2), 4), Stage(spark)
+    want = {(r["table"], r["id"]): r["g"] for r in ranking.slopes(rows, tables, net, layout, stage)[3].collect()}
+    sums = ranking._Sums(layout)
+    monkeypatch.setattr(ranking, "HELD", 2)
+    filled = ranking.embedded_input(rows, tables, layout).select("look", "e", "x", "y").toArrow().combine_chunks()
+    for b in filled.to_batches(max_chunksize=1) * 3:
+        dx = net.slopes(ranking._inputs(b), ranking._matrix(b.column("y"), b.num_rows))[2]
+        sums.add(b.column("look"), dx)
+    got = [(t, i, g) for b in sums.give() for t, i, g in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert {(t, i) for t, i, _ in got} == set(want) and len(got) == len(want) and sums.size == 0
+    assert all(np.allclose(g, 3 * np.array(want[t, i])) for t, i, g in got)
+
+
+def test_slices_of_an_order_count_bounds_at_most_the_key(spark):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(-3, 40)] + [(None, 1)], "a long, b int")
+    for n in (1, 2, 7, 12):
+        bounds = [(3 * i, 1) for i in range(n)]
+        got = rows.select("a", "b", order._slice(rows, [F.col("a")], [(x,) for x, _ in bounds]).alias("one"), order._slice(rows, [F.col("a"), F.col("b")], bounds).alias("two")).collect()
+        for r in got:
+            assert r["one"] == (0 if r["a"] is None else sum(x <= r["a"] for x, _ in bounds))
+            assert r["two"] == (0 if r["a"] is None else sum(x <= (r["a"], r["b"]) for x in bounds))
+    with_null = order._slice(rows, [F.col("a")], [(None,), (5,)])
+    assert rows.select(with_null.alias("s")).distinct().count() == 2
