@@ -48,7 +48,7 @@ ROUNDS = 2
 RATE = 0.002
 HEAD = 200_000
 #: Windows scored, and windows of a training step, at once.
-BATCH, STEPS_OF = 128, 192
+BATCH, STEPS_OF = 256, 192
 #: Distinct words a task holds before it passes their counts on.
 HELD = 800_000
 #: The hash that stands for the end of a text among word hashes.
@@ -180,19 +180,8 @@ def layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first_block[:-1] * STEP, first, blocks
 
 
-def _shifted(x: np.ndarray, more: int = 0) -> np.ndarray:
-    """Each block's (blocks, STEP, HEADS, n) values after those of the block before, and ``more`` ones at the end."""
-    out = np.empty((len(x), HEADS, 2 * STEP, x.shape[3] + more), x.dtype)
-    moved, n = x.swapaxes(1, 2), x.shape[3]
-    out[:, :, STEP:, :n] = moved
-    out[1:, :, :STEP, :n] = moved[:-1]
-    out[0, :, :STEP, :n] = 0
-    out[..., n:] = 1
-    return out
-
-
 def _unshifted(d: np.ndarray) -> np.ndarray:
-    """The adjoint of ``_shifted``."""
+    """Each position's slopes, from those (blocks, HEADS, 2 * STEP, n) of the blocks and of the ones before them."""
     out = d[:, :, STEP:].copy()
     out[:-1] += d[1:, :, :STEP]
     return out.swapaxes(1, 2).reshape(len(d) * STEP, -1)
@@ -205,19 +194,40 @@ class Attention:
         self.flat = flat.astype(np.float32)
         self.w = unpack(self.flat)
 
-    def forward(self, x: np.ndarray, first: np.ndarray):
-        """Masked attention of consecutive blocks of rows; what the backward pass needs, the last state at the end."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Queries, keys and values (with a last 1) of all rows, and whether no exponent can be beyond _MOST."""
+        w = self.w
+        p = w["emb"] @ w["project"]
+        v = np.ones((ROWS, HEADS, VALUE + 1), np.float32)
+        v[..., :VALUE] = p[:, _K:].reshape(ROWS, HEADS, VALUE)
+        q, k = p[:, :_Q].copy(), p[:, _Q:_K].copy()
+        longest = [np.sqrt((t.reshape(ROWS, HEADS, KEY) ** 2).sum(2).max(0)) for t in (q, k)]
+        return q, k, v.reshape(ROWS, -1), bool((longest[0] * longest[1] + np.abs(w["place"]).max(1)).max() < _MOST)
+
+    def forward(self, x: np.ndarray, first: np.ndarray, tables: tuple | None = None):
+        """Masked attention of consecutive blocks of rows; what the backward pass needs, the last state at the end.
+
+        Queries, keys and values depend on the row alone, so they are projected once for each row and looked up.
+        """
         w, n = self.w, x.size
+        q, k, v, small = tables or self.tables()
+        both = np.empty((len(x), 2 * STEP), x.dtype)  # rows of the block before, then of the block
+        both[:, STEP:] = x
+        both[1:, :STEP] = x[:-1]
+        both[0, :STEP] = 0
         e = w["emb"].take(x.ravel(), 0)
-        p = e @ w["project"]
-        q = p[:, :_Q].reshape(-1, STEP, HEADS, KEY).swapaxes(1, 2)
-        k = _shifted(p[:, _Q:_K].reshape(-1, STEP, HEADS, KEY))
-        v = _shifted(p[:, _K:].reshape(-1, STEP, HEADS, VALUE), 1)
+        q = q.take(x.ravel(), 0).reshape(-1, STEP, HEADS, KEY).swapaxes(1, 2)
+        k = k.take(both, 0).reshape(-1, 2 * STEP, HEADS, KEY).swapaxes(1, 2)
+        v = v.take(both, 0).reshape(-1, 2 * STEP, HEADS, VALUE + 1).swapaxes(1, 2)
         a = q @ k.swapaxes(2, 3)
-        a += w["place"][:, _DISTANCE]
-        np.clip(a, -_MOST, _MOST, out=a)
-        np.exp(a, out=a)
-        a *= _CAUSAL
+        if small:
+            np.exp(a, out=a)
+            a *= np.exp(w["place"])[:, _DISTANCE] * _CAUSAL
+        else:
+            a += w["place"][:, _DISTANCE]
+            np.clip(a, -_MOST, _MOST, out=a)
+            np.exp(a, out=a)
+            a *= _CAUSAL
         a[first, :, :, :STEP] = 0
         o = a @ v
         total = o[..., VALUE:].copy()  # the last value is 1
@@ -244,18 +254,17 @@ class Attention:
 
     def log_prob(self, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log probability of the rows ``y`` after the rows ``x``; both (blocks, STEP), the first block a first."""
-        out = np.empty(x.shape, np.float32)
+        out, tables = np.empty(x.shape, np.float32), self.tables()
         for i in range(0, len(x), BATCH):
             lead = 1 if i else 0  # the block before is context only
             at = slice(i - lead, i + BATCH)
-            h = self.forward(x[at], first[at])[-1][lead * STEP :]
+            h = self.forward(x[at], first[at], tables)[-1][lead * STEP :]
             want = y[i : i + BATCH].ravel()
             group, slot, order, *_ = self._choices(h, want)
             line = np.arange(len(want))
-            inner = np.empty(len(want), np.float32)
-            slot_total, group_total = _log_total(slot), _log_total(group)
-            inner[order] = slot[line, want[order] % SLOTS] - slot_total
-            out[i : i + BATCH] = (group[line, want // SLOTS] - group_total + inner).reshape(-1, STEP)
+            found = _log_share(group, line, want // SLOTS)
+            found[order] += _log_share(slot, line, want[order] % SLOTS)
+            out[i : i + BATCH] = found.reshape(-1, STEP)
         return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray]:
@@ -286,7 +295,9 @@ class Attention:
                 np.matmul(slot[i:j].T, sorted_h[i:j], out=g_rows[c])
                 np.matmul(slot[i:j], rows[c], out=back[i:j])
                 g_bias[c, :, 0] = slot[i:j].sum(0)
-        dh[order] += back
+        place = np.empty_like(order)
+        place[order] = line
+        dh += back.take(place, 0)
         g["mix"][:] = o.T @ dh
         do = (dh @ w["mix"].T).reshape(-1, STEP, HEADS, VALUE).swapaxes(1, 2)
         a /= total
@@ -307,9 +318,13 @@ class Attention:
         return loss, flat
 
 
-def _log_total(z: np.ndarray) -> np.ndarray:
+def _log_share(z: np.ndarray, line: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Log of softmax at ``hit`` in each line; ``z`` is overwritten."""
     np.clip(z, -_MOST, _MOST, out=z)
-    return np.log(np.exp(z) @ _ONES)[:, 0]
+    out = z[line, hit]
+    np.exp(z, out=z)
+    out -= np.log(z @ _ONES)[:, 0]
+    return out
 
 
 class Trainer:
@@ -323,10 +338,18 @@ class Trainer:
     def step(self, x, y, first, real) -> None:
         loss, g = self.net.gradient(x, y, first, real)
         self.t += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
+        self.m += np.float32(0.1) * (g - self.m)
+        np.multiply(g, g, out=g)
+        g -= self.v
+        g *= np.float32(0.01)
+        self.v += g
         rate = self.rate * min(1, self.t / 20, (200 / self.t) ** 0.5)
-        self.net.flat -= rate / (1 - 0.9**self.t) * self.m / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
+        np.divide(self.v, np.float32(1 - 0.99**self.t), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-6)
+        np.divide(self.m, g, out=g)
+        g *= np.float32(rate / (1 - 0.9**self.t))
+        self.net.flat -= g
         self.seen += int(real.sum())
         self.loss += loss * int(real.sum())
 

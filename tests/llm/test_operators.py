@@ -397,6 +397,20 @@ def test_scores_do_not_depend_on_batches(monkeypatch):
     assert np.allclose(net.log_prob(x, y, first), whole, atol=1e-4)
 
 
+def test_attention_looks_projections_up_and_bounds_its_exponents():
+    rng = np.random.default_rng(2)
+    x, y, first = rng.integers(0, lm.ROWS, (9, lm.STEP)), rng.integers(0, lm.ROWS, (9, lm.STEP)), np.arange(9) % 4 == 0
+    for scale, small in ((0.3, True), (3.0, False)):
+        net = lm.Attention(rng.normal(0, scale, lm.PARAMETERS))
+        q, k, v, bounded = net.tables()
+        assert bounded == small and q.shape == (lm.ROWS, lm.HEADS * lm.KEY) and (v.reshape(lm.ROWS, lm.HEADS, -1)[..., -1] == 1).all()
+        got = [net.forward(x, first, (q, k, v, b)) for b in ((True, False) if small else (False,))]
+        assert all(np.isfinite(g[-1]).all() and np.allclose(g[-1], got[0][-1], atol=1e-3) for g in got)
+        p = net.w["emb"][x.ravel()] @ net.w["project"]
+        assert np.allclose(got[0][1].swapaxes(1, 2).reshape(x.size, -1), p[:, : lm._Q], atol=1e-3)
+        assert np.allclose(got[0][2][:, :, lm.STEP :].swapaxes(1, 2).reshape(x.size, -1), p[:, lm._Q : lm._K], atol=1e-3)
+
+
 def test_language_model_learns_from_every_document_and_order(spark):
     keys = np.array([7, 2**40 + 2, 4, 9])
     assert np.sort(np.concatenate([lm._of_round(keys, k) for k in range(lm.ROUNDS)])).tolist() == [0, 1, 2, 3]
