@@ -4,18 +4,20 @@
 rows by a hash of the id. Rows are sorted by the leading directions of what follows them, by halves, into GROUPS groups of
 SLOTS rows that come in like contexts.
 
-*Model.* One layer of causal self-attention with HEADS heads: queries, keys and values are projections of the embeddings,
-every head has a bias for each distance, and the heads' output is added to the token's own embedding. From the sum follow
-the probability of the next token's group, and that of its row within the group, each by a softmax; the id within a
-shared row is an add-one estimate over all training documents that does not depend on the context.
+*Models.* One layer of causal self-attention; the id within a shared row is an add-one estimate over all training
+documents that does not depend on the context. The values of ``"distributions"``, which is what documents are scored by
+unless another model is asked for, are distributions of the next row (``attend.py``). Those of ``"states"`` are, as its
+queries and keys, projections of the embeddings: HEADS heads have a bias for each distance, their output is added to the
+token's own embedding, and from the sum follow the probability of the next token's group, and that of its row within the
+group, each by a softmax. It takes about four times as long.
 
 *Windows.* Every document is laid out from a multiple of STEP on; a window is the STEP positions scored and the STEP
 before them, so windows overlap by half, each token is scored once, with STEP to 2 STEP - 1 tokens of context where the
 document has them, and a text's score does not depend on what it is batched with.
 
-*Training.* Counts of ids, of rows in a row and of words cover all training documents. The embeddings and the output rows
-start from a truncated singular value decomposition of the counts of rows in a row. Then every window of every training
-document is learnt from once, in one of ROUNDS rounds, which its document's key decides. In every part, Adam runs over the
+*Training.* Counts of ids, of pairs of rows within windows and of words cover all training documents. The values of
+``"distributions"`` are made of the pairs; the embeddings and the output rows of ``"states"`` start from a truncated
+singular value decomposition of the counts of rows in a row. Then every window of every training document is learnt from once, in one of ROUNDS rounds, which its document's key decides. In every part, Adam runs over the
 round's windows and the parts' weights are averaged, by parameter, in Spark; the weights depend on the number of parts.
 
 *Base.* Words are compared by 64-bit hashes. The HEAD most frequent words are broadcast, a table of fixed size; all
@@ -33,8 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.llm import attend
 from feedloom.llm._encode import encoder, tokenizer_path
-from feedloom.llm._shared import doc_chunks, materialize, ship, text_of, utf8
+from feedloom.llm._shared import doc_chunks, exchange_parts, materialize, ship, text_of, utf8
 from feedloom.llm._words import LOWER, mix, word_hashes
 from feedloom.operators.vectors import vector_sum
 
@@ -45,10 +48,13 @@ HEADS, WIDTH = 2, 32
 KEY, VALUE = 8, 16
 STEP = 16
 ROUNDS = 2
-RATE = 0.002
+#: Adam's rate by model.
+RATES = {"distributions": 0.04, "states": 0.002}
 HEAD = 200_000
 #: Windows scored, and windows of a training step, at once.
 BATCH, STEPS_OF = 256, 192
+#: Rows of the counts of pairs that are summed as one value.
+SLICE = 4
 #: Distinct words a task holds before it passes their counts on.
 HELD = 800_000
 #: The hash that stands for the end of a text among word hashes.
@@ -330,9 +336,9 @@ def _log_share(z: np.ndarray, line: np.ndarray, hit: np.ndarray) -> np.ndarray:
 class Trainer:
     """Adam over runs of consecutive windows."""
 
-    def __init__(self, flat: np.ndarray, rate: float):
-        self.net, self.rate, self.t = Attention(flat), rate, 0
-        self.m, self.v = np.zeros(PARAMETERS, np.float32), np.zeros(PARAMETERS, np.float32)
+    def __init__(self, net: Attention | attend.Mixture, rate: float):
+        self.net, self.rate, self.t = net, rate, 0
+        self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
         self.seen, self.loss = 0, 0.0
 
     def step(self, x, y, first, real) -> None:
@@ -354,6 +360,14 @@ class Trainer:
         self.loss += loss * int(real.sum())
 
 
+_SHAPE = attend.Shape(ROWS, STEP, KEY)
+
+
+def _net(flat: np.ndarray, values: tuple | None) -> Attention | attend.Mixture:
+    """The model of these weights: of distributions where their ``values`` are given, of states otherwise."""
+    return Attention(flat) if values is None else attend.Mixture(_SHAPE, flat, values)
+
+
 # ---- passes ------------------------------------------------------------------------------------------------------
 
 _U2 = np.dtype("<u2")
@@ -380,8 +394,8 @@ def _encoded(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
     return rows.mapInArrow(scan, f"doc_id {kind}, key long, held_out boolean, ids binary")
 
 
-def _texts(batch: pa.RecordBatch, chunk_ids: int = 600_000):
-    """(rows, ids laid end to end, sizes) in runs of bounded size."""
+def _texts(batch: pa.RecordBatch, chunk_ids: int = 150_000):
+    """(rows, ids laid end to end, sizes) in runs of bounded size, so small that freed arrays are used again."""
     raws = [x.as_buffer() for x in batch.column("ids")]
     i = 0
     while i < len(raws):
@@ -410,6 +424,31 @@ def _words(ids: np.ndarray, sizes: np.ndarray, path: str, end: int) -> tuple[np.
     return np.concatenate([h, np.full(len(sizes), END_WORD)]), np.concatenate([row, np.arange(len(sizes))])
 
 
+def _slots(known: np.ndarray) -> np.ndarray:
+    """Places in ``known`` by hash, -1 where none is: open addressing, at most half full."""
+    slots = np.full(1 << max(4, (2 * len(known)).bit_length()), -1, np.int32)
+    mask, todo = len(slots) - 1, np.arange(len(known), dtype=np.int32)
+    slot = (known & np.uint64(mask)).astype(np.int64)
+    while len(todo):
+        free = slots[slot] < 0
+        slots[slot[free]] = todo[free]  # of several that want one slot, the last gets it
+        out = slots[slot] != todo
+        todo, slot = todo[out], (slot[out] + 1) & mask
+    return slots
+
+
+def _find(known: np.ndarray, slots: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each of ``h`` in ``known``, -1 where it isn't there."""
+    slot = (h & np.uint64(len(slots) - 1)).astype(np.int64)
+    at = slots.take(slot)
+    other = np.flatnonzero((at >= 0) & (known.take(at, mode="clip") != h)) if len(known) else np.zeros(0, np.int64)
+    while len(other):
+        slot[other] = (slot[other] + 1) & (len(slots) - 1)
+        at[other] = got = slots.take(slot[other])
+        other = other[(got >= 0) & (known.take(got, mode="clip") != h[other])]
+    return at
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
     order = np.argsort(keys, kind="stable")
@@ -439,24 +478,19 @@ def _id_counts(encoded: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def _counted(encoded: DataFrame, row_of: np.ndarray, path: str) -> DataFrame:
-    """(kind, item, n): counts of words (kind 0, by hash) and of rows in a row (kind 1, first * ROWS + second)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(row_of)
+def _counted(encoded: DataFrame, path: str) -> DataFrame:
+    """(word, n): how often each word, by its hash, is in the training documents."""
 
     def scan(batches):
-        end, rows = vocabulary(path)[2], shared.value
-        pairs, held, size = np.zeros(ROWS * ROWS, np.int64), [], 0
+        end, held, size = vocabulary(path)[2], [], 0
 
-        def out(keys, counts, kind):
+        def out(keys, counts):
             for i in range(0, len(keys), 50_000):
-                k = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.uint64).view(np.int64)), pa.array(counts[i : i + 50_000])], names=["kind", "item", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000].view(np.int64)), pa.array(counts[i : i + 50_000])], names=["word", "n"])
 
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch.column("held_out")))
             for _, ids, sizes in _texts(batch):
-                line = rows[np.append(np.insert(ids, np.cumsum(sizes) - sizes, end), end)]
-                pairs += np.bincount(line[:-1] * ROWS + line[1:], minlength=ROWS * ROWS)
                 h = np.sort(_words(ids, sizes, path, end)[0])
                 at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
                 held.append((h[at], np.diff(np.append(at, len(h)))))
@@ -465,14 +499,52 @@ def _counted(encoded: DataFrame, row_of: np.ndarray, path: str) -> DataFrame:
                     held = [_merge(held)]
                     size = len(held[0][0])
                     if size > HELD // 2:
-                        yield from out(*held[0], 0)
+                        yield from out(*held[0])
                         held, size = [], 0
         if held:
-            yield from out(*_merge(held), 0)
-        some = np.flatnonzero(pairs)
-        yield from out(some.astype(np.uint64), pairs[some], 1)
+            yield from out(*_merge(held))
+
+    return encoded.select("held_out", "ids").mapInArrow(scan, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _pair_counts(encoded: DataFrame, row_of: np.ndarray, path: str) -> np.ndarray:
+    """Counts (TABLES, ROWS, ROWS) of the pairs of rows that the training documents' windows hold.
+
+    Tables are summed in slices of a few rows, which are dealt to tasks, so their size does not depend on the input.
+    """
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast(row_of)
+
+    def out(slices):
+        slices = list(slices)
+        for i in range(0, len(slices), 256):
+            part = slices[i : i + 256]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int32()), pa.array([c.tobytes() for _, c in part], pa.binary())], names=["slice", "cells"])
+
+    def scan(batches):
+        end, rows, pairs = vocabulary(path)[2], shared.value, attend.Pairs(ROWS, STEP)
+        for batch in batches:
+            batch = batch.filter(pa.compute.invert(batch.column("held_out")))
+            for _, ids, sizes in _texts(batch):
+                x, y, first, real, _ = _stream(ids, sizes, end)
+                pairs.add(rows[x], rows[y], first, real)
+        counts = pairs.counts().reshape(-1, SLICE * ROWS)
+        yield from out((k, c) for k, c in enumerate(counts) if c.any())
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for k, cells in zip(batch.column("slice").to_pylist(), batch.column("cells"), strict=True):
+                more = np.frombuffer(cells.as_buffer(), np.int64)
+                sums[k] = sums[k] + more if k in sums else more.copy()
+        yield from out(sums.items())
 
-    return encoded.select("held_out", "ids").mapInArrow(scan, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    kind = "slice int, cells binary"
+    slices = encoded.select("held_out", "ids").mapInArrow(scan, kind).repartition(exchange_parts(spark), "slice").mapInArrow(add, kind)
+    counts = np.zeros((attend.TABLES * ROWS // SLICE, SLICE * ROWS), np.int64)
+    for k, cells in slices.collect():  # at most the tables
+        counts[k] = np.frombuffer(cells, np.int64)
+    return counts.reshape(attend.TABLES, ROWS, ROWS)
 
 
 def _stream(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -492,13 +564,13 @@ def _of_round(keys: np.ndarray, turn: int) -> np.ndarray:
     return np.flatnonzero(keys % ROUNDS == turn)
 
 
-def _trained(encoded: DataFrame, weights: np.ndarray, row_of: np.ndarray, path: str, rate: float, turn: int) -> np.ndarray:
+def _trained(encoded: DataFrame, weights: np.ndarray, values: tuple | None, row_of: np.ndarray, path: str, rate: float, turn: int) -> np.ndarray:
     """Round ``turn``: each part's Adam from the same weights, then the mean weighted by the tokens seen."""
-    shared = encoded.sparkSession.sparkContext.broadcast((weights, row_of))
+    shared = encoded.sparkSession.sparkContext.broadcast((weights, values, row_of))
 
     def scan(batches):
-        flat, rows = shared.value
-        end, trainer = vocabulary(path)[2], Trainer(flat, rate)
+        flat, table, rows = shared.value
+        end, trainer = vocabulary(path)[2], Trainer(_net(flat, table), rate)
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch.column("held_out")))
             batch = batch.take(pa.array(_of_round(batch.column("key").to_numpy(), turn)))
@@ -526,8 +598,8 @@ def _scored(encoded: DataFrame, model: tuple, head: tuple[np.ndarray, np.ndarray
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
-        (flat, row_of, emit), (known, logs) = shared.value
-        end, net = vocabulary(path)[2], Attention(flat)
+        (flat, table, row_of, emit), (known, logs) = shared.value
+        end, net, slots = vocabulary(path)[2], _net(flat, table), _slots(known)
         for batch in batches:
             outs = []
             for rows, ids, sizes in _texts(batch):
@@ -538,9 +610,8 @@ def _scored(encoded: DataFrame, model: tuple, head: tuple[np.ndarray, np.ndarray
                 score = np.add.reduceat(logp.ravel(), starts) / np.log(10) if len(starts) else np.zeros(0)
                 h, row = _words(ids, sizes, path, end)
                 n_tokens = np.bincount(row, minlength=len(sizes))
-                at = np.searchsorted(known, h)
-                at[at == len(known)] = 0
-                found = known[at] == h if len(known) else np.zeros(len(h), bool)
+                at = _find(known, slots, h)
+                found = at >= 0
                 base = np.bincount(row[found], logs[at[found]], len(sizes))
                 n_known = np.bincount(row[found], minlength=len(sizes))
                 order = np.lexsort((h[~found], row[~found]))
@@ -557,42 +628,44 @@ def _scored(encoded: DataFrame, model: tuple, head: tuple[np.ndarray, np.ndarray
     return encoded.mapInArrow(scan, f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>")
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, model: str = "distributions") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Null and empty texts are just the end. Rows that repeat a doc_id keep a row each and learn each; a row with a null
     id is training. With no training document at all, counts are 0 and the model is uniform over rows. An empty
     table gives no rows. Texts of any length are scored whole, in runs of bounded size unless one text is longer.
+    ``model`` is ``"distributions"`` or ``"states"``.
     """
+    if model not in RATES:
+        raise ValueError(f"no model {model!r}: {', '.join(RATES)}")
     spark = docs.sparkSession
     ship(spark)
     path = tokenizer or tokenizer_path()
     encoded = materialize(_encoded(docs, id_col, text, path), "subwords")
     seen = _id_counts(encoded, path)
     row_of = rows_of(seen, path)
-    counts = materialize(_counted(encoded, row_of, path), "counts")
-    words = counts.where("kind = 0").select(F.col("item").alias("word"), "n")
+    words = materialize(_counted(encoded, path), "counts")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    pairs = np.zeros(ROWS * ROWS)
-    some = counts.where("kind = 1").select("item", "n").toPandas()  # at most ROWS * ROWS rows, whatever the input
-    pairs[some["item"].to_numpy(np.int64)] = some["n"].to_numpy(np.float64)
-    pairs = pairs.reshape(ROWS, ROWS)
-    order = grouped(pairs)
+    pairs = _pair_counts(encoded, row_of, path)
+    order = grouped(pairs[0].astype(np.float64))
     place = np.empty(ROWS, np.int64)
     place[order] = np.arange(ROWS)
-    row_of, pairs = place[row_of], pairs[np.ix_(order, order)]
+    row_of, pairs = place[row_of], pairs[:, order[:, None], order]
     mass, members = np.bincount(row_of, seen, ROWS), np.bincount(row_of, minlength=ROWS)
     emit = np.log((seen + 1) / (mass + members)[row_of])
-    weights = start_weights(pairs)
+    states = model == "states"
+    weights = start_weights(pairs[0].astype(np.float64)) if states else _SHAPE.start()
+    learnt = None if states else attend.values(pairs, left_out=1)
     for k in range(ROUNDS if total else 0):
-        weights = _trained(encoded, weights, row_of, path, RATE / (1 + k), k)
+        weights = _trained(encoded, weights, learnt, row_of, path, RATES[model] / (1 + k), k)
+    values = None if states else attend.values(pairs)
     ladder = words.groupBy("n").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(Window.orderBy(F.desc("n"))))
     least = ladder.where(F.col("upto") <= HEAD).agg(F.min("n")).first()[0]
     top = words.where(F.col("n") >= least if least else F.lit(False)).toPandas()  # at most HEAD rows
     keys = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     head = (keys[order], np.log10(top["n"].to_numpy(np.float64)[order] + 1))
-    rows = materialize(_scored(encoded, (weights, row_of, emit), head, path), "scores")
+    rows = materialize(_scored(encoded, (weights, values, row_of, emit), head, path), "scores")
     rest = rows.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     hits = rest.join(words, "word").groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("also"))
     joined = rows.drop("words", "times").join(hits, "key", "left")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontam, html, lm, mixing, pii, quality, simhash, sketch, tokens
+from feedloom.llm import attend, chat, decontam, html, lm, mixing, pii, quality, simhash, sketch, tokens
 from feedloom.llm._encode import Encoder
 from feedloom.llm.graph import components
 from tests.conftest import SF
@@ -455,6 +455,98 @@ def test_language_model_edges(spark):
     assert lm.score_documents(odd(spark).limit(0)).count() == 0
 
 
+def distributions(seed=0, blocks=9):
+    """A small model of distributions on random text of a few rows, and its blocks."""
+    rng = np.random.default_rng(seed)
+    shape = attend.Shape(lm.ROWS, lm.STEP, lm.KEY)
+    x, y, first, real, _ = lm._stream(rng.integers(0, 9, 16 * blocks - 40), np.array([0, 50, 16 * blocks - 90]), 0)
+    pairs = attend.Pairs(lm.ROWS, lm.STEP, 2000)
+    pairs.add(x, y, first, real)
+    return shape, shape.start() + rng.normal(0, 0.3, shape.parameters).astype(np.float32), pairs.counts(), (x, y, first, real)
+
+
+def test_pairs_of_windows_against_naive():
+    _, _, counts, (x, y, first, real) = distributions()
+    want = np.zeros_like(counts)
+    for i in np.flatnonzero(real.ravel()):
+        block, at = divmod(i, lm.STEP)
+        for j in range(i - at - (0 if first[block] else lm.STEP), i + 1):
+            want[min(i - j, 2), x.ravel()[j], y.ravel()[i]] += 1
+    assert (counts == want).all() and want[2].sum() > want[1].sum() > 0
+    share, value = attend.values(counts)
+    assert np.allclose(value.reshape(counts.shape).sum(2), 1, atol=1e-4) and share.sum() == pytest.approx(1, abs=1e-5)
+    t, x_, y_ = np.argwhere(counts == 1)[0]
+    counts[t, x_, y_] = 0  # a pair that is seen once is left out as if it had never been seen
+    assert attend.values(want, 1)[1].reshape(counts.shape)[t, x_, y_] == pytest.approx(attend.values(counts)[1].reshape(counts.shape)[t, x_, y_], rel=0.1)
+
+
+def test_attention_over_distributions_against_naive_and_finite_differences(monkeypatch):
+    shape, flat, counts, (x, y, first, real) = distributions()
+    share, value = attend.values(counts)
+    each, place = (t.astype(np.float64) for t in shape.unpack(flat))
+    line, want, tables = x.ravel(), np.zeros(x.shape), value.reshape(counts.shape)
+    for i in range(x.size):
+        block, at = divmod(i, lm.STEP)
+        seen = np.arange(i - at - (0 if first[block] else lm.STEP), i + 1)
+        z = np.exp([*(each[line[seen], lm.KEY : 2 * lm.KEY] @ each[line[i], : lm.KEY] + place[i - seen]), each[line[i], -1]])
+        p = z / z.sum() @ np.array([*(tables[min(i - j, 2), line[j]] for j in seen), share])
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+        want[block, at] = np.log(p[y.ravel()[i]])
+    net = attend.Mixture(shape, flat, (share, value))
+    assert np.allclose(net.log_prob(x, y, first), want, atol=1e-3)
+    monkeypatch.setattr(attend, "BATCH", 2)
+    assert np.allclose(net.log_prob(x, y, first), want, atol=1e-3)
+    loss, g = net.gradient(x, y, first, real)
+    assert loss == pytest.approx(-want[real].mean(), abs=1e-3)
+    rng = np.random.default_rng(1)
+    for part in range(4):
+        d = np.zeros(shape.parameters, np.float32)
+        each, place = shape.unpack(d)
+        view = (each[:, : lm.KEY], each[:, lm.KEY : -1], each[:, -1], place)[part]
+        view[:] = rng.normal(0, 1, view.shape)
+        up, down = (attend.Mixture(shape, flat + np.float32(t) * d, (share, value)).gradient(x, y, first, real)[0] for t in (1e-2, -1e-2))
+        assert (up - down) / 2e-2 == pytest.approx(float(g @ d), abs=1e-3, rel=2e-2), part
+
+
+def test_the_model_that_scores_costs_half_of_the_one_with_softmaxes_at_most():
+    import time
+
+    rng = np.random.default_rng(4)
+    x, y, first, real = rng.integers(0, lm.ROWS, (192, lm.STEP)), rng.integers(0, lm.ROWS, (192, lm.STEP)), np.arange(192) % 40 == 0, np.ones((192, lm.STEP), bool)
+    took = []
+    for net in (lm._net(lm._SHAPE.start(), attend.values(np.zeros((attend.TABLES, lm.ROWS, lm.ROWS), np.int64))), lm._net(lm.start_weights(np.zeros((lm.ROWS, lm.ROWS))), None)):
+        least = []
+        for f in (lambda: net.log_prob(x, y, first), lambda: net.gradient(x, y, first, real)):
+            f()
+            times = []
+            for _ in range(15):
+                began = time.perf_counter()
+                f()
+                times.append(time.perf_counter() - began)
+            least.append(min(times))
+        took.append(sum(least))
+    assert 2 * took[0] < took[1], took
+
+
+def test_words_are_found_by_hash():
+    rng = np.random.default_rng(5)
+    known = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    known[:50] = known[:50] & ~np.uint64(0xFFFF)  # many that want one slot
+    known = np.unique(known)
+    h = np.concatenate([known, known + np.uint64(1), rng.integers(0, 2**63, 3000).astype(np.uint64)])
+    place = {k: i for i, k in enumerate(known.tolist())}
+    assert lm._find(known, lm._slots(known), h).tolist() == [place.get(k, -1) for k in h.tolist()]
+    assert (lm._find(known[:0], lm._slots(known[:0]), h) == -1).all()
+
+
+def test_language_model_of_states_can_be_asked_for(spark):
+    rows = docs(spark).limit(40)
+    one, two = ({r["doc_id"]: r for r in lm.score_documents(rows, model=m).collect()} for m in lm.RATES)
+    assert one.keys() == two.keys() and all(one[i]["base_score"] == pytest.approx(two[i]["base_score"]) and one[i]["score"] != two[i]["score"] < 0 for i in one)
+    with pytest.raises(ValueError):
+        lm.score_documents(rows, model="other")
+
+
 # ---- op8
 
 def naive_fingerprint(text):
