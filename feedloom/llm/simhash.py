@@ -122,15 +122,16 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     spread_out = fps.repartition(exchange_parts(fps.sparkSession), F.xxhash64("fp"))
     placed = spread_out.select("fp", _table(F.col("fp")).alias("table"), F.explode(_cells(F.col("fp"))).alias("cell"))
     met = placed.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
-    live = materialize(placed.join(met, "cell"), "cells")
+    # Spark takes exploded rows to be as large as the rows before and would broadcast them: these joins are by merge
+    live = materialize(placed.hint("merge").join(met, "cell"), "cells")
     few = live.where(F.col("members") <= crowd)
     a, b = few.select("cell", F.col("fp").alias("a"), F.col("table").alias("ta")), few.select("cell", F.col("fp").alias("b"), F.col("table").alias("tb"))
-    tested = a.join(b, "cell").where("a < b").where(_near(F.col("ta"), F.col("tb"))).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    tested = a.hint("merge").join(b, "cell").where("a < b").where(_near(F.col("ta"), F.col("tb"))).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
     crowded = live.where(F.col("members") > crowd).select("fp").distinct()
     near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << j))) for j in range(64)])
     spread = crowded.select("fp", F.explode(near).alias("key"))
     least = spread.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most")
-    starred = spread.join(least, "key").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    starred = spread.hint("merge").join(least, "key").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return tested.select("a", "b").unionByName(starred).distinct()
 
 

@@ -601,6 +601,16 @@ def test_links_lose_no_component(spark, crowd):
     assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
 
 
+def test_exploded_rows_are_never_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(simhash, "materialize", lambda df, what: plans.append(df) or df)
+    plans.append(simhash.links(spark.range(2000).select(F.xxhash64("id").alias("fp")), crowd=1))
+    assert len(plans) == 2
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_keep_first_of_null_and_repeated_ids(spark):
     words = {c: " ".join(f"{c}{i * i}" for i in range(30)) for c in "XYUPQR"}
 
