@@ -16,6 +16,8 @@ from feedloom.views import LABELS, log_events, table, with_split
 
 _KEPT = "split IN ('train', 'valid', 'test')"
 SEED = 42
+#: Rows of a batch, as the reference's ranking models have (configs/*.yaml), whatever the length of the log.
+BATCH = 2048
 
 
 def _log(spark, sf):
@@ -215,20 +217,14 @@ def _scaled(net: multitask.Net) -> multitask.Net:
 
 @query()
 def ranking_embedded_auc(spark, sf):
-    """AUC on test of every task for the five models over all thirteen channels, trained by mini-batches with hidden ids
-    (no SQL: training)."""
+    """AUC on test of every task for the five models over all thirteen channels, trained for an epoch of mini-batches with
+    hidden ids (no SQL: training)."""
     stage = Stage(spark)
     data = ranking_data(spark, sf, stage)
-    test = data.rows.where("split = 'test'")
-    truth = test.select("event_id", F.explode(F.arrays_zip(F.array(*map(F.lit, LABELS)).alias("task"), F.col("y"))).alias("l")).select("event_id", "l.task", F.col("l.y").cast("int").alias("y"))
-    out = None
-    for name, net in models(data.layout.size, len(LABELS)).items():
-        mine = Stage(spark)
-        made = ranking.train(data.rows.where("split = 'train'"), data.tables, _scaled(net), data.layout, data.n, -(-data.n // 3), 1, SEED, 0.02, ("item_id", 0.1, "video_id_known"), mine)
-        p = mine.write(ranking.predict(test, made, data.layout, list(LABELS), ["event_id"]), "predictions")
-        one = metrics.auc(p.join(truth, ["event_id", "task"]), ["task"]).select(F.lit(name).alias("model"), "task", "n", "pos", F.round("auc", 4).alias("auc"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    nets = {name: _scaled(net) for name, net in models(data.layout.size, len(LABELS)).items()}
+    made = ranking.train_by_parts(data.rows.where("split = 'train'"), data.tables, nets, data.layout, data.n, BATCH, 1, SEED, 0.02, ("item_id", 0.1, "video_id_known"), stage)
+    p = stage.write(ranking.predict_models(data.rows.where("split = 'test'"), made, data.layout, list(LABELS)).withColumn("y", F.col("y").cast("int")), "predictions")
+    return metrics.auc(p, ["model", "task"]).select("model", "task", "n", "pos", F.round("auc", 4).alias("auc"))
 
 
 @query("SELECT CAST(NULL AS VARCHAR) AS side, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS position WHERE false")

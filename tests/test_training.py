@@ -252,3 +252,65 @@ def test_slices_of_an_order_count_bounds_at_most_the_key(spark):
             assert r["two"] == (0 if r["a"] is None else sum(x <= (r["a"], r["b"]) for x in bounds))
     with_null = order._slice(rows, [F.col("a")], [(None,), (5,)])
     assert rows.select(with_null.alias("s")).distinct().count() == 2
+
+
+def _learnable(spark, n=600):
+    rng = np.random.default_rng(6)
+    items = rng.integers(2, 12, n)
+    rows = spark.createDataFrame([(k, int(i), [int(i), int(j)], float(i % 2), float(rng.random() < 0.5)) for k, (i, j) in enumerate(zip(items, rng.integers(2, 12, n), strict=True))], "number long, item int, hist array<int>, a double, b double")
+    layout = ranking.Layout([ranking.Embedded("hist", "item", 4), ranking.Embedded("item", "item", 4), ranking.Dense("one", ("one", "known"))])
+    look = layout.lookups({"hist": ranking.listed(F.col("hist")), "item": F.col("item")})
+    packed = rows.select("number", look.alias("look"), F.array(F.lit(1.0), F.lit(1.0)).alias("x"), F.array("a", "b").alias("y"))
+    tables = ranking.fresh_tables(spark.range(2, 14).select(F.lit("item").alias("table"), "id"), layout.widths, 1, 0.3)
+    return layout, packed, tables, {"mmoe": multitask.Mixture(layout.size, multitask.mmoe(2, 2), 4), "ple": multitask.Stacked(layout.size, 2, width=4)}
+
+
+def test_one_part_takes_the_steps_of_plain_training_for_every_model(spark):
+    layout, packed, tables, nets = _learnable(spark)
+    made = ranking.train_by_parts(packed, tables, nets, layout, 600, 100, 2, 42, 0.05, ("item", 0.2, "known"))
+    vectors = {r["id"]: np.array(r["s"]).reshape(3, 2, 4) for r in made.tables.collect()}
+    for j, (name, net) in enumerate(nets.items()):
+        plain = ranking.train(packed, tables, net, layout, 600, 100, 2, 42, 0.05, ("item", 0.2, "known"))
+        assert np.allclose(made.nets[name].flat, plain.net.flat, atol=1e-6)
+        for r in plain.tables.collect():
+            assert np.allclose(vectors[r["id"]][:, j], [r["w"], r["m"], r["v"]], atol=1e-6)
+        p = {tuple(r["y"]): r["p"] for r in ranking.predict(packed.where("number < 2"), plain, layout, ["a", "b"], ["number", "y"]).where("task = 'a'").collect()}
+        got = ranking.predict_models(packed.where("number < 2"), made, layout, ["a", "b"]).where(F.col("model") == name)
+        assert sorted(r["p"] for r in got.where("task = 'a'").collect()) == pytest.approx(sorted(p.values()), abs=1e-6)
+
+
+def test_many_parts_train_every_batch_and_learn(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "STEPS", 2)
+    layout, packed, tables, nets = _learnable(spark, 2000)
+    made = ranking.train_by_parts(packed, tables, nets, layout, 2000, 50, 2, rate=0.1)
+    assert len(made.losses) == 8 and all(made.losses[-1][name] < made.losses[0][name] - 0.1 for name in nets)
+    p = ranking.predict_models(packed, made, layout, ["a", "b"])
+    assert p.count() == 2000 * 4
+    right = {r["model"]: r["right"] for r in p.where("task = 'a'").groupBy("model").agg(F.avg(((F.col("p") > 0.5) == (F.col("y") == 1)).cast("double")).alias("right")).collect()}
+    assert set(right) == set(nets) and min(right.values()) > 0.95
+    first, last = {r["id"]: r["w"] for r in tables.collect()}, {r["id"]: r["s"] for r in made.tables.collect()}
+    assert last[12][:4] == first[12] and not any(last[0]) and last[5][:4] != first[5]
+    again = ranking.train_by_parts(packed.repartition(3), tables, nets, layout, 2000, 50, 2, rate=0.1)
+    assert all(np.allclose(again.nets[k].flat, made.nets[k].flat, atol=1e-9) for k in nets)
+    with pytest.raises(ValueError, match="don't run from 0"):
+        ranking.train_by_parts(packed.where("number <> 7"), tables, nets, layout, 2000, 50)
+    with pytest.raises(Exception, match="no vector for item 3"):
+        ranking.train_by_parts(packed, tables.where("id <> 3"), nets, layout, 2000, 50)
+    with pytest.raises(Exception, match="not finite"):
+        ranking.train_by_parts(packed.withColumn("x", F.array(F.lit(float("inf")), F.lit(1.0))), tables, nets, layout, 2000, 50)
+
+
+def test_query_takes_a_step_for_each_batch_of_the_reference(spark, monkeypatch):
+    from feedloom.plans import ranking as plans
+
+    seen = []
+
+    def noted(rows, tables, nets, layout, n, size, epochs=1, *more):
+        seen.append((n, size, epochs, len(nets), rows.count()))
+        raise InterruptedError
+
+    monkeypatch.setattr(ranking, "train_by_parts", noted)
+    with pytest.raises(InterruptedError):
+        plans.ranking_embedded_auc(spark, "/root/testdata/sf0.001")
+    n, size, epochs, nets, rows = seen[0]
+    assert size == 2048 and epochs == 1 and nets == 5 and n == rows > 0
