@@ -67,6 +67,9 @@ class Vocabs:
     tag: DataFrame
     history: DataFrame
 
+    def all(self) -> list[DataFrame]:
+        return [self.video, self.author, self.tag, self.history]
+
 
 def _count(rows: DataFrame, col: str, least: int) -> DataFrame:
     return rows.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -140,7 +143,7 @@ def ranking_channels(spark, sf):
 
 @dataclass
 class Data:
-    """Rows of all splits with lookups, dense input and labels; ``number`` is dense within the training split."""
+    """Rows of all splits with lookups as three arrays, dense input and labels; ``number`` is dense within the training split."""
 
     rows: DataFrame
     layout: ranking.Layout
@@ -152,25 +155,34 @@ _PAIR = ["is_click", "long_view", "is_like"]
 _ZERO = ("naive", "trend", "flag")
 
 
+def _cold(made: spec.Spec, columns: list[str]):
+    """The encoded values of a row that has none of ``columns``."""
+    value = {c: np.log1p(made.numbers[f"{c}_fill"]) - made.numbers[f"{c}_mean"] if made.kinds[c] in spec.SCALED else made.numbers[f"{c}_fill"] for c in columns}
+    return F.array(*[F.lit(float(v / made.numbers[f"{c}_std"] if made.kinds[c] in spec.SCALED else v)).cast("float") for c, v in value.items()])
+
+
 def ranking_data(spark, sf, stage: Stage, windows_of: tuple[int, ...] = (1, 3, 7)) -> Data:
     """All thirteen channels: history, item, author, tags, user, item and pair features of the days before, static user
     numbers and categories, scene, hour, numbers and flags."""
-    log, items = _log(spark, sf), _items(spark, sf)
-    vocabs = _vocabs(log, items)
-    rows = _channel_rows(log, items, vocabs)
-    prior = windows.priors(log, list(LABELS))
+    log, items = stage.write(_log(spark, sf).drop("value"), "log"), _items(spark, sf)
+    vocabs = Vocabs(*[stage.write(v, f"vocab_{i}") for i, v in enumerate(_vocabs(log, items).all())])
+    first = stage.write(order.numbered(log.where("split = 'train'").select("event_id"), [F.col("event_id")], "number", 0), "numbers")
+    channels = _channel_rows(log, items, vocabs).join(first, "event_id", "left").withColumn("number", F.coalesce(F.col("number").cast("long"), F.col("event_id")))
+    rows = channels = stage.write(channels, "channels")
+    prior = stage.write(windows.priors(log, list(LABELS)), "priors")
     means = prior.first().asDict()
-    exprs: dict[str, list] = {}
+    exprs, names = {}, {}
     for prefix, keys, other, labels, rates, ws in (("u", ["user_id"], "video_id", list(LABELS), list(LABELS), list(windows_of)), ("i", ["video_id"], "user_id", list(LABELS), list(LABELS), list(windows_of)), ("p", ["user_id", "author_id"], "video_id", _PAIR, _PAIR[:2], [3, 7])):
-        need = rows.select(*keys, "date")
-        rolled = windows.rolling(log, keys, other, labels, rates, ws, prior, prefix, need=need)
+        rolled = windows.rolling(log, keys, other, labels, rates, ws, prior, prefix, need=channels.select(*keys, "date"))
         columns = [c for c in rolled.columns if c.startswith(f"{prefix}_") and not (prefix == "p" and encoding.classify(c) == "naive")]
-        rolled = rolled.select(*keys, "date", *columns)
-        rows = rows.join(rolled, [*keys, "date"], "left")
+        rolled = stage.write(rolled.select(*keys, "date", *columns), f"rolled_{prefix}")
         kinds = {c: "zero" if encoding.classify(c) in _ZERO else encoding.classify(c) for c in columns}
         fills = {c: next(means[f"g_{x}"] for x in labels if f"_{x}_smooth_" in c) for c, k in kinds.items() if k == "smooth"}
-        made = spec.fit(rows.where("split = 'train'"), kinds, fills)
-        exprs[prefix] = [spec.expression(made, c).alias(c) for c in columns]
+        made = spec.fit(channels.where("split = 'train'").select(*keys, "date").join(rolled, [*keys, "date"], "left"), kinds, fills)
+        # encoded by key and day, of which there are fewer than rows; a row without history takes the values of null
+        exprs[prefix] = F.coalesce(f"x_{prefix}", _cold(made, columns))
+        rows = rows.join(rolled.select(*keys, "date", F.array(*[spec.expression(made, c).cast("float") for c in columns]).alias(f"x_{prefix}")), [*keys, "date"], "left")
+        names[prefix] = tuple(columns)
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.greatest("c_acctbal", F.lit(0)).alias("balance"), "c_mktsegment", "c_nationkey")
     made = spec.fit(users, {"balance": "numeric", "c_mktsegment": "category", "c_nationkey": "category"})
     users = spec.apply(users, made, "user_id")
@@ -178,7 +190,6 @@ def ranking_data(spark, sf, stage: Stage, windows_of: tuple[int, ...] = (1, 3, 7
     duration = spec.fit(items, {"duration_ms": "numeric"})
     numbers = [F.coalesce("balance", F.lit(0.0)).alias("balance")]
     numeric = [spec.expression(duration, "duration_ms").alias("duration"), *[F.col(c) for c in ("age", "hist_len", "tag_len")]]
-    names = {p: tuple(c for c in rows.columns if c.startswith(f"{p}_") and c not in ("user_id",)) for p in "uip"}
     layout = ranking.Layout([
         ranking.Embedded("hist_pool", "history", 8), ranking.Embedded("item_id", "item", 8), ranking.Embedded("author", "author", 4), ranking.Embedded("tag_pool", "tag", 4),
         ranking.Dense("user_t1", names["u"]), ranking.Dense("item_t1", names["i"]), ranking.Dense("pair", names["p"]), ranking.Dense("user_static_num", ("balance",)),
@@ -186,20 +197,17 @@ def ranking_data(spark, sf, stage: Stage, windows_of: tuple[int, ...] = (1, 3, 7
         ranking.Dense("numeric", ("duration", "age", "hist_len", "tag_len")), ranking.Dense("flags", tuple(_FLAGS)),
     ])
     ids = {"hist_pool": ranking.listed(F.col("hist_idx")), "item_id": F.col("video"), "author": F.col("author"), "tag_pool": ranking.listed(F.col("tags")), "segment": F.col("c_mktsegment") + 1, "nation": F.col("c_nationkey") + 1, "tab": F.col("tab") + 2, "hour": F.col("hour") + 2}
-    dense = [*exprs["u"], *exprs["i"], *exprs["p"], *numbers, *numeric, *[F.col(c) for c in _FLAGS]]
+    dense = F.concat(*[exprs[p] for p in "uip"], F.array(*[e.cast("float") for e in (*numbers, *numeric, *[F.col(c) for c in _FLAGS])]))
     # a history's unknown items are masked, a tag list's padding only
-    look = layout.lookups(ids, masked=(encoding.PAD, encoding.OOV))
-    packed = rows.select("event_id", "user_id", "split", *LABELS, look.alias("look"), F.array(*[e.cast("double") for e in dense]).alias("x"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in LABELS]).alias("y"))
-    packed = stage.write(packed, "samples")
-    first = order.numbered(packed.where("split = 'train'").select("event_id"), [F.col("event_id")], "number", 0)
-    numbered = stage.write(packed.join(first, "event_id", "left").withColumn("number", F.coalesce(F.col("number").cast("long"), F.col("event_id"))), "rows")
+    look = layout.slim_lookups(ids, masked=(encoding.PAD, encoding.OOV))
+    packed = rows.select("event_id", "user_id", "split", "number", *LABELS, *look, dense.alias("x"), F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(float("nan")).cast("float")) for c in LABELS]).alias("y"))
     spans = {"segment": 6, "nation": 26, "tab": 6, "hour": 25}
     vectors = [v.select(F.lit(t).alias("table"), F.col("index").cast("long").alias("id")) for t, v in (("history", vocabs.history), ("item", vocabs.video), ("author", vocabs.author), ("tag", vocabs.tag))]
     vectors += [spark.range(1, top + 1).select(F.lit(t).alias("table"), "id") for t, top in spans.items()]
     every = vectors[0]
     for x in vectors[1:]:
         every = every.unionByName(x)
-    return Data(numbered, layout, stage.write(ranking.fresh_tables(every, layout.widths, SEED), "fresh"), first.count())
+    return Data(packed, layout, stage.write(ranking.fresh_tables(every, layout.widths, SEED), "fresh"), first.count())
 
 
 def models(features: int, tasks: int) -> dict[str, multitask.Net]:
@@ -223,7 +231,7 @@ def ranking_embedded_auc(spark, sf):
     data = ranking_data(spark, sf, stage)
     nets = {name: _scaled(net) for name, net in models(data.layout.size, len(LABELS)).items()}
     made = ranking.train_by_parts(data.rows.where("split = 'train'"), data.tables, nets, data.layout, data.n, BATCH, 1, SEED, 0.02, ("item_id", 0.1, "video_id_known"), stage)
-    p = stage.write(ranking.predict_models(data.rows.where("split = 'test'"), made, data.layout, list(LABELS)).withColumn("y", F.col("y").cast("int")), "predictions")
+    p = stage.write(ranking.predict_models(data.rows.where("split = 'test'"), made, data.layout, list(LABELS), stage).withColumn("y", F.col("y").cast("int")), "predictions")
     return metrics.auc(p, ["model", "task"]).select("model", "task", "n", "pos", F.round("auc", 4).alias("auc"))
 
 
