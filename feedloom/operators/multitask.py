@@ -20,7 +20,7 @@ from feedloom.operators.vectors import vector_sum
 
 
 #: Rows of one pass through a net: what it makes of them stays in a core's cache.
-FEW = 2048
+FEW = 1024
 
 
 def single(tasks: int) -> np.ndarray:
@@ -70,15 +70,24 @@ class Net:
         return out
 
 
-def _logistic(rep: np.ndarray, tower: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip((rep * tower).sum(2) + bias, -50, 50)))
+def _logistic(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
 def _loss(p: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sum over rows of the mean loss over tasks, and its slope in the logits; a missing label (NaN) adds nothing."""
+    """Sum over rows of the mean loss over tasks, and its slope in the logits; a missing label (NaN) adds nothing. A line
+    for each task."""
     known = ~np.isnan(y)
     hit = np.clip(np.where(y == 1, p, 1 - p), 1e-12, 1)
-    return -float(np.log(hit[known]).sum()) / y.shape[1], np.where(known, p - np.nan_to_num(y), 0) / y.shape[1]
+    return -float(np.log(hit[known]).sum()) / len(y), np.where(known, p - np.nan_to_num(y), 0) / len(y)
+
+
+def _softmax(a: np.ndarray) -> np.ndarray:
+    """In place, over the second axis."""
+    a -= a.max(1, keepdims=True)
+    np.exp(a, a)
+    a /= a.sum(1, keepdims=True)
+    return a
 
 
 class Mixture(Net):
@@ -89,33 +98,38 @@ class Mixture(Net):
         self.allowed = allowed
         super().__init__({"expert": (features, experts, width), "offset": (experts, width), "gate": (features, tasks, experts), "tower": (tasks, width), "bias": (tasks,)}, seed, flat)
 
+    def _up(self, xt: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Experts, gates, each expert seen through each task's tower, and probabilities; rows lie last, side by side."""
+        tasks, experts = self.allowed.shape
+        h = (self.w["expert"].reshape(len(xt), -1).T @ xt).reshape(experts, -1, xt.shape[1])
+        h += self.w["offset"][:, :, None]
+        np.maximum(h, 0, h)
+        a = (self.w["gate"].reshape(len(xt), -1).T @ xt).reshape(tasks, experts, -1)
+        a[~self.allowed] = -np.inf
+        g, s = _softmax(a), np.matmul(self.w["tower"], h).transpose(1, 0, 2)
+        return h, g, s, _logistic((g * s).sum(1) + self.w["bias"][:, None])
+
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        h = np.maximum(np.tensordot(x, self.w["expert"], 1) + self.w["offset"], 0)
-        a = np.where(self.allowed, np.tensordot(x, self.w["gate"], 1), -np.inf)
-        g = np.exp(a - a.max(2, keepdims=True))
-        g /= g.sum(2, keepdims=True)
-        mixed = g @ h
-        return h, g, mixed, _logistic(mixed, self.w["tower"], self.w["bias"])
+        *seen, p = self._up(np.ascontiguousarray(x.T))
+        return *seen, p.T
 
     def slopes(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss of the rows, its gradient in the weights and in ``x``."""
-        h, g, mixed, p = self.forward(x)
-        loss, d = _loss(p, y)
+        xt = np.ascontiguousarray(x.T)
+        h, g, s, p = self._up(xt)
+        loss, d = _loss(p, y.T)
         flat = np.zeros(self.size)
         out = self.views(flat)
-        out["bias"][:], out["tower"][:] = d.sum(0), np.einsum("bt,bte->te", d, mixed)
-        dm = d[:, :, None] * self.w["tower"]
-        dg = dm @ h.transpose(0, 2, 1)
-        da = g * (dg - (g * dg).sum(2, keepdims=True))
-        out["gate"][:] = np.tensordot(x, da, ([0], [0]))
-        dh = (g.transpose(0, 2, 1) @ dm) * (h > 0)
-        out["offset"][:], out["expert"][:] = dh.sum(0), np.tensordot(x, dh, ([0], [0]))
-        return loss, flat, np.tensordot(da, self.w["gate"], ([1, 2], [1, 2])) + np.tensordot(dh, self.w["expert"], ([1, 2], [1, 2]))
-
-
-def _each(at: np.ndarray, lines, weights: np.ndarray) -> np.ndarray:
-    """Each of ``weights`` applied to its own line of ``at``: (rows, weights, width)."""
-    return np.stack([at[:, line] @ w for line, w in zip(lines, weights, strict=True)], 1)
+        c = g * d[:, None]  # a row's slope in each expert as each task's tower sees it
+        da = c * (s - (g * s).sum(1, keepdims=True))
+        taken = np.ascontiguousarray(c.transpose(1, 0, 2))
+        out["bias"][:], out["tower"][:] = d.sum(1), np.matmul(taken, h.transpose(0, 2, 1)).sum(0)
+        dh = np.matmul(self.w["tower"].T, taken)
+        dh *= h > 0
+        da, dh = da.reshape(-1, len(x)), dh.reshape(-1, len(x))
+        out["gate"][:], out["expert"][:] = (xt @ da.T).reshape(out["gate"].shape), (xt @ dh.T).reshape(out["expert"].shape)
+        out["offset"][:] = dh.sum(1).reshape(out["offset"].shape)
+        return loss, flat, (self.w["gate"].reshape(len(xt), -1) @ da + self.w["expert"].reshape(len(xt), -1) @ dh).T
 
 
 class Stacked(Net):
@@ -132,47 +146,68 @@ class Stacked(Net):
             shapes |= {f"expert_{k}": (n, wide, width), f"offset_{k}": (n, width), f"gate_{k}": (lines, wide, n)}
         super().__init__(shapes | {"tower": (tasks, width), "bias": (tasks,)}, seed, flat)
 
-    def _up(self, x: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
-        at, seen = np.repeat(x[:, None, :], self.tasks + 1, 1), []
+    def _up(self, xt: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+        """Each level's lines, experts and gates, and the last mixtures; rows lie last, side by side."""
+        at, seen, many = [xt] * (self.tasks + 1), [], xt.shape[1]
         for k in range(self.levels):
-            gate = self.w[f"gate_{k}"]
-            lines = len(gate)
-            h = np.maximum(_each(at, self.owner, self.w[f"expert_{k}"]) + self.w[f"offset_{k}"], 0)
-            a = np.where(self.allowed[:lines], _each(at, range(lines), gate), -np.inf)
-            g = np.exp(a - a.max(2, keepdims=True))
-            g /= g.sum(2, keepdims=True)
+            expert, gate = self.w[f"expert_{k}"], self.w[f"gate_{k}"]
+            lines, n = len(gate), len(expert)
+            if k:
+                h, a = np.stack([w.T @ at[line] for line, w in zip(self.owner, expert, strict=True)]), np.stack([w.T @ at[line] for line, w in enumerate(gate)])
+            else:  # all lines are the input
+                h, a = (expert.transpose(0, 2, 1).reshape(-1, len(xt)) @ xt).reshape(n, -1, many), (gate.transpose(0, 2, 1).reshape(-1, len(xt)) @ xt).reshape(lines, n, many)
+            h += self.w[f"offset_{k}"][:, :, None]
+            np.maximum(h, 0, h)
+            a[~self.allowed[:lines]] = -np.inf
+            g = _softmax(a)
             seen.append((at, h, g))
-            at = g @ h
-        return seen, at
+            at = [sum(g[line, e] * h[e] for e in np.flatnonzero(self.allowed[line])) for line in range(lines)]
+        return seen, np.stack(at)
+
+    def _chance(self, mixed: np.ndarray) -> np.ndarray:
+        return _logistic(np.matmul(self.w["tower"][:, None], mixed)[:, 0] + self.w["bias"][:, None])
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        mixed = self._up(x)[1]
-        return mixed, _logistic(mixed, self.w["tower"], self.w["bias"])
+        mixed = self._up(np.ascontiguousarray(x.T))[1]
+        return mixed, self._chance(mixed).T
 
     def slopes(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss of the rows, its gradient in the weights and in ``x``."""
-        seen, mixed = self._up(x)
-        loss, d = _loss(_logistic(mixed, self.w["tower"], self.w["bias"]), y)
+        seen, mixed = self._up(np.ascontiguousarray(x.T))
+        loss, d = _loss(self._chance(mixed), y.T)
         flat = np.zeros(self.size)
         out = self.views(flat)
-        out["bias"][:], out["tower"][:] = d.sum(0), np.einsum("bt,bte->te", d, mixed)
-        down = d[:, :, None] * self.w["tower"]
+        out["bias"][:], out["tower"][:] = d.sum(1), np.matmul(mixed, d[:, :, None])[:, :, 0]
+        down = d[:, None] * self.w["tower"][:, :, None]
         for k in reversed(range(self.levels)):
             at, h, g = seen[k]
-            lines = g.shape[1]
-            dg = down @ h.transpose(0, 2, 1)
-            da = g * (dg - (g * dg).sum(2, keepdims=True))
-            dh = (g.transpose(0, 2, 1) @ down) * (h > 0)
-            out[f"offset_{k}"][:] = dh.sum(0)
-            back = np.zeros_like(at)
-            for line in range(lines):
-                out[f"gate_{k}"][line] = at[:, line].T @ da[:, line]
-                back[:, line] = da[:, line] @ self.w[f"gate_{k}"][line].T
-            for e, line in enumerate(self.owner):
-                out[f"expert_{k}"][e] = at[:, line].T @ dh[:, e]
-                back[:, line] += dh[:, e] @ self.w[f"expert_{k}"][e].T
-            down = back
-        return loss, flat, down.sum(1)
+            expert, gate = self.w[f"expert_{k}"], self.w[f"gate_{k}"]
+            da, dh = np.zeros_like(g), np.zeros_like(h)
+            for line in range(len(gate)):
+                for e in np.flatnonzero(self.allowed[line]):
+                    da[line, e] = (down[line] * h[e]).sum(0)
+                    dh[e] += g[line, e] * down[line]
+            da -= (g * da).sum(1, keepdims=True)
+            da *= g
+            dh *= h > 0
+            out[f"offset_{k}"][:] = dh.sum(2)
+            if k:
+                back = np.empty((len(gate), *at[0].shape))
+                for line in range(len(gate)):
+                    out[f"gate_{k}"][line], back[line] = at[line] @ da[line].T, gate[line] @ da[line]
+                if len(gate) <= self.tasks:  # the shared line has no gate in the last level
+                    back = np.concatenate([back, np.zeros((1, *at[0].shape))])
+                for e, line in enumerate(self.owner):
+                    out[f"expert_{k}"][e] = at[line] @ dh[e].T
+                    back[line] += expert[e] @ dh[e]
+                down = back
+            else:
+                xt, wide = at[0], len(at[0])
+                da, dh = da.reshape(-1, len(x)), dh.reshape(-1, len(x))
+                out["gate_0"][:] = (xt @ da.T).reshape(wide, *gate.shape[::2]).transpose(1, 0, 2)
+                out["expert_0"][:] = (xt @ dh.T).reshape(wide, *expert.shape[::2]).transpose(1, 0, 2)
+                down = (gate.transpose(1, 0, 2).reshape(wide, -1) @ da + expert.transpose(1, 0, 2).reshape(wide, -1) @ dh).T
+        return loss, flat, down
 
 
 class Selective(Net):
@@ -182,27 +217,36 @@ class Selective(Net):
         self.common = common
         super().__init__({"expert_common": (features, common), "expert_private": (features, tasks, private), "gate": (features, tasks, common), "tower": (tasks, common + private), "bias": (tasks,)}, seed, flat)
 
+    def _up(self, xt: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The common layer, private ones, gates, gated common ones and probabilities; rows lie last, side by side."""
+        tasks, wide, tower = len(self.w["bias"]), len(xt), self.w["tower"][:, None]
+        s, own = self.w["expert_common"].T @ xt, (self.w["expert_private"].reshape(wide, -1).T @ xt).reshape(tasks, -1, xt.shape[1])
+        np.maximum(s, 0, s), np.maximum(own, 0, own)
+        g = _logistic(self.w["gate"].reshape(wide, -1).T @ xt).reshape(tasks, self.common, -1)
+        part = g * s
+        return s, own, g, part, _logistic((np.matmul(tower[:, :, : self.common], part) + np.matmul(tower[:, :, self.common :], own))[:, 0] + self.w["bias"][:, None])
+
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        s, own = np.maximum(x @ self.w["expert_common"], 0), np.maximum(np.tensordot(x, self.w["expert_private"], 1), 0)
-        g = 1 / (1 + np.exp(-np.clip(np.tensordot(x, self.w["gate"], 1), -50, 50)))
-        rep = np.concatenate([g * s[:, None, :], own], 2)
-        return s, own, g, rep, _logistic(rep, self.w["tower"], self.w["bias"])
+        *seen, p = self._up(np.ascontiguousarray(x.T))
+        return *seen, p.T
 
     def slopes(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss of the rows, its gradient in the weights and in ``x``."""
-        s, own, g, rep, p = self.forward(x)
-        loss, d = _loss(p, y)
-        flat = np.zeros(self.size)
+        xt = np.ascontiguousarray(x.T)
+        s, own, g, part, p = self._up(xt)
+        loss, d = _loss(p, y.T)
+        flat, wide, many = np.zeros(self.size), len(xt), len(x)
         out = self.views(flat)
-        out["bias"][:], out["tower"][:] = d.sum(0), np.einsum("bt,bte->te", d, rep)
-        down = d[:, :, None] * self.w["tower"]
-        taken, kept = down[:, :, : self.common], down[:, :, self.common :]
-        da, ds, dp = taken * s[:, None, :] * g * (1 - g), (taken * g).sum(1) * (s > 0), kept * (own > 0)
-        out["gate"][:] = np.tensordot(x, da, ([0], [0]))
-        out["expert_common"][:] = x.T @ ds
-        out["expert_private"][:] = np.tensordot(x, dp, ([0], [0]))
-        dx = ds @ self.w["expert_common"].T + np.tensordot(da, self.w["gate"], ([1, 2], [1, 2])) + np.tensordot(dp, self.w["expert_private"], ([1, 2], [1, 2]))
-        return loss, flat, dx
+        out["bias"][:], out["tower"][:] = d.sum(1), np.concatenate([np.matmul(z, d[:, :, None])[:, :, 0] for z in (part, own)], 1)
+        taken = d[:, None] * self.w["tower"][:, : self.common, None]
+        ds = (taken * g).sum(0) * (s > 0)
+        dp = d[:, None] * self.w["tower"][:, self.common :, None] * (own > 0)
+        taken *= part
+        taken *= 1 - g
+        da, dp = taken.reshape(-1, many), dp.reshape(-1, many)
+        out["gate"][:], out["expert_private"][:] = (xt @ da.T).reshape(out["gate"].shape), (xt @ dp.T).reshape(out["expert_private"].shape)
+        out["expert_common"][:] = xt @ ds.T
+        return loss, flat, (self.w["expert_common"] @ ds + self.w["gate"].reshape(wide, -1) @ da + self.w["expert_private"].reshape(wide, -1) @ dp).T
 
 
 def comparable(nets: dict[str, Net], reference: str, within: float = 0.2) -> dict[str, bool]:
@@ -211,12 +255,13 @@ def comparable(nets: dict[str, Net], reference: str, within: float = 0.2) -> dic
     return {name: abs(net.size - size) <= within * size for name, net in nets.items()}
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+def _columns(batch: pa.RecordBatch, start: int, end: int, kind: type) -> np.ndarray:
+    """A row for each row of the batch; columns lie side by side in memory, as the nets want them."""
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(kind, copy=False) for i in range(start, end)]).T
 
 
-def _packed(columns: list[str], missing: float):
-    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(missing)) for c in columns])
+def _plain(columns: list[str], missing: float, name: str, kind: str) -> list:
+    return [F.coalesce(F.col(c).cast(kind), F.lit(missing).cast(kind)).alias(f"{name}{i}") for i, c in enumerate(columns)]
 
 
 def adam(net: Net, g: np.ndarray, m: np.ndarray, v: np.ndarray, t: int, rate: float) -> tuple[Net, np.ndarray, np.ndarray]:
@@ -255,16 +300,18 @@ def descend(packed: DataFrame, net: Net, gradient: Callable[[Net, pa.RecordBatch
 def fit(rows: DataFrame, features: list[str], labels: list[str], model: np.ndarray | Net, steps: int = 20, rate: float = 0.1, width: int = 8, seed: int = 42) -> tuple[Net, list[float]]:
     """A trained model and its mean loss before each step; ``model`` is a start, or which experts a task of one layer may use.
 
-    Null features are 0, null labels unknown; without rows the start stays.
+    Null features are 0, null labels unknown; without rows the start stays. A pass of FEW rows is in single precision, what
+    passes add up to is in double.
     """
     net = model if isinstance(model, Net) else Mixture(len(features), model, width, seed)
-    packed = rows.select(_packed(features, 0.0).alias("x"), _packed(labels, float("nan")).alias("y"))
+    # plain columns pass to Python much faster than arrays do
+    packed = rows.select(*_plain(features, 0.0, "_x", "float"), *_plain(labels, float("nan"), "_y", "float"))
     nx, ny = len(features), len(labels)
 
     def gradient(here: Net, batch: pa.RecordBatch) -> tuple[float, np.ndarray]:
-        x, y = _matrix(batch.column(0), nx), _matrix(batch.column(1), ny)
-        parts = [here.gradient(x[i : i + FEW], y[i : i + FEW]) for i in range(0, len(x), FEW)]
-        return sum(loss for loss, _ in parts), sum(g for _, g in parts)
+        x, y, single = _columns(batch, 0, nx, np.float32), _columns(batch, nx, nx + ny, np.float32), here.at(here.flat.astype(np.float32))
+        parts = [single.slopes(x[i : i + FEW], y[i : i + FEW]) for i in range(0, len(x), FEW)]
+        return sum(float(part[0]) for part in parts), sum(part[1] for part in parts)
 
     return descend(packed, net, gradient, steps, rate)
 
@@ -275,9 +322,9 @@ def predict(rows: DataFrame, net: Net, features: list[str], tasks: list[str], ca
 
     def scan(batches):
         for batch in batches:
-            p = net.forward(_matrix(batch.column(len(carry)), len(features)))[-1]
+            p = net.forward(_columns(batch, len(carry), len(carry) + len(features), np.float64))[-1]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(list(p), pa.list_(pa.float64()))], names=[*carry, "p"])
 
-    scored = rows.select(*carry, _packed(features, 0.0).alias("_x")).mapInArrow(scan, f"{fields}, p array<double>")
+    scored = rows.select(*carry, *_plain(features, 0.0, "_x", "double")).mapInArrow(scan, f"{fields}, p array<double>")
     named = F.arrays_zip(F.array(*map(F.lit, tasks)).alias("task"), F.col("p"))
     return scored.select(*carry, F.explode(named).alias("_t")).select(*carry, F.col("_t.task").alias("task"), F.col("_t.p").alias("p"))

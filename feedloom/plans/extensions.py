@@ -80,7 +80,8 @@ def _ranking_rows(spark, sf):
 @query()
 def multitask_auc(spark, sf):
     """AUC on test of every task for models trained on the training split, single-task to PLE and selective sharing (no SQL: training)."""
-    rows, n, out = once(_ranking_rows(spark, sf)), len(LABELS), None
+    # every step waits for its largest part, so rows are dealt evenly once, whatever files the log lies in
+    rows, n, out = once(_ranking_rows(spark, sf).repartition(2 * spark.sparkContext.defaultParallelism, "event_id")), len(LABELS), None
     truth = F.coalesce(*[F.when(F.col("task") == c, F.col(c)) for c in LABELS])
     stacked, selective = multitask.Stacked(len(FEATURES), n), multitask.Selective(len(FEATURES), n)
     for name, model in (("single", multitask.single(n)), ("mmoe", multitask.mmoe(n, 4)), ("cgc", multitask.cgc(n, 2)), ("ple", stacked), ("selective", selective)):

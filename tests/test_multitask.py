@@ -130,3 +130,26 @@ def test_passes_of_few_rows_sum_to_the_whole(monkeypatch, spark):
     whole = multitask.fit(rows, ["a", "one"], ["y"], multitask.single(1), steps=3)[0].flat
     monkeypatch.setattr(multitask, "FEW", 64)
     assert np.allclose(multitask.fit(rows, ["a", "one"], ["y"], multitask.single(1), steps=3)[0].flat, whole)
+
+
+def test_query_deals_its_rows_evenly(spark, monkeypatch):
+    seen = []
+
+    def noted(rows, *more):
+        seen.extend(r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect())
+        raise InterruptedError
+
+    monkeypatch.setattr(multitask, "fit", noted)
+    with pytest.raises(InterruptedError):
+        extensions.multitask_auc(spark, SF)
+    assert len(seen) > 1 and max(seen) < 2 * sum(seen) / len(seen)
+
+
+def test_passes_in_single_precision_sum_to_the_gradient(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id % 7 / 7.0 AS a", "1.0 AS one", "CAST(id % 3 = 0 AS INT) AS y").repartition(2)
+    seen = []
+    monkeypatch.setattr(multitask, "descend", lambda packed, net, gradient, *more: seen.append([gradient(net, b) for b in packed.toArrow().to_batches()]) or (net, []))
+    net = multitask.fit(rows, ["a", "one"], ["y"], multitask.mmoe(1, 3))[0]
+    made = rows.toPandas()
+    loss, flat, _ = net.slopes(made[["a", "one"]].to_numpy(float), made[["y"]].to_numpy(float))
+    assert np.isclose(sum(x for x, _ in seen[0]), loss, rtol=1e-5) and np.allclose(sum(g for _, g in seen[0]), flat, rtol=1e-4, atol=1e-2) and seen[0][0][1].dtype == np.float64
