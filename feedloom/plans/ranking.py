@@ -179,9 +179,10 @@ def ranking_data(spark, sf, stage: Stage, windows_of: tuple[int, ...] = (1, 3, 7
         kinds = {c: "zero" if encoding.classify(c) in _ZERO else encoding.classify(c) for c in columns}
         fills = {c: next(means[f"g_{x}"] for x in labels if f"_{x}_smooth_" in c) for c, k in kinds.items() if k == "smooth"}
         made = spec.fit(channels.where("split = 'train'").select(*keys, "date").join(rolled, [*keys, "date"], "left"), kinds, fills)
-        # encoded by key and day, of which there are fewer than rows; a row without history takes the values of null
+        # encoded by key and day, of which there are fewer than rows; a row without history takes the values of null. Spark takes
+        # an array for one number and would broadcast all features, so the join is by merge
         exprs[prefix] = F.coalesce(f"x_{prefix}", _cold(made, columns))
-        rows = rows.join(rolled.select(*keys, "date", F.array(*[spec.expression(made, c).cast("float") for c in columns]).alias(f"x_{prefix}")), [*keys, "date"], "left")
+        rows = rows.hint("merge").join(rolled.select(*keys, "date", F.array(*[spec.expression(made, c).cast("float") for c in columns]).alias(f"x_{prefix}")), [*keys, "date"], "left")
         names[prefix] = tuple(columns)
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.greatest("c_acctbal", F.lit(0)).alias("balance"), "c_mktsegment", "c_nationkey")
     made = spec.fit(users, {"balance": "numeric", "c_mktsegment": "category", "c_nationkey": "category"})

@@ -306,11 +306,12 @@ def test_query_takes_a_step_for_each_batch_of_the_reference(spark, monkeypatch):
     seen = []
 
     def noted(rows, tables, nets, layout, n, size, epochs=1, *more):
-        seen.append((n, size, epochs, len(nets), rows.count()))
+        seen.append((n, size, epochs, len(nets), rows.count(), rows._jdf.queryExecution().executedPlan().toString()))
         raise InterruptedError
 
     monkeypatch.setattr(ranking, "train_by_parts", noted)
     with pytest.raises(InterruptedError):
         plans.ranking_embedded_auc(spark, "/root/testdata/sf0.001")
-    n, size, epochs, nets, rows = seen[0]
+    n, size, epochs, nets, rows, plan = seen[0]
     assert size == 2048 and epochs == 1 and nets == 5 and n == rows > 0
+    assert plan.count("SortMergeJoin") >= 3  # user, item and pair features are arrays, whose size Spark takes too low to broadcast
